@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, runtime, topk, warc
+from scriptorium.llm import bpe, merkle, runtime, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,31 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = F.sha2("edited", 256).alias("edited_sha256")
+    return merkle.edited_by_next(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+_TREE = """list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+  lambda p: list_transform(regexp_extract_all(p, '{1}'), lambda x: left(sha256(x), 12))))"""
+_PARAGRAPH = "left(sha256(array_to_string({0}, ',')), 12)"
+_BRANCH = f"left(sha256(array_to_string(list_transform(s, lambda p: {_PARAGRAPH.format('p')}), ',')), 12)"
+_PRINT = f"""sha256(array_to_string(list_transform({{0}}, lambda s: {_BRANCH}), ',')) || '/' || array_to_string(list_transform({{0}},
+  lambda s: {_BRANCH} || '(' || array_to_string(list_transform(s, lambda p: {_PARAGRAPH.format('p')} || ':' || array_to_string(p, ',')), ';')), '|')"""
+_LIKE = """CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0 ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE)
+  / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"""
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST, t), first_value(t) OVER (ORDER BY doc_id DESC NULLS LAST, t)) AS nt, length(t) AS n_chars FROM d),
+e AS (SELECT *, left(t, n_chars - n_chars // 3) || left(nt, n_chars // 3) AS et FROM n),
+f AS (SELECT *, {_TREE.format('t', merkle.LEAF)} AS a, {_TREE.format('et', merkle.LEAF)} AS b, {_TREE.format('nt', merkle.LEAF)} AS c FROM e),
+g AS (SELECT *, list_distinct(flatten(flatten(a))) AS la, list_distinct(flatten(flatten(b))) AS lb, list_distinct(flatten(flatten(c))) AS lc FROM f)
+SELECT doc_id, n_chars, sha256(et) AS edited_sha256, {_PRINT.format('a')} AS fingerprint, {_PRINT.format('b')} AS edited_fingerprint,
+  {_LIKE.format('la', 'lb')} AS near_edited, {_LIKE.format('la', 'lc')} AS near_next
+FROM g
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="ascii") as file:
         ranks = bpe.read_ranks(file.read())
@@ -51,5 +76,5 @@ FROM q
 """
 
 
-QUERIES = {"op5_exact_topk": op5_exact_topk, "op8_byte_bpe": op8_byte_bpe, "op10_warc": op10_warc}
-ORACLES = {"op5_exact_topk": OP5_SQL, "op10_warc": OP10_SQL}
+QUERIES = {"op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op8_byte_bpe": op8_byte_bpe, "op10_warc": op10_warc}
+ORACLES = {"op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}

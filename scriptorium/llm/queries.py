@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, merkle, runtime, topk, warc
+from scriptorium.llm import bpe, labelled, merkle, quality, runtime, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.train(docs, labels), least=0.3)
+    return found.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_offending"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
@@ -62,6 +68,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.grade(docs.select("doc_id", "text"), quality.train(docs, labels))
+    kept = F.coalesce(F.col("tail_probability") >= 0.5, F.lit(True)).cast("int").alias("kept")
+    return found.select("doc.doc_id", labelled.held_out(F.col("doc.doc_id")).alias("held_out"), "expected_grade", "tail_probability", kept)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), runtime.new_path(spark, "archives"), least_bytes=100)
 
@@ -76,5 +89,5 @@ FROM q
 """
 
 
-QUERIES = {"op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op8_byte_bpe": op8_byte_bpe, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLES = {"op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}

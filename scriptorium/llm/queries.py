@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, labelled, merkle, quality, runtime, topk, toxicity, warc
+from scriptorium.llm import bpe, labelled, merkle, packing, quality, runtime, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,15 @@ FROM g
 """
 
 
+def byte_bpe_json() -> str:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe_json(), public_tokenizers.PATTERN, most=1024)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="ascii") as file:
         ranks = bpe.read_ranks(file.read())
@@ -89,5 +98,5 @@ FROM q
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLES = {"op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, labelled, merkle, near_dups, packing, quality, runtime, topk, toxicity, warc
+from scriptorium.llm import bpe, labelled, merkle, near_dups, packing, quality, runtime, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,24 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return found.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM h JOIN m USING (h), range(50) t(o) WHERE doc_id > least),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM k ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
@@ -102,5 +120,5 @@ FROM q
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_duplicates": op3_near_duplicates, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc}
-ORACLES = {"op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_near_duplicates": op3_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}

@@ -7,8 +7,9 @@ probability Jaccard of their weights. 25 bands of five components make candidate
 20 000 times.
 
 Copies are one text, named by the 64-bit hash of it. In each band the texts of a bucket are held against its least, links are
-verified exactly, and linked texts become classes by distributed union-find. Buckets that still hold several classes are then
-searched between classes, until every pair in them has been verified: so no pair within a class is listed, and no link is lost.
+verified exactly, and linked texts become classes by distributed union-find. In the buckets that still hold several classes every
+pair of different classes is verified then, inside tasks that get two blocks of the bucket each and give back only links between
+classes: no pair is listed, none that could join two classes is left out, and no task gets a whole large bucket.
 
 Defined results: a text of one to four words has one shingle, all its words; null texts and texts without words are one text;
 rows with a null key are left out; rows that repeat a key are one document, in the least of its texts' classes. Other columns are
@@ -29,6 +30,8 @@ from scriptorium.llm import components, runtime
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 COMPONENTS, BANDS, ROWS = 128, 25, 5
+#: Texts in a block of a bucket that is searched between classes.
+BLOCK = 256
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -147,48 +150,75 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unverified(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of a bucket, in different classes, that haven't been tried."""
-    now = shared.join(roots, shared["content"] == roots["node"], "left").select("band", "content", F.coalesce("root", "content").alias("root"))
-    several = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    open_ = runtime.stored(now.join(several, "band"), "open")
-    left = open_.select("band", F.col("content").alias("a"), F.col("root").alias("x"))
-    right = open_.select("band", F.col("content").alias("b"), F.col("root").alias("y"))
-    pairs = left.join(right, "band").where("x <> y and a > b").select("a", "b").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+def _across(open_: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links ``a, b`` between classes within each bucket of ``band, content, root, keys, t``."""
+    size = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("content"), F.col("blocks"))
+    rows = open_.join(size, "band").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "content", "root", "keys", "t")
 
+    def run(table: pa.Table) -> pa.Table:
+        band, low, high = (table.column(i)[0].as_py() for i in range(3))
+        own, content, root = (table.column(i).to_numpy() for i in (3, 4, 5))
+        keys = np.stack([k.values.to_numpy() for k in table.column(6)])
+        earlier = np.arange(BANDS) < np.argmax(keys[0] == band)  # bands in which a pair may have been held together already
+        texts = Texts(width)
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        joined = {int(r): int(r) for r in root}
 
-def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``<key>, class_id, n_links``: of every document the least key of its class, and its text's number of verified links to other texts.
+        def find(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = texts.weighted(texts.words(table.column(7)[i].as_py()))
+            return sets[i]
+
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(own == low):
+            others = np.flatnonzero((own == high) & (root != root[i]) & ((content > content[i]) | (low != high)))
+            others = others[~(keys[others][:, earlier] == keys[i, earlier]).any(axis=1)]
+            for j in others:
+                x, y = find(int(root[i])), find(int(root[j]))
+                if x != y and probability_jaccard(of(i), of(j)) >= threshold - 1e-12:
+                    joined[max(x, y)] = min(x, y)
+                    found.append((int(content[i]), int(content[j])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    Links are those that the search needed to tell classes apart, not all pairs of a class.
-    """
+    return rows.groupBy("band", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``<key>, class_id, class_size``: of every document the least key of its class, and how many documents the class has."""
+    spark = docs.sparkSession
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).where("k is not null")
     rows = rows.select("k", content(F.col("t")).alias("content"), "t")
     found = runtime.stored(sketched(rows, width), "sketches")
     members = found.select("k", "content")
-    bands = found.groupBy("content").agg(F.first("keys").alias("keys")).select("content", F.explode("keys").alias("band"))
-    bands = runtime.stored(bands, "bands")
+    unique = found.groupBy("content").agg(F.first("keys").alias("keys"))
+    bands = runtime.stored(unique.select("content", F.explode("keys").alias("band")), "bands")
     least = bands.groupBy("band").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least < most").select("band", "least")
     shared = runtime.stored(bands.join(least, "band"), "buckets")  # only what shares a bucket with another text
     runtime.forget(bands)
     one = members.groupBy("content").agg(F.min("k").alias("k")).join(shared.select("content").distinct(), "content")
     texts = runtime.stored(rows.join(one, ["k", "content"]).dropDuplicates(["content"]).select("content", "t"), "texts")
-    tried = runtime.stored(shared.where("content <> least").select(F.greatest("content", "least").alias("a"), F.least("content", "least").alias("b")).distinct(), "tried")
-    links = runtime.stored(verified(tried, texts, threshold, width), "links")
-    while True:
-        roots = runtime.stored(components.components(links), "roots")
-        pairs = runtime.stored(_unverified(shared, roots, tried), "pairs")
-        if pairs.isEmpty():
-            break
-        links = runtime.stored(links.unionByName(verified(pairs, texts, threshold, width)), "links")
-        tried = runtime.stored(tried.unionByName(pairs), "tried")
-    ends = links.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count("*").alias("n_links"))
-    joined = members.join(roots, members["content"] == roots["node"], "left").select("k", "content", F.coalesce("root", "content").alias("root"))
-    joined = joined.join(ends, "content", "left")
-    lowest = joined.groupBy("root").agg(F.min("k").alias("class_id"))
-    out = joined.join(lowest, "root").groupBy("k").agg(F.min("class_id").alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    return out.withColumnRenamed("k", key)
+    runtime.release(spark)
+    pairs = shared.where("content <> least").select(F.col("content").alias("a"), F.col("least").alias("b")).distinct()
+    links = runtime.stored(verified(pairs, texts, threshold, width), "links")
+    roots = runtime.stored(components.components(links), "roots")
+    now = shared.join(roots, shared["content"] == roots["node"], "left").select("band", "content", F.coalesce("root", "content").alias("root"))
+    several = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+    open_ = runtime.stored(now.join(several, "band"), "open")
+    payload = unique.join(open_.select("content").distinct(), "content").join(texts, "content")
+    across = runtime.stored(_across(open_.join(payload, "content"), threshold, width), "across")
+    runtime.release(spark)
+    roots = runtime.stored(components.components(links.unionByName(across)), "roots")
+    joined = members.join(roots, members["content"] == roots["node"], "left").select("k", F.coalesce("root", "content").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size"))
+    out = joined.join(lowest, "root").groupBy("k").agg(F.min_by("class_size", "class_id").alias("class_size"), F.min("class_id").alias("class_id"))
+    return out.select(F.col("k").alias(key), "class_id", "class_size")
 
 
 def representatives(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

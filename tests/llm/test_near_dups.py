@@ -88,6 +88,22 @@ def test_classes(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(got.values()))
 
 
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 7)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 3])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_classes(rows, 0.8)
+    assert 1 < len(set(want.values())) < 60
+    assert got == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.classes(docs).count() == 0 and near_dups.representatives(docs).count() == 0

@@ -14,6 +14,7 @@ the key may be null; an empty table gives no piece; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import runtime
+from scriptorium.llm.bpe import byte_chars
 
 #: Hash buckets of a document's vector, its dimensions after projection, and the bits of each on the curve.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 10
@@ -58,42 +60,53 @@ class Projector:
 
     def __init__(self, seed: int = 0):
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(BUCKETS, DIMENSIONS))
-        self.salt = np.uint64(seed)
+        self.salt, self.bucket = np.uint64(seed), np.empty(0, np.int64)
 
     def places(self, documents: list[np.ndarray]) -> np.ndarray:
-        counts = np.zeros((len(documents), BUCKETS))
+        if (most := max((int(ids.max()) for ids in documents), default=0)) >= len(self.bucket):  # the hash bucket of every id so far
+            self.bucket = (runtime.mixed(np.arange(2 * most + 1, dtype=np.uint64) ^ self.salt) % np.uint64(BUCKETS)).astype(np.int64)
+        counts = np.empty((len(documents), BUCKETS))
         for row, ids in zip(counts, documents, strict=True):
-            row += np.bincount((runtime.mixed(ids.astype(np.uint64) ^ self.salt) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            row[:] = np.bincount(self.bucket[ids], minlength=BUCKETS)
         damped = np.sqrt(counts)
         points = damped @ self.signs / np.maximum(np.linalg.norm(damped, axis=1, keepdims=True), 1e-12)
         share = 1 / (1 + np.exp(-1.702 * points))  # about evenly spread over 0 to 1
         return hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-class Tokens(dict):
-    """Ids of cuts of a text, as bytes of one integer type, by a tokenizers file whose byte-level splitting is ``pattern``."""
+def ranks_of(content: str) -> dict[bytes, int] | None:
+    """Ranks of a tokenizers file of byte-level BPE; None unless its ids are those of the bytes and then of the merges in order."""
+    model = json.loads(content)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    vocabulary = model.get("vocab", {})
+    made = ["".join(m) for m in merges]
+    table = {c: i for i, c in enumerate(byte_chars())}
+    if model["type"] != "BPE" or len(set(made)) < len(made) or [vocabulary.get(t) for t in made] != list(range(256, 256 + len(made))) or {vocabulary.get(c) for c in table} != set(range(256)):
+        return None
+    return {bytes(table[c] for c in t): vocabulary[t] for t in [*table, *made]}
+
+
+class Tokens:
+    """Ids of texts by a tokenizers file, as bytes of one integer type.
+
+    Where the file is plain byte-level BPE split by ``pattern``, texts go through a faster encoder of the same ranks; texts that
+    hold a special token's string, which is one id, and other files go through tokenizers itself.
+    """
 
     def __init__(self, content: str, pattern: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer, self.kind = Tokenizer.from_str(content), kind
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cuts, self.kind = regex.compile(pattern).findall, kind
+        ranks = ranks_of(content)
+        self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def of(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # such a string is one id, whatever the pattern
+        if self.fast is None or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        cuts = self.cuts(text)
-        if new := [x for x in set(cuts) if x not in self]:
-            if len(self) + len(new) > runtime.CACHE_ENTRIES:
-                self.clear()
-                new = list(set(cuts))
-            for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[x] = np.array(found.ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, cuts))
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
 
 
 class Packer:

@@ -4,12 +4,15 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scriptorium.llm import packing
 
 CONTENT = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
 TOKENIZER = Tokenizer.from_str(CONTENT)
+TOKENS = packing.Tokens(CONTENT, public_tokenizers.PATTERN, "<u2")
 
 
 @pytest.mark.parametrize("n,bits", [(2, 4), (3, 3), (4, 2)])
@@ -21,6 +24,17 @@ def test_hilbert_steps_to_neighbours(n, bits):
     assert (np.abs(np.diff(along, axis=0)).sum(axis=1) == 1).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80) | st.text("ab \n\t'sé$1<|>\u3000\u0663", max_size=80))
+def test_fast_ids_equal_those_of_the_library(text):
+    assert TOKENS.fast is not None
+    assert np.frombuffer(TOKENS.of(text), "<u2").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_not_taken_for_plain_ones():
+    assert packing.ranks_of(CONTENT.replace('"Ġt":', '"Ġtx":')) is None
+
+
 def check(pieces, docs, most):
     """Whatever the packing, pieces must cover every document and fill every sequence."""
     ids = defaultdict(list)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import xxhash
@@ -35,14 +36,30 @@ def hashed(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass"))
 
 
-def telling(counts_by_feature: dict[int, np.ndarray], totals: np.ndarray, least: int, most: int) -> list[int]:
-    """Features whose share of documents differs most between the classes, by the largest z-score against independence."""
-    features = [f for f, c in counts_by_feature.items() if c.sum() >= least]
-    if not features:
-        return []
-    counts = np.array([counts_by_feature[f] for f in features], float)
-    share = totals / max(1.0, totals.sum())
-    mean = counts.sum(axis=1, keepdims=True) * share
-    z = (np.abs(counts - mean) / np.sqrt(np.maximum(mean * (1 - share), 1e-9))).max(axis=1)
-    order = sorted(range(len(features)), key=lambda i: (-z[i], features[i]))
-    return [features[i] for i in order[:most] if z[i] >= 2.5]
+class Vocabulary:
+    """Texts as arrays of token numbers, and the features of each token as numbers too: what a fit keeps of its sample."""
+
+    def __init__(self, texts: list[str], split: Callable[[str], list[str]], features: Callable[[str], Sequence[int]], width: int):
+        numbers: dict[str, int] = {}
+        self.texts = [np.fromiter((numbers.setdefault(t, len(numbers)) for t in split(text)), np.int32) for text in texts]
+        self.tokens = list(numbers)
+        table = np.zeros((len(numbers), width), np.uint64)
+        given = np.zeros((len(numbers), width), bool)
+        for i, token in enumerate(self.tokens):
+            own = features(token)
+            table[i, : len(own)], given[i, : len(own)] = own, True
+        self.hashes, at = np.unique(table[given], return_inverse=True)
+        self.features = np.full(table.shape, -1, np.int32)
+        self.features[given] = at
+
+    def telling(self, classes: np.ndarray, n_classes: int, least: int, most: int) -> np.ndarray:
+        """Numbers of the features whose share of documents differs most between the classes, by the largest z-score against independence."""
+        counts = np.zeros((n_classes, len(self.hashes)))
+        for text, c in zip(self.texts, classes, strict=True):
+            own = np.unique(self.features[np.unique(text)])
+            counts[c, own[own >= 0]] += 1
+        share = np.bincount(classes, minlength=n_classes)[:, None] / len(classes)
+        mean = counts.sum(axis=0) * share
+        z = (np.abs(counts - mean) / np.sqrt(np.maximum(mean * (1 - share), 1e-9))).max(axis=0)
+        good = np.flatnonzero((counts.sum(axis=0) >= least) & (z >= 2.5))
+        return good[np.lexsort((self.hashes[good], -z[good]))][:most]

@@ -86,33 +86,28 @@ def fit(rows: list[tuple[str, int]], features: int = 4000, least: int = 4, round
     if len(grades) < 2:
         return Model({}, (), grades)
     y = np.array([grades.index(g) for _, g in rows])
-    of: dict[str, tuple[int, ...]] = {}
-    counts: dict[int, np.ndarray] = {}
-    shares: list[dict[int, float]] = []
-    for (text, _), g in zip(rows, y, strict=True):
-        found = Counter(words := WORDS.findall(text))
-        own: dict[int, float] = {}
-        for word, n in found.items():
-            if word not in of:
-                of[word] = word_features(word)
-            of_word, of_shape = of[word]
-            own[of_word] = own.get(of_word, 0.0) + 1 / (len(found) + PRIOR)
-            own[of_shape] = own.get(of_shape, 0.0) + n / (len(words) + PRIOR)
-        if again := repeated(words):
-            own[AGAIN] = again / (len(words) + PRIOR)
-        shares.append(own)
-        for f, share in own.items():
-            if f not in counts:
-                counts[f] = np.zeros(len(grades))
-            counts[f][g] += min(1.0, 20 * share) if f == AGAIN else 1
-    kept = {f: i for i, f in enumerate(labelled.telling(counts, np.bincount(y).astype(float), least, features))}
-    kept.setdefault(AGAIN, len(kept))
-    place, column, value = (np.array(x) for x in zip(*((d, kept[f], v) for d, own in enumerate(shares) for f, v in own.items() if f in kept), strict=True))
-    scale = np.sqrt(np.bincount(column, value**2, len(kept)) / np.maximum(np.bincount(column, minlength=len(kept)), 1)) + 1e-3
+    known = labelled.Vocabulary([text for text, _ in rows], WORDS.findall, word_features, 2)
+    chosen = known.telling(y, len(grades), least, features)
+    column_of = np.full(len(known.hashes) + 1, -1)  # the last place is that of a missing feature
+    column_of[chosen] = np.arange(len(chosen))
+    n = len(chosen) + 1  # the last column is that of repetition
+    places, columns, values = [], [], []
+    for d, words in enumerate(known.texts):
+        own, counts = np.unique(words, return_counts=True)
+        of_word, of_shape = column_of[known.features[own]].reshape(-1, 2).T
+        total = np.bincount(of_word[of_word >= 0], minlength=n) / (len(own) + PRIOR)
+        total += np.bincount(of_shape[of_shape >= 0], counts[of_shape >= 0], n) / (len(words) + PRIOR)
+        total[-1] = (words[1:] == words[:-1]).sum() / (len(words) + PRIOR)
+        at = np.flatnonzero(total)
+        places.append(np.full(len(at), d))
+        columns.append(at)
+        values.append(total[at])
+    place, column, value = (np.concatenate(x) for x in (places, columns, values))
+    scale = np.sqrt(np.bincount(column, value**2, n) / np.maximum(np.bincount(column, minlength=n), 1)) + 1e-3
     x = value / scale[column]
     reached = np.cumsum(np.bincount(y, minlength=len(grades)))[:-1] / len(y)
     first, steps = float(np.log(reached[0] / (1 - reached[0]))), np.log(np.maximum(np.diff(np.log(reached / (1 - reached))), 1e-2))
-    w, seen = np.zeros(len(kept)), np.full(len(kept), 1e-8)
+    w, seen = np.zeros(n), np.full(n, 1e-8)
     t, seen_t = np.concatenate([[first], steps]), np.full(len(grades) - 1, 1e-8)
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     rows_at = np.arange(len(y))
@@ -124,14 +119,15 @@ def fit(rows: list[tuple[str, int]], features: int = 4000, least: int = 4, round
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         gz = (du - dl) / len(y)
-        gw = np.bincount(column, gz[place] * x, len(kept)) + shrink * w
+        gw = np.bincount(column, gz[place] * x, n) + shrink * w
         gc = np.array([(-du[y == j].sum() + dl[y == j + 1].sum()) / len(y) for j in range(len(cuts))])
         gt = np.array([gc.sum(), *(gc[j:].sum() * np.exp(t[j]) for j in range(1, len(t)))])
         seen, seen_t = seen + gw**2, seen_t + gt**2
         w -= rate * gw / np.sqrt(seen)
         t -= rate * gt / np.sqrt(seen_t)
     cuts = np.concatenate([[t[0]], t[0] + np.cumsum(np.exp(t[1:]))])
-    return Model({f: float(w[i] / scale[i]) for f, i in kept.items() if w[i]}, tuple(map(float, cuts)), grades)
+    hashes = [*map(int, known.hashes[chosen]), AGAIN]
+    return Model({f: float(v) for f, v in zip(hashes, w / scale, strict=True) if v}, tuple(map(float, cuts)), grades)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 8000, **options) -> Model:

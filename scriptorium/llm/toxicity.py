@@ -87,52 +87,42 @@ def fit(rows: list[tuple[str, int]], features: int = 4000, least: int = 4, round
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, float(np.log(max(share, 1e-12)) - np.log(max(1 - share, 1e-12))))
-    of: dict[str, list[int]] = {}
-    counts: dict[int, np.ndarray] = {}
-    tokens = [labelled.TOKENS.findall(text) for text, _ in rows]
-    for found, label in zip(tokens, y, strict=True):
-        present: set[int] = set()
-        for token in set(found):
-            if token not in of:
-                of[token] = [] if token[0] in ".!?\n" else word_features(token)
-            present.update(of[token])
-        for f in present:
-            if f not in counts:
-                counts[f] = np.zeros(2)
-            counts[f][int(label)] += 1
-    kept = {f: i for i, f in enumerate(labelled.telling(counts, np.array([len(y) - y.sum(), y.sum()]), least, features))}
-    own = {t: [kept[f] for f in fs if f in kept] for t, fs in of.items()}
+    known = labelled.Vocabulary([text for text, _ in rows], labelled.TOKENS.findall, lambda t: [] if t[0] in ".!?\n" else word_features(t), 1 + len(BEGINNINGS))
+    ends = np.array([t[0] in ".!?\n" for t in known.tokens], bool)
+    chosen = known.telling(y.astype(int), 2, least, features)
+    column_of = np.full(len(known.hashes) + 1, -1)  # the last place is that of a missing feature
+    column_of[chosen] = np.arange(len(chosen))
     bags, places, columns, n = [], [], [], 0  # document of a sentence; sentence and feature of a hit
-    for d, found in enumerate(tokens):
-        open_ = False
-        for token in found:
-            if token[0] in ".!?\n":
-                open_ = False
-                continue
-            if not open_:
-                bags.append(d)
-                open_ = True
-                n += 1
-            for c in own[token]:
-                places.append(n - 1)
-                columns.append(c)
-    bag, place, column = (np.array(x, np.int64) for x in (bags, places, columns))
+    for d, tokens in enumerate(known.texts):
+        words = ~ends[tokens]
+        if not words.any():
+            continue
+        _, sentence = np.unique(np.cumsum(~words)[words], return_inverse=True)
+        hits = column_of[known.features[tokens[words]]]
+        at, _ = np.nonzero(hits >= 0)
+        bags.append(np.full(sentence.max() + 1, d))
+        places.append(n + sentence[at])
+        columns.append(hits[hits >= 0])
+        n += sentence.max() + 1
+    if not n:
+        return Model({}, 0.0)
+    bag, place, column = (np.concatenate(x).astype(np.int64) for x in (bags, places, columns))
     per = np.bincount(bag, minlength=len(y))
     share = y.mean()
     bias = float(np.log(share / max(1.0, per.mean())))
-    w, seen, seen_bias = np.zeros(len(kept)), np.full(len(kept), 1e-6), 1e-6
+    w, seen, seen_bias = np.zeros(len(chosen)), np.full(len(chosen), 1e-6), 1e-6
     for _ in range(rounds):
         z = np.bincount(place, w[column], n) + bias
         p = 1 / (1 + np.exp(-z))
         none = np.exp(-np.bincount(bag, np.logaddexp(0, z), len(y)))  # probability that no sentence is bad
         pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
         g = pull[bag] * p / len(y)
-        gw = np.bincount(column, g[place], len(kept)) + shrink * w
+        gw = np.bincount(column, g[place], len(chosen)) + shrink * w
         gb = g.sum()
         seen, seen_bias = seen + gw**2, seen_bias + gb**2
         w -= rate * gw / np.sqrt(seen)
         bias -= rate * gb / np.sqrt(seen_bias)
-    return Model({f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-4}, float(bias))
+    return Model({int(f): float(x) for f, x in zip(known.hashes[chosen], w, strict=True) if abs(x) > 1e-4}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = 8000, **options) -> Model:

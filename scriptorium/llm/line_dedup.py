@@ -5,7 +5,7 @@ minimum hashes: a run's hash, exclusive-or-ed with one of 30 fixed random number
 similarity 0.8 a pair is missed once in 1300 times. For lines of more than 200 runs only runs whose hash is divisible by four are
 minimised over; lines of 160 to 200 runs are signed both ways, so lines near the limit still meet.
 
-In each band the lines of a bucket are held against its least, links are verified by the exact Jaccard similarity, and linked lines
+A line is held against the least line that shares a bucket with it, links are verified by the exact Jaccard similarity, and linked lines
 become components by distributed union-find. Where a bucket still holds several components, its lines are dealt to blocks, and
 every pair of blocks compares its lines of different components inside one row and gives back the linked components. So no
 pair is listed and no link between components is lost. One line of each component stays, where it comes first: in the document
@@ -49,13 +49,14 @@ def _run(wide: Column, i: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """The distinct run hashes of a line."""
-    wide = F.encode(line, "UTF-32")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), n_shingles(line) - 1), lambda i: _run(wide, i)))
+    # the encoded line is bound to a name of its own: inside a lambda an outer expression would be computed for every element
+    runs = lambda wide: F.transform(F.sequence(F.lit(0), F.greatest((F.length(wide) / 4).cast("int") - SHINGLE, F.lit(0))), lambda i: _run(wide, i))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), runs)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two arrays of distinct hashes reaches the threshold."""
+    return F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,8 +81,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """Those of the pairs ``a, b`` whose similarity reaches the threshold."""
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    like = F.least(F.length("s"), F.length("t")) >= (F.greatest(F.length("s"), F.length("t")) - SHINGLE) * (threshold / 2)
-    return both.where(like).where(jaccard(shingles(F.col("s")), shingles(F.col("t"))) >= threshold - 1e-12).select("a", "b")
+    # a filter's columns would be computed at every mention; as an element of an array they are computed once
+    once = F.array(F.struct(shingles(F.col("s")).alias("x"), shingles(F.col("t")).alias("y")))
+    return both.where(F.exists(once, lambda z: alike(z["x"], z["y"], threshold))).select("a", "b")
 
 
 def _across(open_: DataFrame, threshold: float) -> DataFrame:
@@ -93,7 +95,7 @@ def _across(open_: DataFrame, threshold: float) -> DataFrame:
     dealt = rows.groupBy("band", "low", "high").agg(
         F.collect_list(F.when(F.col("own") == F.col("low"), F.col("item"))).alias("left"), F.collect_list(F.when(F.col("own") == F.col("high"), F.col("item"))).alias("right")
     )
-    linked = lambda x, y: (x["root"] < y["root"]) & (jaccard(x["h"], y["h"]) >= threshold - 1e-12)
+    linked = lambda x, y: (x["root"] < y["root"]) & alike(x["h"], y["h"], threshold)
     either = lambda x, y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b"))
     one_way = lambda p, q: F.flatten(F.transform(p, lambda x: F.array_distinct(F.transform(F.filter(q, lambda y: linked(x, y)), lambda y: either(x, y)))))
     found = F.array_distinct(F.concat(one_way(F.col("left"), F.col("right")), F.when(F.col("low") == F.col("high"), F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(one_way(F.col("right"), F.col("left")))))
@@ -116,7 +118,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     wanted = first.join(shared.select("id").distinct(), "id").select("id", "first.k", "first.n")
     texts = runtime.stored(lines.join(wanted, ["id", "k", "n"]).dropDuplicates(["id"]).select("id", "line"), "lines")
     runtime.release(spark)
-    pairs = shared.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = shared.where("id <> least").groupBy(F.col("id").alias("a")).agg(F.min("least").alias("b"))  # one is enough: open buckets are searched below
     links = runtime.stored(_verified(pairs, texts, threshold), "links")
     roots = runtime.stored(components.components(links), "roots")
     now = shared.select("band", "id").join(roots, shared["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))

@@ -1,6 +1,328 @@
-"""Registered queries of the engine and the SQL each is compared with."""
+"""Registered queries of the engine and the SQL each is compared with. Queries run over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as T
+from scriptorium.operators import answer, changes, chunking, evaluate, structure, suspicion, vectors
+from scriptorium.plans import fixtures as X
+from scriptorium.plans.fixtures import table
+from scriptorium.sources import readers, writers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "point_id", "embedding": "vector"})
+
+
+def one_vector(rows: DataFrame, number: int) -> list[float]:
+    found = rows.where(F.col("point_id") == number).select("vector").limit(1).collect()
+    return [float(x) for x in found[0].vector] if found else []
+
+
+COSINE = "round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+
+
+@query(f"SELECT p.vec_id AS point_id, p.label, {COSINE} AS score FROM embeddings p, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, p.vec_id LIMIT 5")
+def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir)
+    return vectors.top_k(rows, one_vector(rows, 0), 5).select("point_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT p.vec_id AS point_id, p.label, {COSINE} AS score FROM embeddings p, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE p.label IN (1, 2, 3) AND p.vec_id >= 10 AND list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.05 ORDER BY list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, p.vec_id LIMIT 20")
+def vector_topk_filtered_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir)
+    spec = {"must": [{"key": "label", "match": {"any": [1, 2, 3]}}], "must_not": [{"key": "point_id", "range": {"lt": 10}}]}
+    return vectors.top_k(rows, one_vector(rows, 0), 20, spec, 0.05).select("point_id", "label", F.round("score", 6).alias("score"))
+
+
+BATCH = f"""
+WITH s AS (SELECT q.vec_id AS query_id, q.label AS query_label, p.vec_id AS point_id, p.label, list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
+  FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, point_id) AS INTEGER) AS rank FROM s)"""
+
+
+def batch(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Queries are the rows whose id is divisible by 50; scores are compared to nine places, so rounding can't break ties."""
+    rows = points(spark, sf_dir)
+    asked = rows.where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = vectors.batch_top_k(rows, asked, k + 5)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "point_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+@query(BATCH + " SELECT query_id, rank, point_id, round(raw, 6) AS score FROM r WHERE rank <= 5")
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch(spark, sf_dir, 5).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+@query(BATCH + """, c AS (SELECT *, CASE WHEN label = query_label THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS rerank_score FROM r WHERE rank <= 20)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER) AS rank, rank AS initial_rank, point_id, round(raw, 6) AS vector_score, rerank_score FROM c) WHERE rank <= 5""")
+def two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = points(spark, sf_dir).select(F.col("point_id").alias("query_id"), F.col("label").alias("query_label"))
+    found = batch(spark, sf_dir, 20).join(labels, "query_id")
+    best = vectors.rerank(found, (F.col("label") == F.col("query_label")).cast("double"), 5)
+    return best.select("query_id", "rank", "initial_rank", "point_id", F.round("vector_score", 6).alias("vector_score"), "rerank_score")
+
+
+@query(f"""WITH {X.WITH_BREAKS}, a AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM d),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS t FROM a)
+SELECT doc_id, regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM b""")
+def light_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.with_breaks(spark, sf_dir).select("doc_id", T.light(F.col("text")).alias("text"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS html FROM pages")
+def html_unescape_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_unescape(F.col("html")).alias("html"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x: trim(x) = '' OR NOT (regexp_matches(trim(x), '^<!--.*-->$') OR (starts_with(trim(x), '<') AND NOT contains(x, '>'))
+  OR (NOT regexp_matches(x, '[A-Za-zА-Яа-яЁё]') AND regexp_matches(trim(x), '^(?:[^\p{L}\p{N}]|\p{Nd}){1,3}$'))
+  OR regexp_matches(trim(x), '^@[A-Za-z0-9_.-]+\s*\(\d+(?:-\d+)?\)$')
+  OR (regexp_matches(trim(x), '^[A-Za-zА-Яа-яЁё]{1,3}$') AND lower(trim(x)) NOT IN ('да', 'нет', 'yes', 'no')))), chr(10)) AS text FROM l""")
+def drop_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.drop_noise_lines(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(replace(text, 'The ', 'T he '), '\b(?:([AI])\s+([A-Z]{2,})|([B-HJ-Z])\s+([A-Za-z]{2,}))\b', '\1\2\3\4', 'g') AS text FROM documents WHERE lang = 'en'""")
+def join_single_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return docs.select("doc_id", T.join_single_letters(F.replace("text", F.lit("The "), F.lit("T he "))).alias("text"))
+
+
+@query(f"""WITH {X.WITH_CYRILLIC} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё-]+|[^A-Za-zА-Яа-яЁё-]+'),
+  lambda x: CASE WHEN regexp_matches(x, '[А-Яа-яЁё]') THEN translate(x, '{T.LOOKALIKE_LATIN}', '{T.LOOKALIKE_CYRILLIC}') ELSE x END), '') AS text FROM d""")
+def homoglyph_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.with_cyrillic(spark, sf_dir).select("doc_id", T.fix_homoglyphs(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(text, 'é', 'e' || chr(769))) AS text FROM documents")
+def nfc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.compose(F.replace("text", F.lit("é"), F.lit("é"))).alias("text"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM pages")
+def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+@query(f"WITH {X.SECTIONS} SELECT doc_id, section_seq, level, title, text, page_start, page_end, array_to_string(path, ' > ') AS path FROM sections")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.sections(X.books(spark, sf_dir), "doc_id")
+    return found.withColumn("path", F.array_join(structure.titles_of(F.col("path")), " > "))
+
+
+@query(f"WITH {X.SECTIONS}, c AS (SELECT *, min(section_seq) OVER (PARTITION BY doc_id, chapter_title) AS f FROM sections WHERE level > 1) SELECT doc_id, section_seq, book_title, chapter_title, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY f) AS INTEGER) AS chapter_index, len(path)::INTEGER AS depth FROM c")
+def structural_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.chapter_index(structure.structural(structure.sections(X.books(spark, sf_dir), "doc_id"), "doc_id"), "doc_id")
+    return found.select("doc_id", "section_seq", "book_title", "chapter_title", "chapter_index", F.size("section_path").alias("depth"))
+
+
+def chunked(spark: SparkSession, sf_dir: str, size: int = 80, overlap: int = 12) -> DataFrame:
+    return chunking.chunks(structure.structural(structure.sections(X.books(spark, sf_dir), "doc_id"), "doc_id"), "doc_id", size, overlap)
+
+
+@query()
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked(spark, sf_dir)
+
+
+@query(f"""WITH {X.BOOKS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM books),
+i AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM l)
+SELECT doc_id, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, string_agg(line, chr(10) ORDER BY n) AS text FROM i WHERE trim(line) <> '' GROUP BY doc_id, island""")
+def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.paragraphs(X.books(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "start_line", "end_line", F.array_join("lines", "\n").alias("text"))
+
+
+@query()
+def suspicious_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suspicion.suspicious(X.with_cyrillic(spark, sf_dir), "doc_id", most=3).withColumn("score", F.round("score", 6))
+
+
+LEXICAL = "(length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4"
+
+
+@query(f"SELECT doc_id, CAST({LEXICAL} AS BIGINT) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 10")
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.lexical_top_k(table(spark, sf_dir, "documents"), "the tion", 10, order="doc_id").select("doc_id", "score")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(x), lambda v: least(len(list_filter(x, lambda q: q = v)), len(list_filter(y, lambda q: q = v))))), 0) AS common FROM p)
+SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN CASE WHEN len(x) = len(y) THEN 1.0 ELSE 0.0 END ELSE 2.0 * common / (len(x) + len(y)) END, 9) AS f1 FROM c""")
+def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(evaluate.token_f1(F.col("text"), F.col("reply")), 9).alias("f1"))
+
+
+RECALL = BATCH + """, g AS (SELECT label AS query_label, list_slice(list(vec_id ORDER BY vec_id), 1, 5) AS expected FROM embeddings GROUP BY label),
+t AS (SELECT query_id, query_label, list(point_id) AS retrieved FROM r WHERE rank <= 20 GROUP BY query_id, query_label),
+recalls AS (SELECT query_id, len(list_intersect(expected, retrieved)) / CAST(len(expected) AS DOUBLE) AS recall FROM t JOIN g USING (query_label))"""
+
+
+def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected are the five smallest ids of the query's label: kept by rank, not gathered by label."""
+    rows = points(spark, sf_dir)
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("point_id"))).where("n <= 5")
+    gold = first.groupBy(F.col("label").alias("query_label")).agg(F.collect_list(F.col("point_id").cast("string")).alias("expected"))
+    labels = rows.select(F.col("point_id").alias("query_id"), F.col("label").alias("query_label"))
+    found = batch(spark, sf_dir, 20).groupBy("query_id").agg(F.collect_list(F.col("point_id").cast("string")).alias("retrieved"))
+    both = found.join(labels, "query_id").join(gold, "query_label")
+    return both.select("query_id", evaluate.chunk_recall(F.col("expected"), F.col("retrieved")).alias("recall"))
+
+
+@query(RECALL + " SELECT query_id, round(recall, 9) AS recall FROM recalls")
+def chunk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recalls(spark, sf_dir).withColumn("recall", F.round("recall", 9))
+
+
+@query(RECALL + " SELECT count(*) AS n_samples, round(avg(recall), 9) AS mean_recall, round(avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END), 9) AS mean_score FROM recalls")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.report(recalls(spark, sf_dir).withColumn("score", (F.col("recall") > 0).cast("double")))
+    return found.select("n_samples", F.round("mean_recall", 9).alias("mean_recall"), F.round("mean_score", 9).alias("mean_score"))
+
+
+TITLES = f"{X.SECTIONS}, titles AS (SELECT doc_id, section_seq, text, array_to_string(list_filter([book_title, chapter_title, array_to_string(list_filter(path, lambda x: x <> ''), ' › '), 'id=' || doc_id::VARCHAR], lambda x: x <> ''), ' • ') AS title FROM sections WHERE level > 1)"
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.structural(structure.sections(X.books(spark, sf_dir), "doc_id"), "doc_id")
+    title = T.source_title(F.col("book_title"), F.col("chapter_title"), F.col("section_path"), F.col("doc_id").cast("string"))
+    return rows.withColumn("title", title)
+
+
+@query(f"WITH {TITLES} SELECT doc_id, section_seq, title FROM titles")
+def source_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titled(spark, sf_dir).select("doc_id", "section_seq", "title")
+
+
+CONTEXT = f"""{TITLES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {LEXICAL} DESC, section_seq) AS rank FROM titles),
+blocks AS (SELECT doc_id, rank, '[' || rank || '] ' || title || chr(10) || CASE WHEN text = '' THEN '{T.MISSING_TEXT}' WHEN length(text) > 300 THEN regexp_replace(left(text, 300), '\\s+$', '') || '…' ELSE text END AS block FROM ranked WHERE rank <= 5),
+contexts AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY doc_id)"""
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = titled(spark, sf_dir).withColumn("score", vectors.term_count(F.col("text"), F.lit("the tion")))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "section_seq"))).where("rank <= 5")
+    block = F.struct("rank", T.context_block(F.col("rank"), F.col("title"), F.col("text"), 300).alias("block"))
+    grouped = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    return grouped.select("doc_id", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n").alias("context"))
+
+
+@query(f"WITH {CONTEXT} SELECT doc_id, context FROM contexts")
+def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts(spark, sf_dir)
+
+
+@query(f"""WITH {CONTEXT} SELECT doc_id, 'Ответь на вопрос, используя только приведённые ниже выдержки из правил.' || chr(10) || 'Если ответа нет, скажи об этом напрямую.' || chr(10)
+  || 'Каждое утверждение подтверждай ссылкой на источник вида [номер], где номер — блок из раздела «Контекст».' || chr(10) || chr(10) || 'Контекст:' || chr(10) || context || chr(10) || chr(10) || 'Вопрос: the tion' || chr(10) || chr(10)
+  || 'Формат ответа: связный текст на языке вопроса с пометками [номер]. После ответа можешь кратко перечислить использованные источники.' AS prompt FROM contexts""")
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts(spark, sf_dir).select("doc_id", T.user_prompt(F.lit("the tion"), F.col("context")).alias("prompt"))
+
+
+SAID = "CASE WHEN turn % 3 = 0 THEN ' К сожалению, в доступных правилах нет информации о ' || text WHEN turn % 3 = 1 THEN 'Не удалось найти релевантные фрагменты' ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, trim({SAID}) <> '' AND NOT starts_with(lower(trim({SAID})), '{T.NOT_FOUND[0]}') AND NOT starts_with(lower(trim({SAID})), '{T.NOT_FOUND[1]}') AS found FROM conversations")
+def answer_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_found(F.expr(SAID)).alias("found"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE (doc_id % 5) / 4.0 END AS score FROM documents""")
+def judge_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.expr("""CASE WHEN doc_id % 5 = 0 THEN 'no verdict' ELSE concat('Reply: {"score": ', cast((doc_id % 5) / 4.0 AS double), ', "reasoning": "ok"} done') END""")
+    return table(spark, sf_dir, "documents").select("doc_id", T.judge_verdict(reply)["score"].alias("score"))
+
+
+@query("""SELECT vec_id AS point_id, CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS label FROM embeddings""")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations through the stored collection: all points, then every seventh anew."""
+    rows = points(spark, sf_dir)
+    size = rows.select(F.max(F.size("vector"))).first()[0] or 1
+    store = vectors.Collection(spark, X.scratch(spark, "collection"), size)
+    store.ensure()
+    store.upsert(rows)
+    store.upsert(rows.where("point_id % 7 = 0").withColumn("label", F.col("label") + 100))
+    return store.points().select(F.col("point_id").cast("long").alias("point_id"), "label")
+
+
+@query()
+def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each conversation's turns: at most 4 texts or 60 tokens each."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), T.count_tokens(F.col("text")).alias("n_tokens"))
+    return answer.batches(turns, "conv_id", "n_tokens", 4, 60)
+
+
+@query()
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.with_breaks(spark, sf_dir)
+    log = changes.change_log()
+    return rows.select("doc_id", F.explode(log(F.col("text"), T.light(F.col("text")))).alias("x")).select("doc_id", "x.line", "x.before", "x.after")
+
+
+@query()
+def deep_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.books(spark, sf_dir)
+    for _, step in T.deep_steps():
+        rows = rows.withColumn("text", step(F.col("text")))
+    return rows
+
+
+@query(BATCH + """, f AS (SELECT * FROM r WHERE rank <= 5)
+SELECT query_id, rank, point_id, round(raw, 6) AS vector_score, CASE WHEN label = query_label THEN CAST(1.0 AS DOUBLE) END AS rerank_score FROM f""")
+def diagnostics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final chunks beside the scores of both stages; a missing score is null."""
+    found = batch(spark, sf_dir, 5).withColumn("chunk_id", F.concat_ws("-", "query_id", "point_id"))
+    labels = points(spark, sf_dir).select(F.col("point_id").alias("query_id"), F.col("label").alias("query_label"))
+    second = found.join(labels, "query_id").where("label = query_label").select("chunk_id", "rank", F.lit(1.0).alias("score"))
+    joined = answer.joined_scores(found.select("chunk_id", "query_id", "rank", "point_id"), found.select("chunk_id", "rank", "score"), second)
+    return joined.select("query_id", "rank", "point_id", F.round("vector_score", 6).alias("vector_score"), "rerank_score")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(source), 'player|handbook') THEN 'PHB' WHEN regexp_matches(lower(source), 'dungeon|master|dmg') THEN 'DMG' ELSE upper(source) END AS book FROM documents")
+def book_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.book_code(F.concat(F.lit("/in/"), "source", F.lit(".pdf"))).alias("book"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN regexp_replace(left(text, 100), '\\s+$', '') || '…' ELSE text END AS truncated, CASE WHEN length(text) > 140 THEN left(replace(text, chr(10), ' '), 140) || '…' ELSE replace(text, chr(10), ' ') END AS preview FROM documents".replace("\\\\", "\\"))
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 100).alias("truncated"), T.line_preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = X.scratch(spark, "lines")
+    writers.json_lines(table(spark, sf_dir, "benchmark"), path)
+    return readers.json_lines(spark, path, "item_id long, text string").drop("file_ord")
+
+
+@query()
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item asked of all chunks, with the offline models."""
+    rows = chunked(spark, sf_dir, 200, 20)
+    collection = rows.withColumn("point_id", F.xxhash64("chunk_id")).withColumn("vector", vectors.hashed_embedding(F.col("text")))
+    path = X.scratch(spark, "chunks")
+    collection.write.parquet(path)
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("question"))
+    found = answer.answer(questions, spark.read.parquet(path), k=3)
+    return found.select("query_id", "answer", "answer_found", F.size("chunks").alias("n_chunks"), "requested_k", "initial_k", "extra")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -34,10 +34,15 @@ def converted(files: DataFrame, converter: Callable[[bytes], str] | None = None)
     return files.select("book", "content").mapInPandas(run, "book string, text string").withColumn("text", T.light(F.col("text")))
 
 
+def stem(name: Column) -> Column:
+    """A Markdown file's name, as Spark escapes it in a path, without its ending."""
+    return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.md\z", "")
+
+
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """``book, text``: a directory's Markdown files, the book named by the file's stem."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path)
-    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md\z", "").alias("book"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    return files.select(stem(F.col("_metadata.file_name")).alias("book"), F.col("value").alias("text"))
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.functions import text as T
+from scriptorium.sources.readers import stem
 
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
     """``book, text`` of Markdown files as they come into a directory; a file is one row, so a document is never split."""
     files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.md").load(path)
-    return files.select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.md\z", "").alias("book"), F.col("value").alias("text"))
+    return files.select(stem(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("book"), F.col("value").alias("text"))
 
 
 def cleaned(stream: DataFrame, text: str = "text") -> DataFrame:

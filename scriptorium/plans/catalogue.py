@@ -326,3 +326,102 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("question"))
     found = answer.answer(questions, spark.read.parquet(path), k=3)
     return found.select("query_id", "answer", "answer_found", F.size("chunks").alias("n_chunks"), "requested_k", "initial_k", "extra")
+
+
+@query(r"""WITH d AS (SELECT doc_id, replace(replace(text, ', ', ' - '), '. ', ' .  ') AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])(?:\s+-\s*|\s*-\s+)([\p{L}\p{N}_])', '\1-\2', 'g'), '([\p{L}\p{N}_])(?:\s+-\s*|\s*-\s+)([\p{L}\p{N}_])', '\1-\2', 'g') AS t FROM d),
+b AS (SELECT doc_id, regexp_replace(t, '([^\n])\s-\s([^-])', '\1 — \2', 'g') AS t FROM a)
+SELECT doc_id, regexp_replace(regexp_replace(t, '\s+([,.;:!?])', '\1', 'g'), '[ \t]{2,}', ' ', 'g') AS text FROM b""")
+def dash_space_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.replace("text", F.lit(", "), F.lit(" - ")), F.lit(". "), F.lit(" .  "))
+    return table(spark, sf_dir, "documents").select("doc_id", T.dashes_and_spaces(text).alias("text"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Za-zА-Яа-яЁё])-\s*\n\s*([A-Za-zА-Яа-яЁё])', '\1\2', 'g'), '([^\n|])\n([^\n|#*+•-])', '\1 \2', 'g') AS text FROM documents""")
+def join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.join_lines(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def decode_uni_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two letters are written out as codes, and read back."""
+    coded = F.replace(F.replace("text", F.lit("th"), F.lit("/uni0074h")), F.lit("é"), F.lit("/uni00E9"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.decode_uni(coded).alias("text"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.  ' || chr(9) || repeat(chr(10), 4)), '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS text FROM documents""")
+def final_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.final_spacing(F.replace("text", F.lit(". "), F.lit(".  \t\n\n\n\n"))).alias("text"))
+
+
+@query(f"""WITH {X.WITH_CYRILLIC} SELECT doc_id, regexp_replace(replace(text, ' и', ' fи'), '(^|[^\\p{{L}}\\p{{N}}_])[fF]([аеиоуыэюяАЕИОУЫЭЮЯ])', '\\1\\2', 'g') AS text FROM d""")
+def drop_f_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.with_cyrillic(spark, sf_dir)
+    return rows.select("doc_id", T.drop_f_before_vowel(F.replace("text", F.lit(" и"), F.lit(" fи"))).alias("text"))
+
+
+@query()
+def short_latin_and_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fixes for mostly Russian lines, over documents turned Cyrillic with digits among the letters."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "abdefghiklmnoprstuz", "абдефгхиклмнопрст0з"))
+    return rows.select("doc_id", T.fix_digits(T.fix_short_latin(F.col("text"))).alias("text"))
+
+
+@query()
+def dedupe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.dedupe_words(F.regexp_replace("text", r"\b(\w{5,})\b", "$1 $1")).alias("text"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS INTEGER) AS n_tokens FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(f"""WITH {X.WITH_CYRILLIC}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM d),
+c AS (SELECT doc_id, line, length(regexp_replace(line, '[^А-Яа-яЁё]', '', 'g')) AS cyr, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS lat FROM l)
+SELECT doc_id, sum(cyr)::BIGINT AS n_cyrillic, sum(lat)::BIGINT AS n_latin, count(*) FILTER (cyr > 0 AND cyr >= lat) AS n_russian, count(*) FILTER (length(line) - length(replace(line, '|', '')) >= 2) AS n_table FROM c GROUP BY doc_id""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by document of letters by script, of mostly Russian lines and of table rows."""
+    line = F.col("line")
+    rows = structure.lines(X.with_cyrillic(spark, sf_dir), "doc_id")
+    return rows.groupBy("doc_id").agg(
+        F.sum(T.n_cyrillic(line)).alias("n_cyrillic"), F.sum(T.n_latin(line)).alias("n_latin"),
+        F.count_if(T.russian_dominant(line)).alias("n_russian"), F.count_if(F.regexp_count(line, F.lit(r"\|")) >= 2).alias("n_table"),
+    )
+
+
+@query()
+def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.point_id(F.col("url")).alias("url_id"), T.point_id(F.col("page_id")).alias("own_id"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'eng,rus' ELSE lang || ',eng,rus' END AS languages FROM documents")
+def ocr_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.when(F.col("lang") == "en", F.array(F.lit("en"), F.lit("ru"))).otherwise(F.array("lang", F.lit("en"), F.lit(" RU ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.ocr_languages(given), ",").alias("languages"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END, '') AS book_title, '' AS chapter_title, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS depth FROM documents")
+def section_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("book_title"), F.lit(None).cast("string").alias("chapter_title"), F.when(F.col("doc_id") % 2 != 0, F.array("lang")).alias("section_path"))
+    return readers.coerced(rows).select("doc_id", "book_title", "chapter_title", F.size("section_path").alias("depth"))
+
+
+@query("SELECT item_id, text, CAST(CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS file_ord FROM benchmark")
+def json_lines_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, paths = table(spark, sf_dir, "benchmark"), [X.scratch(spark, "even"), X.scratch(spark, "odd")]
+    for i, path in enumerate(paths):
+        writers.json_lines(rows.where(F.col("item_id") % 2 == i), path)
+    return readers.json_lines(spark, paths, "item_id long, text string")
+
+
+@query("SELECT count(*) AS n_questions, count(*) AS n_logged FROM benchmark")
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to every benchmark item without any chunk, logged by day and read back."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    none = spark.createDataFrame([], readers.CHUNK + ", point_id long, vector array<float>")
+    path = X.scratch(spark, "log")
+    writers.query_log(answer.log_rows(answer.answer(questions, none), answer.Models()), path)
+    logged = spark.read.json(path)
+    return logged.agg(F.count_distinct("query_id").alias("n_questions"), F.count_if(~F.col("answer_found") & (F.col("log_date") == F.substring("timestamp_utc", 1, 10))).alias("n_logged"))

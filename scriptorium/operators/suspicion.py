@@ -20,9 +20,9 @@ def _latin(w: Column) -> Column:
     return w.rlike("[A-Za-z]")
 
 
-def _words(words: Column, in_cyrillic: Column) -> Column:
+def _words(words: Column, in_cyrillic: Column, known: list[str] | None) -> Column:
     """Counts and flags over the words, in order: whether a short Latin word counts depends on the Cyrillic words up to it."""
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("n_latin", "n_cyr", "n_latin_only", "n_flagged", "mixed", "capitals", "strangers")])
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("n_latin", "n_cyr", "n_latin_only", "n_flagged", "mixed", "capitals", "strangers", "unknown")])
 
     def step(a: Column, w: Column) -> Column:
         cyr, lat = _cyrillic(w), _latin(w)
@@ -30,27 +30,32 @@ def _words(words: Column, in_cyrillic: Column) -> Column:
         mixed = cyr & lat
         capitals = (F.length(F.regexp_replace(w, r"\P{Lu}", "")) >= 2) & ~T.has_letter_case(w, "upper")
         stranger = in_cyrillic & lat & ~cyr & ((F.length(w) >= 4) | (n_cyr >= 3)) & ~T.has_letter_case(w, "upper")
+        unknown = cyr & (F.length(w) >= 5) & ~F.lower(w).isin(known) if known else F.lit(False)
         values = {
             "n_latin": a["n_latin"] + lat.cast("int"),
             "n_cyr": n_cyr,
             "n_latin_only": a["n_latin_only"] + (lat & ~cyr).cast("int"),
-            "n_flagged": a["n_flagged"] + (mixed | capitals | stranger).cast("int"),
+            "n_flagged": a["n_flagged"] + (mixed | capitals | stranger | unknown).cast("int"),
             "mixed": a["mixed"] + mixed.cast("int"),
             "capitals": a["capitals"] + capitals.cast("int"),
             "strangers": a["strangers"] + stranger.cast("int"),
+            "unknown": a["unknown"] + unknown.cast("int"),
         }
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
     return F.aggregate(words, zero, step)
 
 
-def scored(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs (``lines`` array) with ``text, score, reasons`` and ``kept_always``; ones without words and headings are left out."""
+def scored(paragraphs: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """Paragraphs (``lines`` array) with ``text, score, reasons`` and ``kept_always``; ones without words and headings are left out.
+
+    With a small dictionary of lower-case words, longer Cyrillic words that it lacks count too; without one, none does.
+    """
     df = paragraphs.withColumn("text", T.strip(F.array_join("lines", "\n")))
     df = df.withColumn("found", F.regexp_extract_all("text", F.lit(rf"[{T.LETTER}']+"), F.lit(0)))
     df = df.where(~F.regexp_replace(F.element_at("lines", 1), r"(?U)^[\s\x1c-\x1f]+", "").startswith("#") & (F.size("found") > 0))
     words = F.filter(F.transform("found", lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
-    df = df.withColumn("in_cyr", T.n_cyrillic(F.col("text")) >= T.n_latin(F.col("text"))).withColumn("w", _words(words, F.col("in_cyr")))
+    df = df.withColumn("in_cyr", T.n_cyrillic(F.col("text")) >= T.n_latin(F.col("text"))).withColumn("w", _words(words, F.col("in_cyr"), known))
     solid = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
     weird = F.length(F.regexp_replace("text", rf"(?U)[\s\x1c-\x1f0-9{T.LETTER}{ALLOWED}]", ""))
     df = df.withColumn("weird", F.when(solid > 0, weird / solid).otherwise(0.0)).withColumn("latin_share", F.col("w.n_latin") / F.greatest(F.col("w.n_latin") + F.col("w.n_cyr"), F.lit(1)))
@@ -58,7 +63,7 @@ def scored(paragraphs: DataFrame) -> DataFrame:
     only = F.col("in_cyr") & (F.col("w.n_latin_only") > 0)
     extra = F.greatest(F.when(F.col("w.strangers") > 0, 0.5).otherwise(0.0), F.when(only, F.least(F.lit(0.6), 0.4 + 0.05 * F.col("w.n_latin_only"))).otherwise(0.0))
     parts = F.col("w.n_flagged") / F.size("found") + F.when(odd, F.least(F.lit(0.4), (F.col("weird") - 0.05) * 4)).otherwise(0.0) + F.when(share, F.least(F.lit(0.4), (F.col("latin_share") - 0.2) * 2)).otherwise(0.0)
-    named = [(F.col("w.mixed") > 0, "mixed-script"), (F.col("w.capitals") > 0, "mixed-case"), (F.col("w.strangers") > 0, "latin-in-cyr"), (odd, "weird-chars"), (share, "latin-ratio"), (only, "latin-only")]
+    named = [(F.col("w.mixed") > 0, "mixed-script"), (F.col("w.capitals") > 0, "mixed-case"), (F.col("w.unknown") > 0, "unknown-cyr"), (F.col("w.strangers") > 0, "latin-in-cyr"), (odd, "weird-chars"), (share, "latin-ratio"), (only, "latin-only")]
     reasons = F.array_sort(F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in named]), lambda x: x.isNotNull()))
     short, comment = F.length("text") <= 10, F.col("text").rlike(r"(?d)^<!--.*-->\z")
     latin = _latin(F.col("text"))
@@ -73,9 +78,9 @@ def priority(reasons: Column) -> Column:
     return F.when(has("latin-only", "latin-in-cyr"), 0).when(has("mixed-script", "latin-ratio"), 1).when(has("unknown-cyr", "weird-chars"), 2).when(has("short-fragment"), 4).otherwise(3)
 
 
-def suspicious(docs: DataFrame, key: str, text: str = "text", min_score: float = 0.45, most: int | None = None) -> DataFrame:
+def suspicious(docs: DataFrame, key: str, text: str = "text", min_score: float = 0.45, most: int | None = None, known: list[str] | None = None) -> DataFrame:
     """``key, rank, text, score, reasons, start_line, end_line``: each document's suspicious paragraphs, worst first, ``most`` at most."""
-    rows = scored(structure.paragraphs(docs, key, text)).where(F.col("kept_always") | ((F.col("score") >= min_score) & (F.size("reasons") > 0)))
+    rows = scored(structure.paragraphs(docs, key, text), known).where(F.col("kept_always") | ((F.col("score") >= min_score) & (F.size("reasons") > 0)))
     order = Window.partitionBy(key).orderBy(priority(F.col("reasons")), F.desc("score"), "start_line")
     rows = rows.withColumn("rank", F.row_number().over(order))
     if most is not None:

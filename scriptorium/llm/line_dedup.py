@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash over character shingles. DataFrame functions only.
 
-Lines that aren't blank are compared by the sets of their runs of eight characters (a shorter line is one run). Each set has 30
-minimum hashes: a run's hash, exclusive-or-ed with one of 30 fixed random numbers. Ten bands of three make candidates: at
-similarity 0.8 a pair is missed once in 1300 times. For lines of more than 200 runs only runs whose hash is divisible by four are
+Lines that aren't blank are compared by the sets of their runs of eight characters (a shorter line is one run). Each set has 24
+minimum hashes: a run's hash, exclusive-or-ed with one of 24 fixed random numbers. Eight bands of three make candidates: at
+similarity 0.8 a pair is missed once in 300 times, at 0.9 once in 300 000. For lines of more than 200 runs only runs whose hash is divisible by four are
 minimised over; lines of 160 to 200 runs are signed both ways, so lines near the limit still meet.
 
 A line is held against the least line that shares a bucket with it, links are verified by the exact Jaccard similarity, and linked lines
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import components, runtime
 
-SHINGLE, BANDS, ROWS = 8, 10, 3
+SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Runs from which a line is also signed by a quarter of its runs, and up to which it is signed by all.
 SAMPLED_FROM, WHOLE_TO = 160, 200
 #: Lines in a block of a bucket that is searched between components.
@@ -30,7 +30,7 @@ BLOCK = 32
 
 
 def _masks() -> list[int]:
-    """Thirty 63-bit numbers, by a linear congruential generator."""
+    """Fixed 63-bit numbers, by a linear congruential generator."""
     out, x = [], 1
     for _ in range(BANDS * ROWS):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
@@ -65,16 +65,16 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("k is not null").where(F.col("line").rlike(r"[^\s]")).select("k", "n", F.xxhash64("line").alias("id"), "line")
 
 
-def banded(unique: DataFrame) -> DataFrame:
-    """``id, bands``: the band keys of each line ``id, line``, which are dealt out by ``id``."""
+def banded(lines: DataFrame) -> DataFrame:
+    """``id, bands``: the band keys of each line ``id, line``. Minima are taken before rows travel, so a line that is everywhere costs a row a task."""
     n = n_shingles(F.col("line"))
     kinds = F.when(n < SAMPLED_FROM, F.array(F.lit(0))).when(n <= WHOLE_TO, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    wide = unique.select("id", F.encode("line", "UTF-32").alias("wide"), n.alias("n"), F.explode(kinds).alias("sampled"))
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), n.alias("n"), F.explode(kinds).alias("sampled"))
     runs = wide.select("id", "sampled", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("id", "sampled", _run(F.col("wide"), F.col("i")).alias("h"))
     runs = runs.where("sampled = 0 or h % 4 = 0")
     least = runs.groupBy("id", "sampled").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks())])
     key = lambda b: F.xxhash64(F.lit(b), "sampled", *[f"m{b * ROWS + r}" for r in range(ROWS)])
-    return least.select("id", F.array(*map(key, range(BANDS))).alias("bands"))
+    return least.select("id", "sampled", F.array(*map(key, range(BANDS))).alias("bands"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -87,31 +87,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def _across(open_: DataFrame, threshold: float) -> DataFrame:
-    """Linked components ``a, b`` within each bucket of ``band, id, root, line``."""
+    """Linked components ``a, b`` within each bucket of ``band, id, root, earlier, line``.
+
+    ``earlier`` holds the line's keys of the bands before this one: a pair that shares one of them is left to that one's bucket.
+    """
     size = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = open_.join(size, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.withColumn("item", F.struct("root", shingles(F.col("line")).alias("h")))
-    rows = rows.select("band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "item").repartition("band", "low", "high")
+    rows = rows.select("band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "root", "earlier", "line").repartition("band", "low", "high")
+    rows = rows.withColumn("item", F.struct("root", "earlier", shingles(F.col("line")).alias("h")))  # after the shuffle: hashes are larger than lines
     dealt = rows.groupBy("band", "low", "high").agg(
         F.collect_list(F.when(F.col("own") == F.col("low"), F.col("item"))).alias("left"), F.collect_list(F.when(F.col("own") == F.col("high"), F.col("item"))).alias("right")
     )
-    linked = lambda x, y: (x["root"] < y["root"]) & alike(x["h"], y["h"], threshold)
-    either = lambda x, y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b"))
-    one_way = lambda p, q: F.flatten(F.transform(p, lambda x: F.array_distinct(F.transform(F.filter(q, lambda y: linked(x, y)), lambda y: either(x, y)))))
-    found = F.array_distinct(F.concat(one_way(F.col("left"), F.col("right")), F.when(F.col("low") == F.col("high"), F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(one_way(F.col("right"), F.col("left")))))
-    return dealt.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
+    linked = lambda x, y: (x["root"] < y["root"]) & ~F.arrays_overlap(x["earlier"], y["earlier"]) & alike(x["h"], y["h"], threshold)
+    pair = lambda x, y: F.struct(x["root"].alias("a"), y["root"].alias("b"))
+    one_way = lambda p, q: F.flatten(F.transform(p, lambda x: F.array_distinct(F.transform(F.filter(q, lambda y: linked(x, y)), lambda y: pair(x, y)))))
+    back = F.when(F.col("low") == F.col("high"), F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(one_way(F.col("right"), F.col("left")))
+    return dealt.select(F.explode(F.array_distinct(F.concat(one_way(F.col("left"), F.col("right")), back))).alias("x")).select("x.a", "x.b").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``k, removed``: the numbers of the lines that each document loses; documents that lose none are left out."""
     spark = docs.sparkSession
     lines = lines_of(docs, key, text)
-    bands = runtime.stored(banded(lines.select("id", "line").dropDuplicates(["id"])), "bands")
+    bands = runtime.stored(banded(lines.select("id", "line")), "bands")
     runtime.release(spark)
     rows = bands.select("id", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
     shared = runtime.stored(rows.join(least, "band"), "buckets")  # only what shares a bucket with another line
-    runtime.forget(bands)
     runtime.release(spark)
     places = runtime.stored(lines.select("id", "k", "n"), "places")
     first = places.groupBy("id").agg(F.min(F.struct("k", "n")).alias("first"), F.count("*").alias("times"))
@@ -121,9 +123,15 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     pairs = shared.where("id <> least").groupBy(F.col("id").alias("a")).agg(F.min("least").alias("b"))  # one is enough: open buckets are searched below
     links = runtime.stored(_verified(pairs, texts, threshold), "links")
     roots = runtime.stored(components.components(links), "roots")
+    runtime.release(spark)
     now = shared.select("band", "id").join(roots, shared["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     several = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    across = runtime.stored(_across(now.join(several, "band").join(texts, "id"), threshold), "across")
+    open_ = runtime.stored(now.join(several, "band"), "open")
+    runtime.release(spark)
+    keys = bands.join(open_.select("id").distinct(), "id").select("id", F.posexplode("bands").alias("at", "band"), "bands")
+    keys = keys.select("id", "band", F.slice("bands", F.lit(1), F.col("at")).alias("earlier"))
+    across = runtime.stored(_across(open_.join(keys, ["id", "band"]).join(texts, "id"), threshold), "across")
+    runtime.forget(bands)
     if not across.isEmpty():
         roots = runtime.stored(components.components(links.unionByName(across)), "roots")
     ids = first.join(roots, first["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "first", "times")

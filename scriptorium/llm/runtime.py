@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +53,31 @@ def forget(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so soon after the driver collects garbage."""
+    for _ in range(2):  # what the first round frees may hold the last reference to more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
+    """Runs of rows that agree in their first ``width`` columns, as lists of columns; rows must come sorted by them.
+
+    For many small groups of bounded size: it saves what a call for each group would cost.
+    """
+    waiting: list[tuple] = []
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        at = 0
+        for i, row in enumerate(rows):
+            if (rows[i - 1] if i else waiting[-1] if waiting else row)[:width] != row[:width]:
+                waiting += rows[at:i]
+                at = i
+                yield [list(c) for c in zip(*waiting, strict=True)]
+                waiting = []
+        waiting += rows[at:]
+    if waiting:
+        yield [list(c) for c in zip(*waiting, strict=True)]
 
 
 class WordHashes(dict):
@@ -80,6 +105,12 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order. By sorting, which is many times as fast as numpy's own function is for 64-bit hashes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` consecutive entries; empty if there are fewer."""
     n = len(hashes) - width + 1

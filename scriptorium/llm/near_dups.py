@@ -156,38 +156,43 @@ def _across(open_: DataFrame, threshold: float, width: int) -> DataFrame:
     own = F.pmod(F.xxhash64("content"), F.col("blocks"))
     rows = open_.join(size, "band").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "content", "root", "keys", "t")
+    dealt = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 
-    def run(table: pa.Table) -> pa.Table:
-        band, low, high = (table.column(i)[0].as_py() for i in range(3))
-        own, content, root = (table.column(i).to_numpy() for i in (3, 4, 5))
-        keys = np.stack([k.values.to_numpy() for k in table.column(6)])
-        earlier = np.arange(BANDS) < np.argmax(keys[0] == band)  # bands in which a pair may have been held together already
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(width)
-        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        joined = {int(r): int(r) for r in root}
-
-        def find(x: int) -> int:
-            while joined[x] != x:
-                joined[x] = x = joined[joined[x]]
-            return x
-
-        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
-            if i not in sets:
-                sets[i] = texts.weighted(texts.words(table.column(7)[i].as_py()))
-            return sets[i]
-
-        found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(own == low):
-            others = np.flatnonzero((own == high) & (root != root[i]) & ((content > content[i]) | (low != high)))
-            others = others[~(keys[others][:, earlier] == keys[i, earlier]).any(axis=1)]
-            for j in others:
-                x, y = find(int(root[i])), find(int(root[j]))
-                if x != y and probability_jaccard(of(i), of(j)) >= threshold - 1e-12:
-                    joined[max(x, y)] = min(x, y)
-                    found.append((int(content[i]), int(content[j])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return rows.groupBy("band", "low", "high").applyInArrow(run, "a long, b long")
+        for bands, lows, highs, own, ids, root, keys, ts in runtime.groups(batches, 3):
+            if len(set(root)) > 1:
+                found = _joined(texts, bands[0], lows[0], highs[0], np.array(own), np.array(ids), np.array(root), np.array(keys), ts, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _joined(texts: Texts, band: int, low: int, high: int, own: np.ndarray, content: np.ndarray, root: np.ndarray, keys: np.ndarray, ts: list[str], threshold: float) -> list[tuple[int, int]]:
+    """Links between classes of two blocks of a bucket. A pair that shares an earlier band is left to that one's bucket."""
+    earlier = keys[:, : int(np.argmax(keys[0] == band))]
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    joined = {int(r): int(r) for r in root}
+
+    def find(x: int) -> int:
+        while joined[x] != x:
+            joined[x] = x = joined[joined[x]]
+        return x
+
+    def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in sets:
+            sets[i] = texts.weighted(texts.words(ts[i]))
+        return sets[i]
+
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(own == low):
+        others = (own == high) & (root != root[i]) & ((content > content[i]) | (low != high)) & ~(earlier == earlier[i]).any(axis=1)
+        for j in np.flatnonzero(others):
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y and probability_jaccard(of(i), of(j)) >= threshold - 1e-12:
+                joined[max(x, y)] = min(x, y)
+                found.append((int(content[i]), int(content[j])))
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

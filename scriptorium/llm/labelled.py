@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm import runtime
+
 #: Words, sentence ends and line ends; everything else parts words.
 TOKENS = re.compile(r"[^\W_]+|[.!?\n]+")
 
@@ -56,7 +58,7 @@ class Vocabulary:
         """Numbers of the features whose share of documents differs most between the classes, by the largest z-score against independence."""
         counts = np.zeros((n_classes, len(self.hashes)))
         for text, c in zip(self.texts, classes, strict=True):
-            own = np.unique(self.features[np.unique(text)])
+            own = runtime.distinct(self.features[runtime.distinct(text)].reshape(-1))
             counts[c, own[own >= 0]] += 1
         share = np.bincount(classes, minlength=n_classes)[:, None] / len(classes)
         mean = counts.sum(axis=0) * share

@@ -76,7 +76,7 @@ class Document:
         holds = np.concatenate([[0], np.cumsum(hit)])
         at = np.arange(self.windows)
         near = live & (holds[at + self.window - self.block + 1] > holds[at])
-        return np.unique(runtime.rolling(self.hashes, self.window)[near])
+        return runtime.distinct(runtime.rolling(self.hashes, self.window)[near])
 
 
 def _arrays(values: list[np.ndarray]) -> pa.Array:
@@ -103,13 +103,13 @@ def _mapped(rows: DataFrame, window: int, names: tuple[str, str], make: Callable
 
 
 def _screen(document: Document) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(document.noted()) if document.windows else document.hashes[:0], np.array([len(document.hashes)], np.uint64)
+    return runtime.distinct(document.noted()) if document.windows else document.hashes[:0], np.array([len(document.hashes)], np.uint64)
 
 
 def _anchors(document: Document, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rolling, inside = document.blocks(document.live(shared))
     aligned = np.arange(len(rolling)) % document.block == 0
-    return np.unique(rolling[inside & aligned]), np.unique(rolling[inside])
+    return runtime.distinct(rolling[inside & aligned]), runtime.distinct(rolling[inside])
 
 
 def _extensions(document: Document, shared: np.ndarray, hits: np.ndarray, hit_anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: texts are up to hundreds of kilobytes, so few rows are held at a time.
-BATCH_ROWS = 500
+BATCH_ROWS = 300
 #: Entries a worker keeps in one of its lookup tables before it starts the table anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def prepare(spark: SparkSession) -> None:

@@ -2,8 +2,7 @@
 
 Lines that aren't blank are compared by the sets of their runs of eight characters (a shorter line is one run). Each set has 24
 minimum hashes: a run's hash, exclusive-or-ed with one of 24 fixed random numbers. Eight bands of three make candidates: at
-similarity 0.8 a pair is missed once in 300 times, at 0.9 once in 300 000. For lines of more than 200 runs only runs whose hash is divisible by four are
-minimised over; lines of 160 to 200 runs are signed both ways, so lines near the limit still meet.
+similarity 0.8 a pair is missed once in 300 times, at 0.9 once in 300 000. Every run of every line is minimised over, whatever the line's length.
 
 A line is held against the least line that shares a bucket with it, links are verified by the exact Jaccard similarity, and linked lines
 become components by distributed union-find. Where a bucket still holds several components, its lines are dealt to blocks, and
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 from scriptorium.llm import components, runtime
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-#: Runs from which a line is also signed by a quarter of its runs, and up to which it is signed by all.
-SAMPLED_FROM, WHOLE_TO = 160, 200
 #: Lines in a block of a bucket that is searched between components.
 BLOCK = 32
 
@@ -67,14 +64,11 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def banded(lines: DataFrame) -> DataFrame:
     """``id, bands``: the band keys of each line ``id, line``. Minima are taken before rows travel, so a line that is everywhere costs a row a task."""
-    n = n_shingles(F.col("line"))
-    kinds = F.when(n < SAMPLED_FROM, F.array(F.lit(0))).when(n <= WHOLE_TO, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), n.alias("n"), F.explode(kinds).alias("sampled"))
-    runs = wide.select("id", "sampled", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("id", "sampled", _run(F.col("wide"), F.col("i")).alias("h"))
-    runs = runs.where("sampled = 0 or h % 4 = 0")
-    least = runs.groupBy("id", "sampled").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks())])
-    key = lambda b: F.xxhash64(F.lit(b), "sampled", *[f"m{b * ROWS + r}" for r in range(ROWS)])
-    return least.select("id", "sampled", F.array(*map(key, range(BANDS))).alias("bands"))
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), n_shingles(F.col("line")).alias("n"))
+    runs = wide.select("id", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("id", _run(F.col("wide"), F.col("i")).alias("h"))
+    least = runs.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks())])
+    key = lambda b: F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)])
+    return least.select("id", F.array(*map(key, range(BANDS))).alias("bands"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

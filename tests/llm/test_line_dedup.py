@@ -64,3 +64,13 @@ def test_equals_brute_force(spark, monkeypatch, seed, block):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.removed_lines(docs).count() == 0 and line_dedup.without_lines(docs).count() == 0
+
+
+def test_equal_sets_of_runs_meet_at_any_length(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        unit = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz=-") for _ in range(rng.randint(1, 12)))
+        rows += [(2 * k, (unit * 120)[: rng.randint(40, 140)]), (2 * k + 1, (unit * 120)[: rng.randint(260, 900)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.k: r.removed for r in line_dedup.removed_lines(docs).collect()} == {2 * k + 1: [0] for k in range(30)}

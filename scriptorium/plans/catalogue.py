@@ -106,6 +106,12 @@ def join_single_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.join_single_letters(F.replace("text", F.lit("The "), F.lit("T he "))).alias("text"))
 
 
+@query()
+def join_single_letters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over documents of every language, without a SQL twin: word boundaries are ASCII's in RE2."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.join_single_letters(F.replace("text", F.lit("The "), F.lit("T he "))).alias("text"))
+
+
 @query(f"""WITH {X.WITH_CYRILLIC} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё-]+|[^A-Za-zА-Яа-яЁё-]+'),
   lambda x: CASE WHEN regexp_matches(x, '[А-Яа-яЁё]') THEN translate(x, '{T.LOOKALIKE_LATIN}', '{T.LOOKALIKE_CYRILLIC}') ELSE x END), '') AS text FROM d""")
 def homoglyph_fix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def suspicious_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suspicion.suspicious(X.with_cyrillic(spark, sf_dir), "doc_id", most=3).withColumn("score", F.round("score", 6))
+    return suspicion.suspicious(X.with_cyrillic(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
 
 
 LEXICAL = "(length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4"

@@ -32,7 +32,7 @@ PRIOR = 8
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits as A, a and 0; other characters as themselves, at most thrice."""
-    plain = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in word[:64])
+    plain = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in word)
     return re.sub(r"(.)\1{2,}", r"\1\1\1", re.sub(r"([Aa0])\1+", r"\1", plain))
 
 

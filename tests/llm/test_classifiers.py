@@ -93,3 +93,7 @@ def test_sample_is_bounded_and_leaves_held_out(spark):
     rows = labelled.sample(docs, labels, "toxic", 1000)
     assert {t for t, _ in rows} == {f"t{i}" for i in range(100)} - out
     assert len(labelled.sample(docs, labels, "toxic", 10)) == 10
+
+
+def test_shape_of_a_whole_word():
+    assert quality.shape("a1" * 40 + "!") != quality.shape("a1" * 40 + "?") and quality.shape("x" * 70 + "!") == "a!"

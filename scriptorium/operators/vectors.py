@@ -102,8 +102,8 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, spec: dict | None =
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector: str = "vector", key: str = "point_id", query_key: str = "query_id", query_vector: str = "query_vector", block: int = 64) -> DataFrame:
-    """The k nearest points of every query. Queries travel in blocks of ``block``; each block meets each slice of the points once."""
+def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector: str = "vector", key: str = "point_id", query_key: str = "query_id", query_vector: str = "query_vector", block: int = 64, places: int | None = None) -> DataFrame:
+    """The k nearest points of every query, by scores rounded to ``places`` if given, ties by key. Queries travel in blocks of ``block``; each block meets each slice of the points once."""
     spark = points.sparkSession
     slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     numbered = queries.withColumn("__block", F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-queries.count() // block)))))
@@ -114,7 +114,8 @@ def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
     pairs = pairs.select(F.col(f"__q.{query_key}").alias(query_key), *[points[c] for c in points.columns], F.coalesce(cosine(F.col(vector), F.col(f"__q.{query_vector}")), F.lit(0.0)).alias("score"))
     if threshold is not None:
         pairs = pairs.where(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    compared = F.col("score") if places is None else F.round("score", places)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(compared.desc(), key))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

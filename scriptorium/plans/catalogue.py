@@ -60,9 +60,7 @@ def batch(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Queries are the rows whose id is divisible by 50; scores are compared to nine places, so rounding can't break ties."""
     rows = points(spark, sf_dir)
     asked = rows.where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    found = vectors.batch_top_k(rows, asked, k + 5)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "point_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.batch_top_k(rows, asked, k, places=9)
 
 
 @query(BATCH + " SELECT query_id, rank, point_id, round(raw, 6) AS score FROM r WHERE rank <= 5")

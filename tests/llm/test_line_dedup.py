@@ -74,3 +74,12 @@ def test_equal_sets_of_runs_meet_at_any_length(spark):
         rows += [(2 * k, (unit * 120)[: rng.randint(40, 140)]), (2 * k + 1, (unit * 120)[: rng.randint(260, 900)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.k: r.removed for r in line_dedup.removed_lines(docs).collect()} == {2 * k + 1: [0] for k in range(30)}
+
+
+def test_short_lines_meet_as_often_as_stated(spark):
+    rng = random.Random(7)
+    lines = ["".join(chr(rng.randrange(97, 123)) for _ in range(17)) for _ in range(2000)]  # ten runs; the two lines of a pair share eight
+    pairs = spark.createDataFrame([(2 * i + j, s[j : j + 16]) for i, s in enumerate(lines) for j in (0, 1)], "id long, line string")
+    bands = {r.id: set(r.bands) for r in line_dedup.banded(pairs).collect()}
+    missed = sum(not bands[2 * i] & bands[2 * i + 1] for i in range(len(lines)))
+    assert missed <= 18  # 6.4 expected

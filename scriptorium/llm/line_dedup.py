@@ -1,14 +1,21 @@
 """Fuzzy line dedup by MinHash over character shingles. DataFrame functions only.
 
 Lines that aren't blank are compared by the sets of their runs of eight characters (a shorter line is one run). Each set has 24
-minimum hashes: a run's hash, hashed again with one of 24 numbers. Eight bands of three make candidates: at
-similarity 0.8 a pair is missed once in 310 times, at 0.9 once in 34 000. Every run of every line is minimised over, whatever the line's length.
-
-A line is held against the least line that shares a bucket with it, links are verified by the exact Jaccard similarity, and linked lines
-become components by distributed union-find. Where a bucket still holds several components, its lines are dealt to blocks, and
-every pair of blocks compares its lines of different components inside one row and gives back the linked components. So no
-pair is listed and no link between components is lost. One line of each component stays, where it comes first: in the document
-of the least key, at the least line number. Other lines of the component go.
+minimum hashes. Every run of every line is hashed twice to 64 bits; a component orders the runs by the exclusive or of the two
+words, each rotated by the component's own number of places. The places are such that the leading 17 bits of the six components of
+any two bands are linearly independent, so bands behave as those of independent hashes do (``tests/llm`` holds the rank and the
+rates). Eight bands of three make candidates: at similarity 0.8 a pair is missed once in 310 times, at 0.9 once in 34 000.
+
+A bucket of two lines is a pair. The lines of larger buckets are dealt to blocks of about ``BLOCK`` lines. Inside a block every
+pair of lines is ruled out by the bound that their bitmaps give (it loses nothing) or verified by the exact Jaccard similarity,
+unless what was found before has joined the two already; a block gives back one link for each join, a spanning forest. Links become
+components by distributed union-find. Buckets of several blocks that still hold several components are searched once more between
+blocks: lines outside the bucket's commonest component meet every block of it. So no pair is listed, no bucket is gathered whole and
+no link between components is lost. One line of each component stays, where it comes first: in the document of the least key, at
+the least line number. Other lines of the component go.
+
+Lines are named by a 64-bit hash and told apart by a second one: a line goes only with lines that agree in both, or in the component
+of the line that its first hash stands for.
 
 Defined results: a null text has no line; blank lines always stay; equal lines are one line; rows with a null key are left alone;
 rows that repeat a key are one document of which every row loses the same line numbers, so keys should be unique.
@@ -22,23 +29,30 @@ from pyspark.sql import functions as F
 from scriptorium.llm import components, runtime
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-#: Lines in a block of a bucket that is searched between components.
-BLOCK = 32
+#: Places by which component i rotates the two hashes of a run: i times these.
+TURNS = (15, 22)
+#: Runs of a line in a row while it is signed.
+STEP = 8
+#: Words of a line's bitmap.
+WORDS = 16
+#: Lines in a block of a bucket.
+BLOCK = 64
 
 
-def n_shingles(line: Column) -> Column:
-    return F.greatest(F.length(line) - (SHINGLE - 1), F.lit(1))
+def _last(wide: Column) -> Column:
+    """Where the last run of a line in UTF-32 starts, in bytes from 1."""
+    return F.greatest(F.length(wide) - (4 * SHINGLE - 1), F.lit(1))
 
 
-def _run(wide: Column, i: Column) -> Column:
-    """The hash of the i-th run of a line in UTF-32."""
-    return F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
+def _run(wide: Column, start: Column) -> Column:
+    """The hash of a run of a line in UTF-32."""
+    return F.xxhash64(F.substring(wide, start, F.lit(4 * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
     """The distinct run hashes of a line."""
     # the encoded line is bound to a name of its own: inside a lambda an outer expression would be computed for every element
-    runs = lambda wide: F.transform(F.sequence(F.lit(0), F.greatest((F.length(wide) / 4).cast("int") - SHINGLE, F.lit(0))), lambda i: _run(wide, i))
+    runs = lambda wide: F.transform(F.sequence(F.lit(1), _last(wide), F.lit(4)), lambda start: _run(wide, start))
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), runs)))
 
 
@@ -48,16 +62,29 @@ def alike(a: Column, b: Column, threshold: float) -> Column:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, n, id, line`` of the lines that aren't blank, numbered from 0."""
+    """``k, n, id, check, line`` of the lines that aren't blank, numbered from 0."""
     rows = docs.select(docs[key].alias("k"), F.posexplode(F.split(docs[text].cast("string"), "\n", -1)).alias("n", "line"))
-    return rows.where("k is not null").where(F.col("line").rlike(r"[^\s]")).select("k", "n", F.xxhash64("line").alias("id"), "line")
+    rows = rows.where("k is not null").where(F.col("line").rlike(r"[^\s]"))
+    return rows.select("k", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), "line")
+
+
+def _turned(word: Column, places: int) -> Column:
+    places %= 64
+    return F.shiftleft(word, places).bitwiseOR(F.shiftrightunsigned(word, 64 - places)) if places else word
+
+
+def _component(i: int) -> Column:
+    """The least of the i-th component over the runs of a row."""
+    return F.least(*[_turned(F.col(f"h{j}"), i * TURNS[0]).bitwiseXOR(_turned(F.col(f"g{j}"), i * TURNS[1])) for j in range(STEP)])
 
 
 def banded(lines: DataFrame) -> DataFrame:
     """``id, bands``: the band keys of each line ``id, line``. Minima are taken before rows travel, so a line that is everywhere costs a row a task."""
-    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), n_shingles(F.col("line")).alias("n"))
-    runs = wide.select("id", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("id", _run(F.col("wide"), F.col("i")).alias("h"))
-    least = runs.groupBy("id").agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide")).select("id", "wide", _last(F.col("wide")).alias("last"))
+    rows = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))).alias("start"))
+    runs = rows.select("id", *[_run(F.col("wide"), F.least(F.col("start") + 4 * j, "last") if j else F.col("start")).alias(f"h{j}") for j in range(STEP)])
+    runs = runs.select("*", *[F.xxhash64(f"h{j}").alias(f"g{j}") for j in range(STEP)])
+    least = runs.groupBy("id").agg(*[F.min(_component(i)).alias(f"m{i}") for i in range(BANDS * ROWS)])
     key = lambda b: F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)])
     return least.select("id", F.array(*map(key, range(BANDS))).alias("bands"))
 
@@ -66,62 +93,128 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """Those of the pairs ``a, b`` whose similarity reaches the threshold."""
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    # a filter's columns would be computed at every mention; as an element of an array they are computed once
-    once = F.array(F.struct(shingles(F.col("s")).alias("x"), shingles(F.col("t")).alias("y")))
-    return both.where(F.exists(once, lambda z: alike(z["x"], z["y"], threshold))).select("a", "b")
+    # a filter would compute the sets at every mention; behind a generator they are columns
+    sets = both.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("s")).alias("x"), shingles(F.col("t")).alias("y")))))
+    return sets.where(alike(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
-def _across(open_: DataFrame, threshold: float) -> DataFrame:
-    """Linked components ``a, b`` within each bucket of ``band, id, root, earlier, line``.
+def drawn(texts: DataFrame) -> DataFrame:
+    """``id, line, runs, bits`` of lines ``id, line``: how many distinct runs a line has, and the parity of their number in each of 64 x WORDS bins.
 
-    ``earlier`` holds the line's keys of the bands before this one: a pair that shares one of them is left to that one's bucket.
+    Two sets differ in at least as many runs as their bitmaps differ in bits.
     """
-    size = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = open_.join(size, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.select("band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "root", "earlier", "line").repartition("band", "low", "high")
-    rows = rows.withColumn("item", F.struct("root", "earlier", shingles(F.col("line")).alias("h")))  # after the shuffle: hashes are larger than lines
-    dealt = rows.groupBy("band", "low", "high").agg(
-        F.collect_list(F.when(F.col("own") == F.col("low"), F.col("item"))).alias("left"), F.collect_list(F.when(F.col("own") == F.col("high"), F.col("item"))).alias("right")
-    )
-    linked = lambda x, y: (x["root"] < y["root"]) & ~F.arrays_overlap(x["earlier"], y["earlier"]) & alike(x["h"], y["h"], threshold)
-    pair = lambda x, y: F.struct(x["root"].alias("a"), y["root"].alias("b"))
-    one_way = lambda p, q: F.flatten(F.transform(p, lambda x: F.array_distinct(F.transform(F.filter(q, lambda y: linked(x, y)), lambda y: pair(x, y)))))
-    back = F.when(F.col("low") == F.col("high"), F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(one_way(F.col("right"), F.col("left")))
-    return dealt.select(F.explode(F.array_distinct(F.concat(one_way(F.col("left"), F.col("right")), back))).alias("x")).select("x.a", "x.b").distinct()
+    runs = texts.select("id", F.explode(shingles(F.col("line"))).alias("h"))
+    bins = runs.select("id", F.pmod("h", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, int(shiftrightunsigned(h, 8) & 63))").alias("bit"))
+    words = bins.groupBy("id", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("runs"))
+    of = lambda w: F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0))
+    maps = words.groupBy("id").agg(F.sum("runs").alias("runs"), *[of(w).alias(f"b{w}") for w in range(WORDS)])
+    return texts.join(maps.select("id", "runs", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits")), "id")
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``k, removed``: the numbers of the lines that each document loses; documents that lose none are left out."""
-    spark = docs.sparkSession
-    lines = lines_of(docs, key, text)
+def _possible(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two drawn lines may be alike: the bitmaps leave it open, and no earlier band has the pair."""
+    apart = sum((F.bit_count(x["bits"][w].bitwiseXOR(y["bits"][w])) for w in range(1, WORDS)), F.bit_count(x["bits"][0].bitwiseXOR(y["bits"][0])))
+    sizes = (F.least(x["runs"], y["runs"]) + 1e-9) >= threshold * F.greatest(x["runs"], y["runs"])
+    return sizes & (apart * (1 + threshold) <= (1 - threshold) * (x["runs"] + y["runs"]) + 1e-9) & ~F.arrays_overlap(x["earlier"], y["earlier"])
+
+
+def _joined(left: Column, right: Column, threshold: float) -> Column:
+    """Links ``a, b`` that join the components of two lists of lines ``root, common, earlier, runs, bits, line``: a spanning forest of what is alike.
+
+    The two lines of a pair come in the order of their components, but where the right one is of the bucket's commonest, which the left list leaves out.
+    """
+
+    def found(z: Column) -> Column:
+        label = lambda labels, x: F.element_at(labels, F.array_position(z["names"], x["root"]).cast("int"))
+
+        def pair(labels: Column, x: Column, h: Column, y: Column) -> Column:
+            p, q = label(labels, x), label(labels, y)
+            merged = F.transform(labels, lambda c: F.when((c == p) | (c == q), F.least(p, q)).otherwise(c))
+            return F.when((p != q) & alike(h, shingles(y["line"]), threshold), merged).otherwise(labels)
+
+        def against(labels: Column, x: Column, near: Column) -> Column:
+            one = lambda own, h: F.aggregate(near, own, lambda now, y: pair(now, x, h, y))
+            return F.when(F.size(near) == 0, labels).otherwise(F.aggregate(F.array(shingles(x["line"])), labels, one))
+
+        def row(labels: Column, x: Column) -> Column:
+            near = F.filter(z["right"], lambda y: (y["common"] | (x["root"] < y["root"])) & _possible(x, y, threshold))
+            return F.aggregate(F.array(near), labels, lambda now, ys: against(now, x, ys))
+
+        labels = F.aggregate(z["left"], z["names"], row)
+        return F.filter(F.arrays_zip(z["names"].alias("a"), labels.alias("b")), lambda c: c["a"] != c["b"])
+
+    roots = F.array_distinct(F.transform(F.concat(left, right), lambda x: x["root"]))
+    return F.flatten(F.transform(F.array(F.struct(left.alias("left"), right.alias("right"), roots.alias("names"))), found))
+
+
+def _item() -> Column:
+    return F.struct("root", "common", "earlier", "runs", "bits", "line")
+
+
+def _inside(dealt: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` within each block of ``band, own, id, earlier``."""
+    rows = dealt.join(lines, "id").withColumn("root", F.col("id")).withColumn("common", F.lit(False)).repartition("band", "own")
+    blocks = rows.groupBy("band", "own").agg(F.collect_list(_item()).alias("all"))
+    return _links(blocks.select(F.col("all").alias("left"), F.col("all").alias("right")), threshold)
+
+
+def _between(dealt: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between the blocks of each bucket of ``band, own, blocks, id, earlier, root``: lines outside the commonest component meet every block."""
+    counts = dealt.groupBy("band", "root").agg(F.count("*").alias("times"))
+    most = counts.groupBy("band").agg(F.max(F.struct("times", "root")).alias("most"), F.count("*").alias("roots"), F.sum("times").alias("size")).where("roots > 1")
+    most = most.select("band", F.col("most.root").alias("of_most"), F.ceil((F.col("size") - F.col("most.times")) / BLOCK).alias("outer"))
+    rows = dealt.join(most, "band").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id"), "outer")).withColumn("common", F.col("root") == F.col("of_most"))
+    every = F.expr("sequence(0L, blocks - 1)")
+    placed = rows.select("band", "id", "root", "common", "earlier", F.explode(F.transform(F.expr("sequence(0L, outer - 1)"), lambda o: F.struct(o.alias("o"), F.col("own").alias("i"), F.lit(False).alias("out")))).alias("at"))
+    outside = rows.where("not common").select("band", "id", "root", "common", "earlier", F.explode(F.transform(every, lambda i: F.struct(F.col("block").alias("o"), i.alias("i"), F.lit(True).alias("out")))).alias("at"))
+    both = placed.unionByName(outside).select("band", "id", "root", "common", "earlier", "at.*").join(lines, "id").repartition("band", "o", "i")
+    blocks = both.groupBy("band", "o", "i").agg(F.collect_list(F.when(F.col("out"), _item())).alias("left"), F.collect_list(F.when(~F.col("out"), _item())).alias("right"))
+    return _links(blocks, threshold)
+
+
+def _links(blocks: DataFrame, threshold: float) -> DataFrame:
+    return blocks.select(F.explode(_joined(F.col("left"), F.col("right"), threshold)).alias("x")).select("x.a", "x.b")
+
+
+def _components(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The lines ``id, check, line`` that share a bucket with another, and ``node, root`` of all that are linked but the roots themselves."""
+    spark = lines.sparkSession
     bands = runtime.stored(banded(lines.select("id", "line")), "bands")
     runtime.release(spark)
     rows = bands.select("id", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
-    shared = runtime.stored(rows.join(least, "band"), "buckets")  # only what shares a bucket with another line
-    runtime.release(spark)
-    places = runtime.stored(lines.select("id", "k", "n"), "places")
-    first = places.groupBy("id").agg(F.min(F.struct("k", "n")).alias("first"), F.count("*").alias("times"))
-    wanted = first.join(shared.select("id").distinct(), "id").select("id", "first.k", "first.n")
-    texts = runtime.stored(lines.join(wanted, ["id", "k", "n"]).dropDuplicates(["id"]).select("id", "line"), "lines")
+    buckets = rows.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).where("size > 1")
+    buckets = runtime.stored(buckets, "buckets")
+    pairs = buckets.where("size = 2").select("a", "b").distinct()
+    larger = buckets.where("size > 2").select("band", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    dealt = rows.join(larger, "band").join(bands, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = runtime.stored(dealt.select("id", "band", "blocks", "own", F.expr("slice(bands, 1, int(array_position(bands, band)) - 1)").alias("earlier")), "dealt")
+    runtime.forget(bands)
     runtime.release(spark)
-    pairs = shared.where("id <> least").groupBy(F.col("id").alias("a")).agg(F.min("least").alias("b"))  # one is enough: open buckets are searched below
-    links = runtime.stored(_verified(pairs, texts, threshold), "links")
-    roots = runtime.stored(components.components(links), "roots")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(dealt.select("id")).distinct()
+    texts = lines.groupBy("id").agg(F.min(F.struct("check", "line")).alias("x")).join(wanted, "id")
+    texts = runtime.stored(texts.select("id", "x.check", "x.line"), "lines")
     runtime.release(spark)
-    now = shared.select("band", "id").join(roots, shared["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    several = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    open_ = runtime.stored(now.join(several, "band"), "open")
+    drawn_ = runtime.stored(drawn(texts.select("id", "line").join(dealt.select("id").distinct(), "id")), "drawn")
+    links = runtime.stored(_verified(pairs, texts, threshold).unionByName(_inside(dealt, drawn_, threshold)), "links")
     runtime.release(spark)
-    keys = bands.join(open_.select("id").distinct(), "id").select("id", F.posexplode("bands").alias("at", "band"), "bands")
-    keys = keys.select("id", "band", F.slice("bands", F.lit(1), F.col("at")).alias("earlier"))
-    across = runtime.stored(_across(open_.join(keys, ["id", "band"]).join(texts, "id"), threshold), "across")
-    runtime.forget(bands)
-    if not across.isEmpty():
-        roots = runtime.stored(components.components(links.unionByName(across)), "roots")
-    ids = first.join(roots, first["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "first", "times")
-    heads = ids.groupBy("root").agg(F.min("first").alias("head"), F.sum("times").alias("times")).where("times > 1").drop("times")
-    gone = places.join(ids.join(heads, "root").select("id", "head"), "id").where(F.struct("k", "n") != F.col("head"))
+    roots = components.components(links)
+    large = dealt.where("blocks > 1")
+    if not large.isEmpty():
+        large = large.join(roots, large["id"] == roots["node"], "left").select("id", "band", "blocks", "own", "earlier", F.coalesce("root", "id").alias("root"))
+        roots = components.components(links.unionByName(runtime.stored(_between(large, drawn_, threshold), "between")))
+    return texts.select("id", "check"), roots
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k, removed``: the numbers of the lines that each document loses; documents that lose none are left out."""
+    lines = lines_of(docs, key, text)
+    places = runtime.stored(lines.select("id", "check", "k", "n"), "places")
+    named, roots = _components(lines.select("id", "check", "line"), threshold)
+    nodes = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    rows = places.join(nodes.join(named, "id"), ["id", "check"], "left")
+    rows = rows.select("k", "n", F.coalesce("root", "id").alias("set"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("part"))
+    heads = rows.groupBy("set", "part").agg(F.min(F.struct("k", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
+    gone = rows.join(heads, ["set", "part"]).where(F.struct("k", "n") != F.col("head"))
     return gone.groupBy("k").agg(F.array_sort(F.collect_set("n")).alias("removed"))
 
 

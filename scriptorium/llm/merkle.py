@@ -1,9 +1,9 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and runs of words. DataFrame functions only.
 
 A text is cut into sections at blank lines, into paragraphs at line ends, and a paragraph into leaves of at most five words
-that end where a sentence does. Every cut is loss-free, so equal roots mean equal texts. Hashes are SHA-256: 12 hexadecimal
-digits of it for leaves, paragraphs and sections, all of it for the root. The written form holds the whole tree,
-``root/section(paragraph:leaf,leaf;paragraph:leaf|section(...``, so that two fingerprints alone tell where texts differ.
+that end where a sentence does. Every cut is loss-free, so equal roots mean equal texts. Every node is hashed by the whole SHA-256
+of the whole hashes below it. The written form holds the tree, ``root/section(paragraph:leaf,leaf;paragraph:leaf|section(...``, with 12
+hexadecimal digits for what is below the root, so that two fingerprints alone tell where texts differ.
 
 Defined results: a null text is the empty text, whose tree has one section of one paragraph without leaves; the likeness of
 two trees without leaves is 1. Rows that repeat a key are ordered by their text; null keys count as smallest; the next document
@@ -24,36 +24,37 @@ DIGITS = 12
 BUCKETS = 4
 
 
-def short(text: Column) -> Column:
-    return F.substring(F.sha2(text, 256), 1, DIGITS)
+def whole(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
-def tree(text: Column) -> Column:
-    """Sections, each an array of paragraphs, each a struct of its hash and its leaves' hashes."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), short)
-    paragraph = lambda found: F.struct(short(F.array_join(found, ",")).alias("hash"), found.alias("leaves"))
-    section = lambda s: F.transform(F.transform(F.split(s, "\n", -1), leaves), paragraph)
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), section)
+def short(digest: Column) -> Column:
+    return F.substring(digest, 1, DIGITS)
 
 
-def branch(section: Column) -> Column:
-    return short(F.array_join(F.transform(section, lambda p: p["hash"]), ","))
+def tree(text: Column) -> Column:
+    """Sections: a struct of the hash and its paragraphs, each a struct of its hash and its leaves' shortened hashes."""
+    found = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), whole)
+    paragraph = lambda x: F.struct(whole(F.array_join(x, ",")).alias("hash"), F.transform(x, short).alias("leaves"))
+    paragraphs = lambda s: F.transform(F.transform(F.split(s, "\n", -1), found), paragraph)
+    section = lambda ps: F.struct(whole(F.array_join(F.transform(ps, lambda p: p["hash"]), ",")).alias("hash"), ps.alias("paragraphs"))
+    return F.transform(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), paragraphs), section)
 
 
 def fingerprint(sections: Column) -> Column:
     """A tree's written form."""
-    paragraph = lambda p: F.concat(p["hash"], F.lit(":"), F.array_join(p["leaves"], ","))
-    written = lambda s: F.concat(branch(s), F.lit("("), F.array_join(F.transform(s, paragraph), ";"))
+    paragraph = lambda p: F.concat(short(p["hash"]), F.lit(":"), F.array_join(p["leaves"], ","))
+    written = lambda s: F.concat(short(s["hash"]), F.lit("("), F.array_join(F.transform(s["paragraphs"], paragraph), ";"))
     return F.concat(root(sections), F.lit("/"), F.array_join(F.transform(sections, written), "|"))
 
 
 def root(sections: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(sections, branch), ","), 256)
+    return whole(F.array_join(F.transform(sections, lambda s: s["hash"]), ","))
 
 
 def leaves(sections: Column) -> Column:
     """The tree's distinct leaf hashes."""
-    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s, lambda p: p["leaves"])))))
+    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["leaves"])))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -64,12 +65,17 @@ def likeness(a: Column, b: Column) -> Column:
 
 def differing(a: Column, b: Column) -> Column:
     """Where tree ``a`` differs from ``b``: ``section, paragraph`` (from 0) of the paragraphs of ``a`` under branches that ``b`` lacks."""
-    theirs = F.transform(b, branch)
-    known = F.flatten(F.transform(b, lambda s: F.transform(s, lambda p: p["hash"])))
+    theirs = F.transform(b, lambda s: s["hash"])
+    known = F.flatten(F.transform(b, lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
     place = lambda i: lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p["hash"].alias("hash"))
-    inside = lambda s, i: F.filter(F.transform(s, place(i)), lambda _: ~F.array_contains(theirs, branch(s)))
-    lost = F.filter(F.flatten(F.transform(a, inside)), lambda x: ~F.array_contains(known, x["hash"]))
-    return F.transform(lost, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph")))
+
+    def lost(z: Column) -> Column:
+        inside = lambda s, i: F.when(F.array_contains(z["theirs"], s["hash"]), F.slice(F.transform(s["paragraphs"], place(i)), 1, 0)).otherwise(F.transform(s["paragraphs"], place(i)))
+        left = F.filter(F.flatten(F.transform(z["own"], inside)), lambda x: ~F.array_contains(z["known"], x["hash"]))
+        return F.transform(left, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph")))
+
+    # bound to names of their own: inside a lambda an outer expression would be computed for every element
+    return F.flatten(F.transform(F.array(F.struct(a.alias("own"), theirs.alias("theirs"), known.alias("known"))), lost))
 
 
 def _bucket(key: Column, bounds: list) -> Column:
@@ -77,9 +83,10 @@ def _bucket(key: Column, bounds: list) -> Column:
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
     below = lambda xs: F.size(F.filter(xs, lambda b: b < key))
-    tops = F.array(*[F.lit(g[-1]).cast("long") for g in groups[:-1]]).cast("array<long>")
+    # one expression each: thousands of single literals would take the driver long to put together
+    array = lambda xs: f"cast(array({','.join(f'{int(x)}L' if x > -(2**63) else 'bigint(-9223372036854775808)' for x in xs)}) as array<bigint>)"
+    tops, inner = F.expr(array([g[-1] for g in groups[:-1]])), F.expr(f"array({','.join(map(array, groups))})")
     group = below(tops)
-    inner = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]).cast("array<long>") for g in groups])
     return F.when(key.isNull(), 0).otherwise(group * step + below(F.element_at(inner, group + 1)))
 
 

@@ -69,25 +69,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.sha2("edited", 256).alias("edited_sha256")
-    return merkle.edited_by_next(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    places = F.array_join(F.transform("differing", lambda x: F.concat_ws(":", x["section"], x["paragraph"])), ",")
+    return merkle.edited_by_next(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next", places.alias("differing"))
 
 
 _TREE = """list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
-  lambda p: list_transform(regexp_extract_all(p, '{1}'), lambda x: left(sha256(x), 12))))"""
-_PARAGRAPH = "left(sha256(array_to_string({0}, ',')), 12)"
-_BRANCH = f"left(sha256(array_to_string(list_transform(s, lambda p: {_PARAGRAPH.format('p')}), ',')), 12)"
+  lambda p: list_transform(regexp_extract_all(p, '{1}'), lambda x: sha256(x))))"""
+_PARAGRAPH = "sha256(array_to_string({0}, ','))"
+_BRANCH = f"sha256(array_to_string(list_transform(s, lambda p: {_PARAGRAPH.format('p')}), ','))"
 _PRINT = f"""sha256(array_to_string(list_transform({{0}}, lambda s: {_BRANCH}), ',')) || '/' || array_to_string(list_transform({{0}},
-  lambda s: {_BRANCH} || '(' || array_to_string(list_transform(s, lambda p: {_PARAGRAPH.format('p')} || ':' || array_to_string(p, ',')), ';')), '|')"""
+  lambda s: left({_BRANCH}, 12) || '(' || array_to_string(list_transform(s, lambda p: left({_PARAGRAPH.format('p')}, 12) || ':' || array_to_string(list_transform(p, lambda x: left(x, 12)), ',')), ';')), '|')"""
+_LEAVES = "list_distinct(list_transform(flatten(flatten({0})), lambda x: left(x, 12)))"
 _LIKE = """CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0 ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE)
   / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"""
+_DIFFERING = f"""array_to_string(flatten(list_transform(a, lambda s, i: CASE WHEN list_contains(sections_b, {_BRANCH}) THEN CAST([] AS VARCHAR[])
+  ELSE list_filter(list_transform(s, lambda p, j: CASE WHEN list_contains(paragraphs_b, {_PARAGRAPH.format('p')}) THEN NULL ELSE (i - 1) || ':' || (j - 1) END), lambda x: x IS NOT NULL) END)), ',')"""
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST, t), first_value(t) OVER (ORDER BY doc_id DESC NULLS LAST, t)) AS nt, length(t) AS n_chars FROM d),
 e AS (SELECT *, left(t, n_chars - n_chars // 3) || left(nt, n_chars // 3) AS et FROM n),
 f AS (SELECT *, {_TREE.format('t', merkle.LEAF)} AS a, {_TREE.format('et', merkle.LEAF)} AS b, {_TREE.format('nt', merkle.LEAF)} AS c FROM e),
-g AS (SELECT *, list_distinct(flatten(flatten(a))) AS la, list_distinct(flatten(flatten(b))) AS lb, list_distinct(flatten(flatten(c))) AS lc FROM f)
+g AS (SELECT *, {_LEAVES.format('a')} AS la, {_LEAVES.format('b')} AS lb, {_LEAVES.format('c')} AS lc, list_transform(b, lambda s: {_BRANCH}) AS sections_b,
+  flatten(list_transform(b, lambda s: list_transform(s, lambda p: {_PARAGRAPH.format('p')}))) AS paragraphs_b FROM f)
 SELECT doc_id, n_chars, sha256(et) AS edited_sha256, {_PRINT.format('a')} AS fingerprint, {_PRINT.format('b')} AS edited_fingerprint,
-  {_LIKE.format('la', 'lb')} AS near_edited, {_LIKE.format('la', 'lc')} AS near_next
+  {_LIKE.format('la', 'lb')} AS near_edited, {_LIKE.format('la', 'lc')} AS near_next, {_DIFFERING} AS differing
 FROM g
 """
 

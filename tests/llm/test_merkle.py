@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ def h(x):
 def plain(text):
     sections = []
     for s in text.split("\n\n"):
-        sections.append([[h(m.group())[:12] for m in re.finditer(merkle.LEAF, p)] for p in s.split("\n")])
-    ph = lambda p: h(",".join(p))[:12]
-    sh = lambda s: h(",".join(map(ph, s)))[:12]
-    written = "|".join(sh(s) + "(" + ";".join(ph(p) + ":" + ",".join(p) for p in s) for s in sections)
-    return h(",".join(map(sh, sections))) + "/" + written, {x for s in sections for p in s for x in p}
+        sections.append([[h(m.group()) for m in re.finditer(merkle.LEAF, p)] for p in s.split("\n")])
+    ph = lambda p: h(",".join(p))
+    sh = lambda s: h(",".join(map(ph, s)))
+    written = "|".join(sh(s)[:12] + "(" + ";".join(ph(p)[:12] + ":" + ",".join(x[:12] for x in p) for p in s) for s in sections)
+    return h(",".join(map(sh, sections))) + "/" + written, {x[:12] for s in sections for p in s for x in p}
 
 
 def like(a, b):
@@ -56,3 +57,16 @@ def test_buckets_keep_order(spark):
     bounds = [3, 5, 8, 8, 13, 40, 41, 90]
     df = spark.range(100).select("id", merkle._bucket(F.col("id"), sorted(set(bounds))).alias("b"))
     assert all(r.b == sum(x < r.id for x in set(bounds)) for r in df.collect())
+
+
+def test_many_partitions_make_a_short_plan(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        merkle.with_next(docs.limit(10))  # starts up
+        start = time.time()
+        merkle.with_next(docs)
+        assert time.time() - start < 8  # the counts by bucket run in it
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

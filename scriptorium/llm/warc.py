@@ -10,7 +10,7 @@ order of their segment numbers, held against the stated total length, and the ch
 A reader task holds one archive at a time, so write them small (``records_per_file``).
 
 Defined results: a null or empty payload is an empty message; captures with a null key are not archived; rows equal in key and
-payload are one capture; a null address is left out of the record. A record whose segments are missing, differ under one
+payload are one capture, rows of one key and several payloads are several; a null address is left out of the record. A record whose segments are missing, differ under one
 number, or don't add up to the total length keeps its row with a ``status`` other than ``complete`` and a null payload; so does
 one with a broken chunk frame. Archives that break off inside a record raise ``ValueError``.
 """
@@ -138,9 +138,9 @@ def write(captures: DataFrame, path: str, key: str = "page_id", url: str = "url"
             out: list[bytes] = []
             for k, u, digest, refers, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if refers is None:
-                    out += response_records(f"urn:page:{k}", u, date, p, digest, segment_bytes, chunk_bytes)
+                    out += response_records(f"urn:page:{k}:{digest}", u, date, p, digest, segment_bytes, chunk_bytes)
                 else:
-                    out.append(revisit_record(f"urn:page:{k}", u, date, f"urn:page:{refers}", digest))
+                    out.append(revisit_record(f"urn:page:{k}:{digest}", u, date, f"urn:page:{refers}:{digest}", digest))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     records = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -220,7 +220,8 @@ def payloads(records: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def page_id(column: str) -> Column:
-    return F.substring_index(column, ":", -1).cast("long")
+    """The key in a record's identifier, ``urn:page:<key>:<digest>``; payloads that clash under one key have records of their own."""
+    return F.get(F.split(column, ":"), F.lit(2)).cast("long")
 
 
 def round_trip(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", **options) -> DataFrame:
@@ -232,9 +233,9 @@ def round_trip(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     captures = pages.select(key, url, F.encode(F.col(html), "UTF-8").alias("payload"))
     write(captures, path, key, url, **options)
     found = payloads(read(pages.sparkSession, path), with_payload=False)
-    found = runtime.stored(found.select(page_id("record_id").alias(key), "type", page_id("refers_to").alias("refers_to"), "payload_bytes", F.col("found_digest").alias("payload_digest")).distinct(), "captures")
+    found = runtime.stored(found.select(page_id("record_id").alias(key), "type", page_id("refers_to").alias("refers_to"), F.coalesce("refers_to", "record_id").alias("of"), "payload_bytes", F.col("found_digest").alias("payload_digest")).distinct(), "captures")
     responses = found.where("type = 'response'")
-    target = responses.select(F.col(key).alias("refers_to"), "payload_bytes", "payload_digest")
-    again = found.where("type = 'revisit'").select(key, "type", "refers_to").join(target, "refers_to", "left")
+    target = responses.select("of", "payload_bytes", "payload_digest")
+    again = found.where("type = 'revisit'").select(key, "type", "refers_to", "of").join(target, "of", "left")
     columns = [key, "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"]
     return responses.select(*columns).unionByName(again.select(*columns))

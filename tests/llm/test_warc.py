@@ -35,7 +35,7 @@ def expected(rows):
 def test_round_trip(spark, tmp_path):
     long = "é<p>\r\n\r\nWARC/1.1\r\n" * 3000
     rows = [(i, f"http://h/{i}", t) for i, t in enumerate([None, "", "short", "short", "x" * 100, "x" * 100, long, long, "y" * 99, "y" * 99, "x" * 100])]
-    rows += [(None, "u", "z" * 200), (20, None, "a\r\nb" * 50), (21, "http://a\r\nb", "q"), (6, "http://h/6", long), (7, "again", long)]
+    rows += [(None, "u", "z" * 200), (20, None, "a\r\nb" * 50), (21, "http://a\r\nb", "q"), (6, "http://h/6", long), (7, "again", long), (22, "one", "v" * 150), (22, "two", "w" * 150), (23, "three", "w" * 150)]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
     got = [tuple(r) for r in warc.round_trip(pages, f"file://{tmp_path}/w", segment_bytes=1000, chunk_bytes=64, records_per_file=3).collect()]
     assert set(got) == expected(rows) and len(got) == len(expected(rows))

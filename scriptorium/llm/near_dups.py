@@ -7,9 +7,11 @@ probability Jaccard of their weights. 25 bands of five components make candidate
 20 000 times.
 
 Copies are one text, named by the 64-bit hash of it. In each band the texts of a bucket are held against its least, links are
-verified exactly, and linked texts become classes by distributed union-find. In the buckets that still hold several classes every
-pair of different classes is verified then, inside tasks that get two blocks of the bucket each and give back only links between
-classes: no pair is listed, none that could join two classes is left out, and no task gets a whole large bucket.
+verified exactly, and linked texts become classes by distributed union-find. The buckets that still hold several classes are dealt to
+blocks; inside a block every pair of different classes is verified, unless what was found before has joined them, and a block gives
+back a spanning forest. Buckets of several blocks that hold several classes even then are searched between blocks: texts outside
+the bucket's commonest class meet every block of it. So no pair is listed, none that could join two classes is left out, no task gets
+a whole large bucket, and a large group of near copies has collapsed before any text travels more than once.
 
 Defined results: a text of one to four words has one shingle, all its words; null texts and texts without words are one text;
 rows with a null key are left out; rows that repeat a key are one document, in the least of its texts' classes. Other columns are
@@ -32,6 +34,8 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 COMPONENTS, BANDS, ROWS = 128, 25, 5
 #: Texts in a block of a bucket that is searched between classes.
 BLOCK = 256
+#: Parts in which a class's rows meet its number.
+SALTS = 16
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -150,26 +154,26 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(open_: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links ``a, b`` between classes within each bucket of ``band, content, root, keys, t``."""
-    size = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("content"), F.col("blocks"))
-    rows = open_.join(size, "band").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "content", "root", "keys", "t")
-    dealt = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+def _searched(cells: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links ``a, b`` between classes in each cell ``band, left, right`` of rows with ``side`` (0 for both sides, 1 left, 2 right), ``common, content, root, keys, t``."""
+    rows = cells.select("band", "left", "right", "side", "common", "content", "root", "keys", "t")
+    dealt = rows.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(width)
-        for bands, lows, highs, own, ids, root, keys, ts in runtime.groups(batches, 3):
+        for bands, _, _, side, common, ids, root, keys, ts in runtime.groups(batches, 3):
             if len(set(root)) > 1:
-                found = _joined(texts, bands[0], lows[0], highs[0], np.array(own), np.array(ids), np.array(root), np.array(keys), ts, threshold)
+                found = _joined(texts, bands[0], np.array(side), np.array(common), np.array(ids), np.array(root), np.array(keys), ts, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _joined(texts: Texts, band: int, low: int, high: int, own: np.ndarray, content: np.ndarray, root: np.ndarray, keys: np.ndarray, ts: list[str], threshold: float) -> list[tuple[int, int]]:
-    """Links between classes of two blocks of a bucket. A pair that shares an earlier band is left to that one's bucket."""
+def _joined(texts: Texts, band: int, side: np.ndarray, common: np.ndarray, content: np.ndarray, root: np.ndarray, keys: np.ndarray, ts: list[str], threshold: float) -> list[tuple[int, int]]:
+    """Links between classes of the left and the right texts of a cell. A pair that shares an earlier band is left to that one's bucket.
+
+    The two texts of a pair come in the order of their classes, but where the right one is of the bucket's commonest, which the left side leaves out.
+    """
     earlier = keys[:, : int(np.argmax(keys[0] == band))]
     sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     joined = {int(r): int(r) for r in root}
@@ -185,8 +189,8 @@ def _joined(texts: Texts, band: int, low: int, high: int, own: np.ndarray, conte
         return sets[i]
 
     found: list[tuple[int, int]] = []
-    for i in np.flatnonzero(own == low):
-        others = (own == high) & (root != root[i]) & ((content > content[i]) | (low != high)) & ~(earlier == earlier[i]).any(axis=1)
+    for i in np.flatnonzero(side != 2):
+        others = (side != 1) & (common | (root > root[i])) & ~(earlier == earlier[i]).any(axis=1)
         for j in np.flatnonzero(others):
             x, y = find(int(root[i])), find(int(root[j]))
             if x != y and probability_jaccard(of(i), of(j)) >= threshold - 1e-12:
@@ -195,6 +199,30 @@ def _joined(texts: Texts, band: int, low: int, high: int, own: np.ndarray, conte
     return found
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows ``band, content, ...`` of the buckets that hold several classes, with ``root``."""
+    now = rows.join(roots, rows["content"] == roots["node"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("root", "content").alias("root"))
+    several = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y")
+    return now.join(several.select("band", "size"), "band")
+
+
+def _inside(open_: DataFrame, payload: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links within each block of ``band, content, root, block``."""
+    rows = open_.withColumns({"left": F.col("block"), "right": F.lit(0).cast("long"), "side": F.lit(0), "common": F.lit(False)})
+    return _searched(rows.join(payload, "content"), threshold, width)
+
+
+def _between(large: DataFrame, payload: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links between the blocks of each bucket of ``band, content, root, block, blocks``."""
+    counts = large.groupBy("band", "root").agg(F.count("*").alias("times"))
+    most = counts.groupBy("band").agg(F.max(F.struct("times", "root")).alias("most"), F.sum("times").alias("all"))
+    most = most.select("band", F.col("most.root").alias("of_most"), F.ceil((F.col("all") - F.col("most.times")) / BLOCK).alias("outer"))
+    rows = large.join(most, "band").withColumn("common", F.col("root") == F.col("of_most"))
+    right = rows.withColumn("left", F.explode(F.expr("sequence(0L, outer - 1)"))).withColumn("right", F.col("block")).withColumn("side", F.lit(2))
+    left = rows.where("not common").withColumn("left", F.pmod(F.xxhash64(F.lit(2), "content"), "outer")).withColumn("right", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("side", F.lit(1))
+    return _searched(left.unionByName(right).join(payload, "content"), threshold, width)
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>, class_id, class_size``: of every document the least key of its class, and how many documents the class has."""
     spark = docs.sparkSession
@@ -212,17 +240,28 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str =
     runtime.release(spark)
     pairs = shared.where("content <> least").select(F.col("content").alias("a"), F.col("least").alias("b")).distinct()
     links = runtime.stored(verified(pairs, texts, threshold, width), "links")
-    roots = runtime.stored(components.components(links), "roots")
-    now = shared.join(roots, shared["content"] == roots["node"], "left").select("band", "content", F.coalesce("root", "content").alias("root"))
-    several = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    open_ = runtime.stored(now.join(several, "band"), "open")
+    roots = components.components(links)
+    open_ = _rooted(shared.select("band", "content"), roots).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")))
+    open_ = runtime.stored(open_.select("band", "content", "root", "blocks", "block"), "open")
     payload = unique.join(open_.select("content").distinct(), "content").join(texts, "content")
-    across = runtime.stored(_across(open_.join(payload, "content"), threshold, width), "across")
+    links = runtime.stored(links.unionByName(_inside(open_, payload, threshold, width)), "links")
     runtime.release(spark)
-    roots = runtime.stored(components.components(links.unionByName(across)), "roots")
+    roots = components.components(links)
+    large = open_.where("blocks > 1").drop("root")
+    if not large.isEmpty():
+        large = _rooted(large, roots)
+        roots = components.components(links.unionByName(runtime.stored(_between(large, payload, threshold, width), "between")))
+    return _numbered(members, roots, key)
+
+
+def _numbered(members: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``<key>, class_id, class_size`` of ``k, content``. A class of many is joined in ``SALTS`` parts, so that no task gets it whole."""
     joined = members.join(roots, members["content"] == roots["node"], "left").select("k", F.coalesce("root", "content").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size"))
-    out = joined.join(lowest, "root").groupBy("k").agg(F.min_by("class_size", "class_id").alias("class_size"), F.min("class_id").alias("class_id"))
+    lowest = joined.groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = joined.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(lowest, ["root", "salt"], "left")
+    salted = salted.select("k", F.coalesce("class_id", "k").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    out = salted.groupBy("k").agg(F.min_by("class_size", "class_id").alias("class_size"), F.min("class_id").alias("class_id"))
     return out.select(F.col("k").alias(key), "class_id", "class_size")
 
 

@@ -107,3 +107,37 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.classes(docs).count() == 0 and near_dups.representatives(docs).count() == 0
+
+
+def test_buckets_of_many_blocks_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for i in range(30):
+            copy = list(base)
+            for at in rng.sample(range(100), rng.choice([0, 1, 2, 4, 7])):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((g * 100 + i, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows, 0.8)
+
+
+def test_recall_and_very_long_texts(spark):
+    """Pairs just above the threshold, and a text of 300 000 words."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        base = [f"p{i}w{j}" for j in range(200)]
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 5), 3):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    long = " ".join(f"l{j}" for j in range(300_000))
+    rows += [(1000, long), (1001, long + " end"), (1002, "l" * 1_000_000)]
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = [(a, b) for (a, s), (b, t) in zip(rows[:300:2], rows[1:300:2]) if plain_similarity(plain_weights(s), plain_weights(t)) >= 0.8]
+    assert len(alike) > 100
+    assert np.mean([got[a] == got[b] for a, b in alike]) >= 0.99
+    assert got[1001] == 1000 and got[1002] == 1002

@@ -24,14 +24,14 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """Texts and labels of at most ``limit`` labelled documents that aren't held out, by a hash of the key.
 
-    The sample is bounded whatever the tables' size; it is collected. Null keys, texts and labels give nothing; of several labels
-    of a document the largest counts, of several texts each.
+    The sample is bounded whatever the tables' size; it is collected, with whole texts. Null keys, texts and labels give nothing; of
+    several labels of a document the largest counts, of several texts the least.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(limit)
     texts = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).where("t is not null")
-    rows = texts.join(F.broadcast(chosen), "k").select("t", "y").orderBy("k", "t")  # the limit bounds what is broadcast
-    return [(r.t, int(r.y)) for r in rows.limit(2 * limit).collect()]
+    rows = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # the limit bounds what is broadcast
+    return [(r.t, int(r.y)) for r in rows.orderBy("k").collect()]
 
 
 def hashed(feature: str) -> int:

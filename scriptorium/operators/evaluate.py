@@ -18,13 +18,31 @@ def chunk_recall(expected: Column, retrieved: Column) -> Column:
     return F.when(F.size(e) == 0, 1.0).when(F.size(r) == 0, 0.0).otherwise(F.size(F.array_intersect(e, r)) / F.size(e))
 
 
+def n_common(a: Column, b: Column) -> Column:
+    """How many words two lists share, each as often as both have it: one walk along the two in order."""
+
+    def walk(z: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            x, y = F.get(z["a"], s["i"]), F.get(z["b"], s["j"])
+            both = x.isNotNull() & y.isNotNull()
+            return F.struct((s["i"] + (both & (x <= y)).cast("int")).alias("i"), (s["j"] + (both & (y <= x)).cast("int")).alias("j"), (s["n"] + (both & (x == y)).cast("int")).alias("n"))
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+        return F.aggregate(F.concat(z["a"], z["b"]), start, step)["n"]
+
+    ordered = F.array(F.struct(F.array_sort(a).alias("a"), F.array_sort(b).alias("b")))  # inside a lambda an outer expression would be computed at every step
+    return F.element_at(F.transform(ordered, walk), 1)
+
+
 def token_f1(predicted: Column, reference: Column) -> Column:
     """F1 of two texts' words, each as often as it occurs; 1 if both have none, 0 if one has none."""
-    p, r = T.tokens(predicted), T.tokens(reference)
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    common = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda s, w: s + F.least(times(p, w), times(r, w)))
-    empty = (F.size(p) == 0) | (F.size(r) == 0)
-    return F.when(empty, (F.size(p) == F.size(r)).cast("double")).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(r)))
+
+    def f1(z: Column) -> Column:
+        sizes = F.size(z["p"]) + F.size(z["r"])
+        empty = (F.size(z["p"]) == 0) | (F.size(z["r"]) == 0)
+        return F.when(empty, (sizes == 0).cast("double")).otherwise(2.0 * n_common(z["p"], z["r"]) / sizes)
+
+    return F.element_at(F.transform(F.array(F.struct(T.tokens(predicted).alias("p"), T.tokens(reference).alias("r"))), f1), 1)
 
 
 def report(samples: DataFrame) -> DataFrame:

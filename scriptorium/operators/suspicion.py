@@ -52,24 +52,27 @@ def scored(paragraphs: DataFrame, known: list[str] | None = None) -> DataFrame:
     With a small dictionary of lower-case words, longer Cyrillic words that it lacks count too; without one, none does.
     """
     df = paragraphs.withColumn("text", T.strip(F.array_join("lines", "\n")))
+    df = df.where(~F.regexp_replace(F.element_at("lines", 1), r"(?U)^[\s\x1c-\x1f]+", "").startswith("#") & F.col("text").rlike(rf"[{T.LETTER}']"))
     df = df.withColumn("found", F.regexp_extract_all("text", F.lit(rf"[{T.LETTER}']+"), F.lit(0)))
-    df = df.where(~F.regexp_replace(F.element_at("lines", 1), r"(?U)^[\s\x1c-\x1f]+", "").startswith("#") & (F.size("found") > 0))
     words = F.filter(F.transform("found", lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
-    df = df.withColumn("in_cyr", T.n_cyrillic(F.col("text")) >= T.n_latin(F.col("text"))).withColumn("w", _words(words, F.col("in_cyr"), known))
+    # behind a generator the fold and the counts are columns; a filter on the score would compute them at every mention
+    counts = F.struct(F.size("found").alias("n_words"), (T.n_cyrillic(F.col("text")) >= T.n_latin(F.col("text"))).alias("in_cyr"))
+    df = df.select("*", F.inline(F.array(F.struct(words.alias("words"), counts.alias("c"))))).drop("found")
+    df = df.select("*", F.explode(F.array(_words(F.col("words"), F.col("c.in_cyr"), known))).alias("w")).drop("words")
     solid = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
     weird = F.length(F.regexp_replace("text", rf"(?U)[\s\x1c-\x1f0-9{T.LETTER}{ALLOWED}]", ""))
     df = df.withColumn("weird", F.when(solid > 0, weird / solid).otherwise(0.0)).withColumn("latin_share", F.col("w.n_latin") / F.greatest(F.col("w.n_latin") + F.col("w.n_cyr"), F.lit(1)))
     odd, share = F.col("weird") > 0.05, (F.col("w.n_cyr") >= 4) & (F.col("w.n_latin") > 0) & (F.col("latin_share") > 0.2)
-    only = F.col("in_cyr") & (F.col("w.n_latin_only") > 0)
+    only = F.col("c.in_cyr") & (F.col("w.n_latin_only") > 0)
     extra = F.greatest(F.when(F.col("w.strangers") > 0, 0.5).otherwise(0.0), F.when(only, F.least(F.lit(0.6), 0.4 + 0.05 * F.col("w.n_latin_only"))).otherwise(0.0))
-    parts = F.col("w.n_flagged") / F.size("found") + F.when(odd, F.least(F.lit(0.4), (F.col("weird") - 0.05) * 4)).otherwise(0.0) + F.when(share, F.least(F.lit(0.4), (F.col("latin_share") - 0.2) * 2)).otherwise(0.0)
+    parts = F.col("w.n_flagged") / F.col("c.n_words") + F.when(odd, F.least(F.lit(0.4), (F.col("weird") - 0.05) * 4)).otherwise(0.0) + F.when(share, F.least(F.lit(0.4), (F.col("latin_share") - 0.2) * 2)).otherwise(0.0)
     named = [(F.col("w.mixed") > 0, "mixed-script"), (F.col("w.capitals") > 0, "mixed-case"), (F.col("w.unknown") > 0, "unknown-cyr"), (F.col("w.strangers") > 0, "latin-in-cyr"), (odd, "weird-chars"), (share, "latin-ratio"), (only, "latin-only")]
     reasons = F.array_sort(F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in named]), lambda x: x.isNotNull()))
     short, comment = F.length("text") <= 10, F.col("text").rlike(r"(?d)^<!--.*-->\z")
     latin = _latin(F.col("text"))
     score = F.when(short, F.when(latin, 0.6).otherwise(0.3)).when(comment, 0.7).otherwise(F.least(F.lit(1.0), parts + extra))
     why = F.when(short, F.when(latin, F.array(F.lit("latin-only"), F.lit("short-fragment"))).otherwise(F.array(F.lit("short-fragment")))).when(comment, F.array(F.lit("html-comment"))).otherwise(reasons)
-    return df.withColumn("score", score).withColumn("reasons", why).withColumn("kept_always", short | comment | (F.col("w.mixed") > 0)).drop("found", "in_cyr", "w", "weird", "latin_share")
+    return df.withColumn("score", score).withColumn("reasons", why).withColumn("kept_always", short | comment | (F.col("w.mixed") > 0)).drop("c", "w", "weird", "latin_share")
 
 
 def priority(reasons: Column) -> Column:
@@ -81,7 +84,7 @@ def priority(reasons: Column) -> Column:
 def suspicious(docs: DataFrame, key: str, text: str = "text", min_score: float = 0.45, most: int | None = None, known: list[str] | None = None) -> DataFrame:
     """``key, rank, text, score, reasons, start_line, end_line``: each document's suspicious paragraphs, worst first, ``most`` at most."""
     rows = scored(structure.paragraphs(docs, key, text), known).where(F.col("kept_always") | ((F.col("score") >= min_score) & (F.size("reasons") > 0)))
-    order = Window.partitionBy(key).orderBy(priority(F.col("reasons")), F.desc("score"), "start_line")
+    order = Window.partitionBy(key).orderBy(priority(F.col("reasons")), F.round("score", 9).desc(), "start_line")
     rows = rows.withColumn("rank", F.row_number().over(order))
     if most is not None:
         rows = rows.where(F.col("rank") <= most)

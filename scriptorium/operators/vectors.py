@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions import text as T
 
@@ -102,21 +107,73 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, spec: dict | None =
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector: str = "vector", key: str = "point_id", query_key: str = "query_id", query_vector: str = "query_vector", block: int = 64, places: int | None = None) -> DataFrame:
-    """The k nearest points of every query, by scores rounded to ``places`` if given, ties by key. Queries travel in blocks of ``block``; each block meets each slice of the points once."""
-    spark = points.sparkSession
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    numbered = queries.withColumn("__block", F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-queries.count() // block)))))
-    blocks = numbered.groupBy("__block").agg(F.collect_list(F.struct(query_key, query_vector)).alias("__queries"))
-    blocks = blocks.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = points.withColumn("__slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
-    pairs = sliced.join(blocks, "__slice").withColumn("__q", F.explode("__queries")).drop("__queries", "__block", "__slice")
-    pairs = pairs.select(F.col(f"__q.{query_key}").alias(query_key), *[points[c] for c in points.columns], F.coalesce(cosine(F.col(vector), F.col(f"__q.{query_vector}")), F.lit(0.0)).alias("score"))
-    if threshold is not None:
-        pairs = pairs.where(F.col("score") >= threshold)
-    compared = F.col("score") if places is None else F.round("score", places)
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(compared.desc(), key))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+def _blocks(rows: DataFrame, key: str, vector: str, most: int) -> DataFrame:
+    """``ids, vectors``: rows in blocks of at most ``most``, as they lie in their partitions."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), most):
+                part = batch.slice(at, most)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(lists, ["ids", "vectors"])
+
+    return rows.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"ids array<{kind}>, vectors array<array<double>>")
+
+
+def _matrix(vectors: list[list[float] | None], dim: int) -> np.ndarray:
+    """Vectors of ``dim`` components scaled to length 1, a row each; others are zero."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dim and None not in v:
+            out[i] = v
+    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _nearest(ids: list, vectors: list, q_ids: list, q_vectors: list, k: int, threshold: float | None, places: int | None) -> Iterator[tuple]:
+    """``query, id, score, compared`` of each query's k nearest points of a block, ties by id."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    ids, vectors = [ids[i] for i in order], [vectors[i] for i in order]
+    scores = np.zeros((len(q_ids), len(ids)))
+    for dim in {len(q) for q in q_vectors if q}:
+        scores += np.nan_to_num(_matrix(q_vectors, dim) @ _matrix(vectors, dim).T)
+    compared = scores if places is None else np.sign(scores) * np.floor(np.abs(scores) * 10.0**places + 0.5) / 10.0**places
+    for i, query in enumerate(q_ids):
+        row = compared[i]
+        good = np.arange(len(ids)) if threshold is None else np.flatnonzero(scores[i] >= threshold)
+        if len(good) > k:
+            good = good[row[good] >= np.partition(row[good], len(good) - k)[len(good) - k]]
+        for j in good[np.argsort(-row[good], kind="stable")][:k]:
+            yield query, ids[j], float(scores[i, j]), float(row[j])
+
+
+def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector: str = "vector", key: str = "point_id", query_key: str = "query_id", query_vector: str = "query_vector", block: int = 256, places: int | None = None) -> DataFrame:
+    """The k nearest points of every query, by scores rounded to ``places`` if given, ties by key; a key stands for one point.
+
+    Only keys and vectors travel, in blocks; each block of queries meets each block of points in one matrix product, which gives back
+    k points a query. The points' other columns are joined to what is left. A vector that is null, has no length or another
+    number of components than the query's scores 0.
+    """
+    slices = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = dict(points.dtypes)[key], dict(queries.dtypes)[query_key]
+    asked = _blocks(queries, query_key, query_vector, block).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = _blocks(points, key, vector, 4 * block).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                found = list(_nearest(*(c[row].as_py() for c in batch.columns), k, threshold, places))
+                if found:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("q", "p", "score", "compared"), x, strict=True)) for x in found], schema=out)
+
+    pairs = sliced.join(asked, "slice").select("ids", "vectors", "q_ids", "q_vectors")
+    arrow = {n: to_arrow_type(pairs.schema[n].dataType.elementType) for n in ("ids", "q_ids")}
+    out = pa.schema([("q", arrow["q_ids"]), ("p", arrow["ids"]), ("score", pa.float64()), ("compared", pa.float64())])
+    near = pairs.mapInArrow(run, f"q {kinds[1]}, p {kinds[0]}, score double, compared double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("compared"), "p"))
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("p").alias("__point"), "score", "rank")
+    return best.join(points, F.col("__point") == F.col(key)).select(query_key, *points.columns, "score", "rank")
 
 
 def rerank(found: DataFrame, score: Column, top_n: int, query_key: str = "query_id") -> DataFrame:
@@ -147,11 +204,17 @@ def lexical_top_k(rows: DataFrame, query: str, k: int, text: str = "text", order
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """The default offline embedding: words counted in ``dim`` hash buckets, scaled to length 1."""
-    places = F.transform(T.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(F.zip_with(counts, F.array_repeat(norm(counts), dim), lambda x, n: F.when(n > 0, x / n).otherwise(0.0)), lambda x: x.cast("float"))
+    """The default offline embedding: words counted in ``dim`` hash buckets, scaled to length 1 (counted in an Arrow function)."""
+
+    @F.pandas_udf("array<float>")  # made within a session
+    def counted(places: pd.Series) -> pd.Series:
+        def scaled(found: np.ndarray) -> np.ndarray:
+            counts = np.bincount(found, minlength=dim).astype(np.float64)
+            return (counts / max(np.sqrt((counts**2).sum()), 1e-300)).astype(np.float32)
+
+        return places.map(scaled)
+
+    return counted(F.transform(T.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")))
 
 
 # ---- the store

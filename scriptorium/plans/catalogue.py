@@ -98,14 +98,8 @@ def drop_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.drop_noise_lines(F.col("text")).alias("text"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(replace(text, 'The ', 'T he '), '\b(?:([AI])\s+([A-Z]{2,})|([B-HJ-Z])\s+([A-Za-z]{2,}))\b', '\1\2\3\4', 'g') AS text FROM documents WHERE lang = 'en'""")
-def join_single_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", T.join_single_letters(F.replace("text", F.lit("The "), F.lit("T he "))).alias("text"))
-
-
 @query()
-def join_single_letters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join_single_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over documents of every language, without a SQL twin: word boundaries are ASCII's in RE2."""
     return table(spark, sf_dir, "documents").select("doc_id", T.join_single_letters(F.replace("text", F.lit("The "), F.lit("T he "))).alias("text"))
 
@@ -155,9 +149,38 @@ def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start_line", "end_line", F.array_join("lines", "\n").alias("text"))
 
 
-@query()
+_UPPER = "w = upper(w) AND upper(w) <> lower(w)"
+_HAS = "len(list_intersect(reasons, [{}])) > 0"
+
+
+@query(rf"""WITH {X.WITH_CYRILLIC},
+l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS n FROM d WHERE text <> ''),
+i AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM l),
+p AS (SELECT doc_id, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS text, arg_min(line, n) AS head
+  FROM i WHERE trim(line) <> '' GROUP BY doc_id, island),
+q AS (SELECT *, regexp_extract_all(text, '[{T.LETTER}'']+') AS found, length(regexp_replace(text, '[^{T.CYR}]', '', 'g')) >= length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS in_cyr
+  FROM p WHERE NOT starts_with(regexp_replace(head, '^\s+', ''), '#') AND regexp_matches(text, '[{T.LETTER}'']')),
+u AS (SELECT doc_id, start_line, in_cyr, unnest(list_transform(found, lambda x: trim(x, ''''))) AS w, generate_subscripts(found, 1) AS nth FROM q),
+f AS (SELECT *, regexp_matches(w, '[{T.CYR}]') AS cyr, regexp_matches(w, '[A-Za-z]') AS lat FROM u WHERE w <> ''),
+g AS (SELECT *, sum(cyr::INTEGER) OVER (PARTITION BY doc_id, start_line ORDER BY nth ROWS UNBOUNDED PRECEDING) AS so_far FROM f),
+h AS (SELECT *, cyr AND lat AS mixed, length(regexp_replace(w, '[^\p{{Lu}}]', '', 'g')) >= 2 AND NOT ({_UPPER}) AS capitals, in_cyr AND lat AND NOT cyr AND (length(w) >= 4 OR so_far >= 3) AND NOT ({_UPPER}) AS stranger FROM g),
+c AS (SELECT doc_id, start_line, sum(lat::INTEGER) AS n_latin, sum(cyr::INTEGER) AS n_cyr, sum((lat AND NOT cyr)::INTEGER) AS n_only, sum((mixed OR capitals OR stranger)::INTEGER) AS n_flagged,
+  sum(mixed::INTEGER) AS mixed, sum(capitals::INTEGER) AS capitals, sum(stranger::INTEGER) AS strangers FROM h GROUP BY doc_id, start_line),
+x AS (SELECT q.*, coalesce(n_latin, 0) AS n_latin, coalesce(n_cyr, 0) AS n_cyr, coalesce(n_only, 0) AS n_only, coalesce(n_flagged, 0) AS n_flagged, coalesce(mixed, 0) AS mixed, coalesce(capitals, 0) AS capitals, coalesce(strangers, 0) AS strangers,
+  length(regexp_replace(text, '\s', '', 'g')) AS solid, length(regexp_replace(text, '[\s0-9{T.LETTER}{suspicion.ALLOWED.replace("'", "''")}]', '', 'g')) AS strange FROM q LEFT JOIN c USING (doc_id, start_line)),
+y AS (SELECT *, CASE WHEN solid > 0 THEN strange / solid ELSE 0.0::DOUBLE END AS weird, n_latin / greatest(n_latin + n_cyr, 1) AS share, length(text) <= 10 AS short, regexp_matches(text, '^<!--.*-->$') AS comment, regexp_matches(text, '[A-Za-z]') AS latin FROM x),
+z AS (SELECT *, weird > 0.05 AS odd, n_cyr >= 4 AND n_latin > 0 AND share > 0.2 AS much, in_cyr AND n_only > 0 AS alone FROM y),
+r AS (SELECT *, CASE WHEN short THEN CASE WHEN latin THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END WHEN comment THEN 0.7::DOUBLE ELSE least(1.0::DOUBLE,
+    n_flagged / len(found) + CASE WHEN odd THEN least(0.4::DOUBLE, (weird - 0.05::DOUBLE) * 4) ELSE 0 END + CASE WHEN much THEN least(0.4::DOUBLE, (share - 0.2::DOUBLE) * 2) ELSE 0 END
+    + greatest(CASE WHEN strangers > 0 THEN 0.5::DOUBLE ELSE 0 END, CASE WHEN alone THEN least(0.6::DOUBLE, 0.4::DOUBLE + 0.05::DOUBLE * n_only) ELSE 0 END)) END AS score,
+  CASE WHEN short THEN CASE WHEN latin THEN ['latin-only', 'short-fragment'] ELSE ['short-fragment'] END WHEN comment THEN ['html-comment'] ELSE list_sort(list_filter([CASE WHEN mixed > 0 THEN 'mixed-script' END,
+    CASE WHEN capitals > 0 THEN 'mixed-case' END, CASE WHEN strangers > 0 THEN 'latin-in-cyr' END, CASE WHEN odd THEN 'weird-chars' END, CASE WHEN much THEN 'latin-ratio' END, CASE WHEN alone THEN 'latin-only' END], lambda v: v IS NOT NULL)) END AS reasons FROM z),
+s AS (SELECT * FROM r WHERE short OR comment OR mixed > 0 OR (score >= 0.45 AND len(reasons) > 0))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN {_HAS.format("'latin-only', 'latin-in-cyr'")} THEN 0 WHEN {_HAS.format("'mixed-script', 'latin-ratio'")} THEN 1 WHEN {_HAS.format("'weird-chars'")} THEN 2
+  WHEN {_HAS.format("'short-fragment'")} THEN 4 ELSE 3 END, round(score, 9) DESC, start_line) AS INTEGER) AS rank, text, round(score, 6) AS score, array_to_string(reasons, ',') AS reasons, start_line, end_line FROM s""")
 def suspicious_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suspicion.suspicious(X.with_cyrillic(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
+    found = suspicion.suspicious(X.with_cyrillic(spark, sf_dir), "doc_id")
+    return found.withColumn("score", F.round("score", 6)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 LEXICAL = "(length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4"
@@ -270,7 +293,11 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.points().select(F.col("point_id").cast("long").alias("point_id"), "label")
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn AS ord, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
+b AS (SELECT conv_id, ord, nth, 1 AS batch_no, 1 AS texts, n AS tokens FROM t WHERE nth = 1
+  UNION ALL SELECT t.conv_id, t.ord, t.nth, CASE WHEN texts >= 4 OR tokens + n > 60 THEN batch_no + 1 ELSE batch_no END, CASE WHEN texts >= 4 OR tokens + n > 60 THEN 1 ELSE texts + 1 END,
+    CASE WHEN texts >= 4 OR tokens + n > 60 THEN n ELSE tokens + n END FROM b JOIN t ON t.conv_id = b.conv_id AND t.nth = b.nth + 1)
+SELECT conv_id, ord, batch_no FROM b""")
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each conversation's turns: at most 4 texts or 60 tokens each."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), T.count_tokens(F.col("text")).alias("n_tokens"))
@@ -394,7 +421,8 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(trim(url))) AS x FROM pages)
+SELECT page_id, left(x, 8) || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', CAST(1 + (strpos('0123456789abcdef', x[17]) - 1) % 4 AS BIGINT), 1) || x[18:20] || '-' || x[21:32] AS url_id, page_id::VARCHAR AS own_id FROM h""")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.point_id(F.col("url")).alias("url_id"), T.point_id(F.col("page_id")).alias("own_id"))
 

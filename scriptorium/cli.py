@@ -9,16 +9,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, chunking, structure, vectors
+from scriptorium.operators import answer, chunking, cleaning, structure, vectors
 from scriptorium.sources import readers, settings, writers
 
 
 def clean(spark: SparkSession, a: argparse.Namespace) -> None:
     """Markdown files, deeply cleaned, to a directory per book."""
-    books = readers.markdown_files(spark, a.source)
-    for _, step in T.deep_steps():
-        books = books.withColumn("text", step(F.col("text")))
-    writers.markdown(books, a.target)
+    words = spark.read.text(a.dictionary).select(T.strip(F.col("value")).alias("word")) if a.dictionary else None
+    writers.markdown(cleaning.deep(readers.markdown_files(spark, a.source), "book", words=words), a.target)
 
 
 def sections(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -1,16 +1,14 @@
 """Text clean-up as column expressions: light and deep normalisation of converted pages.
 
-Everything here is row-local and stays in the JVM, except the three functions that say so (HTML entities, canonical composition,
-drop caps). Patterns spell out letter classes, because ``\\w`` and ``\\s`` differ between regular expression dialects. A null
+Everything here is row-local and stays in the JVM, except the two functions that say so (HTML entities, canonical composition). Patterns spell out letter classes, because ``\\w`` and ``\\s`` differ between regular expression dialects. A null
 text stays null.
 """
 
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -154,11 +152,27 @@ def apply_case(template: Column, word: Column) -> Column:
     return F.when(has_letter_case(template, "upper"), F.upper(word)).when(has_letter_case(template, "lower"), F.lower(word)).when(has_letter_case(head, "upper"), first).otherwise(word)
 
 
-def fix_short_latin(c: Column) -> Column:
-    """Short Latin words of look-alikes in mostly Russian lines, where they are known Russian words."""
-    cyrillic = lambda x: F.lower(to_cyrillic(x))
-    known = lambda x: x.rlike(f"^[{LOOKALIKE_LATIN}]{{1,5}}\\z") & F.upper(x).isin(SHORT_LATIN_WORDS)
-    line = lambda s: each(s, f"[{WORD}]+", f"[^{WORD}]+", lambda x: F.when(known(x), apply_case(x, cyrillic(x))).otherwise(x))
+_LOOKALIKES = f"^[{LOOKALIKE_LATIN}]{{1,5}}\\z"
+
+
+def _as_cyrillic(token: Column) -> Column:
+    return F.lower(to_cyrillic(token))
+
+
+def asked_of_short_latin(c: Column) -> Column:
+    """The words that short Latin tokens of two letters or more may stand for, to be looked up in a dictionary."""
+    tokens = F.filter(F.regexp_extract_all(c, F.lit(f"[{WORD}]+"), F.lit(0)), lambda x: x.rlike(_LOOKALIKES) & (F.length(x) > 1))
+    return F.transform(tokens, _as_cyrillic)
+
+
+def fix_short_latin(c: Column, known: Column | None = None) -> Column:
+    """Short Latin words of look-alikes in mostly Russian lines, where they are Russian words.
+
+    ``known`` holds the words that a dictionary has; a single letter, and any word without a dictionary, goes by a short list.
+    """
+    listed = lambda x: F.upper(x).isin(SHORT_LATIN_WORDS)
+    word = listed if known is None else lambda x: F.when(F.length(x) > 1, F.array_contains(known, _as_cyrillic(x))).otherwise(listed(x))
+    line = lambda s: each(s, f"[{WORD}]+", f"[^{WORD}]+", lambda x: F.when(x.rlike(_LOOKALIKES) & word(x), apply_case(x, _as_cyrillic(x))).otherwise(x))
     return F.array_join(F.transform(split_lines(c), lambda s: F.when(russian_dominant(s), line(s)).otherwise(s)), "\n")
 
 
@@ -209,29 +223,40 @@ def dedupe_words(c: Column) -> Column:
     return F.regexp_replace(c, r"(?iuU)\b(\w{4,})\b(?:[ \t]+\1\b)+", "$1")
 
 
-def restore_drop_caps(c: Column, known: Iterable[str] | None = None) -> Column:
-    """Missing first letters of lines, found by trying the alphabet against a dictionary of lower-case words; without one, no change."""
-    if not known:
-        return c
-    words = frozenset(known)
-    start = re.compile(rf"(?m)^([#>\-*\s]{{0,5}})([{LETTER}]{{2,}})(?=\b)")
+#: What may stand before a line's first word, and the word.
+_FIRST_WORD = rf"(?U)^([#>\-*\s]{{0,5}})([{LETTER}]{{2,}}+)(?![{WORD}])"
+
+
+def _first_word(line: Column) -> Column:
+    return F.regexp_extract(line, _FIRST_WORD, 2)
 
-    def whole(m: re.Match) -> str:
-        word = m[2]
-        if word in words or word.lower() in words:
-            return m[0]
-        letters = RUSSIAN_ALPHABET if re.search(f"[{CYR}]", word) else LATIN_ALPHABET
-        found = next((x for x in letters if (x + word).lower() in words), None)
-        if found is None:
-            return m[0]
-        made = found + word
-        return m[1] + (made.upper() if word.isupper() else made.lower() if word.islower() else made)
 
-    @F.pandas_udf(StringType())
-    def restored(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: start.sub(whole, t), na_action="ignore")
+def _with_letters(word: Column) -> Column:
+    """A lower-case word behind each letter of its alphabet, in order."""
+    letters = lambda alphabet: F.array(*[F.lit(x.lower()) for x in alphabet])
+    return F.transform(F.when(word.rlike(f"[{CYR}]"), letters(RUSSIAN_ALPHABET)).otherwise(letters(LATIN_ALPHABET)), lambda x: F.concat(x, word))
 
-    return restored(c)
+
+def asked_of_drop_caps(c: Column) -> Column:
+    """The lines' first words, and what they may have been with one more letter, to be looked up in a dictionary."""
+    first = F.array_distinct(F.filter(F.transform(split_lines(c), lambda x: F.lower(_first_word(x))), lambda w: w != ""))
+    return F.concat(first, F.flatten(F.transform(first, _with_letters)))
+
+
+def restore_drop_caps(c: Column, known: Column | None = None) -> Column:
+    """Missing first letters of lines: a first word that isn't ``known`` gets the first letter that makes it so; without a dictionary, no change."""
+    if known is None:
+        return c
+
+    def line(x: Column) -> Column:
+        word = _first_word(x)
+        low = F.lower(word)
+        made = F.get(F.filter(_with_letters(low), lambda w: F.array_contains(known, w)), F.lit(0))
+        head = F.regexp_extract(x, _FIRST_WORD, 1)
+        whole = F.concat(head, apply_case(word, made), F.substr(x, F.length(head) + F.length(word) + 1))
+        return F.when((word == "") | F.array_contains(known, low) | made.isNull(), x).otherwise(whole)
+
+    return F.array_join(F.transform(F.split(c, "\n", -1), line), "\n")
 
 
 def final_spacing(c: Column) -> Column:
@@ -239,8 +264,12 @@ def final_spacing(c: Column) -> Column:
     return F.concat(strip(F.regexp_replace(c, r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
-def deep_steps(known: Iterable[str] | None = None) -> list[tuple[str, Callable[[Column], Column]]]:
-    """The deep clean-up in order, by name."""
+#: Steps of the deep clean-up that ask a dictionary: what they ask, and what they do with what is known.
+ASKING = {"drop_caps": (asked_of_drop_caps, restore_drop_caps), "short_latin": (asked_of_short_latin, fix_short_latin)}
+
+
+def deep_steps() -> list[tuple[str, Callable[[Column], Column]]]:
+    """The deep clean-up in order, by name, as it is without a dictionary."""
     return [
         ("newlines", unify_newlines),
         ("html", html_unescape),
@@ -250,7 +279,7 @@ def deep_steps(known: Iterable[str] | None = None) -> list[tuple[str, Callable[[
         ("letters", join_single_letters),
         ("lines", join_lines),
         ("dashes", dashes_and_spaces),
-        ("drop_caps", lambda c: restore_drop_caps(c, known)),
+        ("drop_caps", restore_drop_caps),
         ("homoglyphs", fix_homoglyphs),
         ("short_latin", fix_short_latin),
         ("digits", fix_digits),
@@ -295,7 +324,10 @@ def count_tokens(c: Column) -> Column:
 
 
 def point_id(c: Column) -> Column:
-    """Store identifiers: whole numbers and UUIDs as they are written canonically, other texts as version 5 UUIDs; null if blank."""
+    """Store identifiers: whole numbers and UUIDs as they are written canonically, other texts as version 5 UUIDs; null for null.
+
+    Blank texts, negative whole numbers and values that are neither texts nor whole numbers raise.
+    """
     s = strip(c.cast("string"))
     digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(s, "UTF-8")))
     variant = F.substring(F.lit("89ab"), 1 + F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4, F.lit(1))
@@ -303,7 +335,12 @@ def point_id(c: Column) -> Column:
     bare = F.lower(F.regexp_replace(F.regexp_replace(s, r"(?i)^urn:uuid:", ""), r"[{}\-]", ""))
     canonical = F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
     number = F.regexp_replace(s, r"^0+(?=[0-9])", "")
-    return F.when(s.rlike(r"^[0-9]+\z"), number).when(bare.rlike(r"^[0-9a-f]{32}\z"), canonical).when(s != "", F.concat_ws("-", *parts))
+    kind = F.typeof(c)
+    wrong = F.raise_error(F.concat(F.lit("a point id must be a text or a whole number, not "), kind)).cast("string")
+    negative = F.raise_error(F.concat(F.lit("a point id must not be negative: "), s)).cast("string")
+    texts = F.when(bare.rlike(r"^[0-9a-f]{32}\z"), canonical).when(s != "", F.concat_ws("-", *parts)).otherwise(F.raise_error(F.lit("a point id is blank")).cast("string"))
+    whole = kind.isin("tinyint", "smallint", "int", "bigint")
+    return F.when(s.isNull(), F.lit(None)).when(~whole & (kind != "string"), wrong).when(whole & s.startswith("-"), negative).when(s.rlike(r"^[0-9]+\z"), number).otherwise(texts)
 
 
 def book_code(name: Column) -> Column:
@@ -336,12 +373,12 @@ def _title(parts: list[Column], joint: str) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), joint)
 
 
-def source_title(book: Column, chapter: Column, path: Column, chunk_id: Column, joint: str = " • ", inner: str = " › ", with_id: bool = True) -> Column:
-    """Where a chunk comes from; its id, or ``fragment``, if nothing else is known."""
+def source_title(book: Column, chapter: Column, path: Column, chunk_id: Column, joint: str = " • ", inner: str = " › ", with_id: bool = True, fallback: str = "fragment") -> Column:
+    """Where a chunk comes from; its id, or ``fallback``, if nothing else is known."""
     inside = F.array_join(F.filter(F.coalesce(path, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), inner)
     named = F.when(chunk_id != "", F.concat(F.lit("id="), chunk_id))
     title = _title([book, chapter, inside, *([named] if with_id else [])], joint)
-    return F.when(title != "", title).otherwise(F.coalesce(F.nullif(chunk_id, F.lit("")), F.lit("fragment")))
+    return F.when(title != "", title).otherwise(F.coalesce(F.nullif(chunk_id, F.lit("")), F.lit(fallback)))
 
 
 def context_block(rank: Column, title: Column, text: Column, most: int = 1500) -> Column:

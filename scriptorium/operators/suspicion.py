@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import structure
+from scriptorium.operators import dictionary, structure
 
 # Signs besides letters, digits and white space that clean text holds.
 ALLOWED = r""" .,:;!?"'«»„()\[\]{}<>\-–—/%&+#°•…"""
@@ -20,7 +20,7 @@ def _latin(w: Column) -> Column:
     return w.rlike("[A-Za-z]")
 
 
-def _words(words: Column, in_cyrillic: Column, known: list[str] | None) -> Column:
+def _words(words: Column, in_cyrillic: Column, known: Column | None) -> Column:
     """Counts and flags over the words, in order: whether a short Latin word counts depends on the Cyrillic words up to it."""
     zero = F.struct(*[F.lit(0).alias(c) for c in ("n_latin", "n_cyr", "n_latin_only", "n_flagged", "mixed", "capitals", "strangers", "unknown")])
 
@@ -30,7 +30,7 @@ def _words(words: Column, in_cyrillic: Column, known: list[str] | None) -> Colum
         mixed = cyr & lat
         capitals = (F.length(F.regexp_replace(w, r"\P{Lu}", "")) >= 2) & ~T.has_letter_case(w, "upper")
         stranger = in_cyrillic & lat & ~cyr & ((F.length(w) >= 4) | (n_cyr >= 3)) & ~T.has_letter_case(w, "upper")
-        unknown = cyr & (F.length(w) >= 5) & ~F.lower(w).isin(known) if known else F.lit(False)
+        unknown = cyr & (F.length(w) >= 5) & ~F.array_contains(known, F.lower(w)) if known is not None else F.lit(False)
         values = {
             "n_latin": a["n_latin"] + lat.cast("int"),
             "n_cyr": n_cyr,
@@ -46,10 +46,10 @@ def _words(words: Column, in_cyrillic: Column, known: list[str] | None) -> Colum
     return F.aggregate(words, zero, step)
 
 
-def scored(paragraphs: DataFrame, known: list[str] | None = None) -> DataFrame:
+def scored(paragraphs: DataFrame, known: str | None = None) -> DataFrame:
     """Paragraphs (``lines`` array) with ``text, score, reasons`` and ``kept_always``; ones without words and headings are left out.
 
-    With a small dictionary of lower-case words, longer Cyrillic words that it lacks count too; without one, none does.
+    Where the column ``known`` holds the words that a dictionary has, longer Cyrillic words that it lacks count too; else none does.
     """
     df = paragraphs.withColumn("text", T.strip(F.array_join("lines", "\n")))
     df = df.where(~F.regexp_replace(F.element_at("lines", 1), r"(?U)^[\s\x1c-\x1f]+", "").startswith("#") & F.col("text").rlike(rf"[{T.LETTER}']"))
@@ -58,7 +58,7 @@ def scored(paragraphs: DataFrame, known: list[str] | None = None) -> DataFrame:
     # behind a generator the fold and the counts are columns; a filter on the score would compute them at every mention
     counts = F.struct(F.size("found").alias("n_words"), (T.n_cyrillic(F.col("text")) >= T.n_latin(F.col("text"))).alias("in_cyr"))
     df = df.select("*", F.inline(F.array(F.struct(words.alias("words"), counts.alias("c"))))).drop("found")
-    df = df.select("*", F.explode(F.array(_words(F.col("words"), F.col("c.in_cyr"), known))).alias("w")).drop("words")
+    df = df.select("*", F.explode(F.array(_words(F.col("words"), F.col("c.in_cyr"), None if known is None else F.col(known)))).alias("w")).drop("words")
     solid = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
     weird = F.length(F.regexp_replace("text", rf"(?U)[\s\x1c-\x1f0-9{T.LETTER}{ALLOWED}]", ""))
     df = df.withColumn("weird", F.when(solid > 0, weird / solid).otherwise(0.0)).withColumn("latin_share", F.col("w.n_latin") / F.greatest(F.col("w.n_latin") + F.col("w.n_cyr"), F.lit(1)))
@@ -81,9 +81,17 @@ def priority(reasons: Column) -> Column:
     return F.when(has("latin-only", "latin-in-cyr"), 0).when(has("mixed-script", "latin-ratio"), 1).when(has("unknown-cyr", "weird-chars"), 2).when(has("short-fragment"), 4).otherwise(3)
 
 
-def suspicious(docs: DataFrame, key: str, text: str = "text", min_score: float = 0.45, most: int | None = None, known: list[str] | None = None) -> DataFrame:
-    """``key, rank, text, score, reasons, start_line, end_line``: each document's suspicious paragraphs, worst first, ``most`` at most."""
-    rows = scored(structure.paragraphs(docs, key, text), known).where(F.col("kept_always") | ((F.col("score") >= min_score) & (F.size("reasons") > 0)))
+def suspicious(docs: DataFrame, key: str, text: str = "text", min_score: float = 0.45, most: int | None = None, words: DataFrame | None = None) -> DataFrame:
+    """``key, rank, text, score, reasons, start_line, end_line``: each document's suspicious paragraphs, worst first, ``most`` at most.
+
+    ``words(word)`` is a dictionary; it is asked once for each document's longer Cyrillic words.
+    """
+    rows = structure.paragraphs(docs, key, text)
+    if words is not None:
+        long = F.filter(F.regexp_extract_all(text, F.lit(rf"[{T.LETTER}']+"), F.lit(0)), lambda w: _cyrillic(w) & (F.length(w) >= 5))
+        asked = F.transform(long, lambda w: F.lower(F.regexp_replace(w, "^'+|'+$", "")))
+        rows = rows.join(dictionary.with_known(docs.select(key, text), words, key, asked).select(key, "known"), key)
+    rows = scored(rows, None if words is None else "known").where(F.col("kept_always") | ((F.col("score") >= min_score) & (F.size("reasons") > 0)))
     order = Window.partitionBy(key).orderBy(priority(F.col("reasons")), F.round("score", 9).desc(), "start_line")
     rows = rows.withColumn("rank", F.row_number().over(order))
     if most is not None:

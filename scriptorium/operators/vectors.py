@@ -248,14 +248,15 @@ class Collection:
 
     def upsert(self, rows: DataFrame, key: str = "point_id", order: str | None = None) -> None:
         """Adds points; one with a known id takes the other's place. Of equal ids in ``rows`` the greatest ``order`` stays."""
-        bad = rows.where(F.col("vector").isNull() | (F.size("vector") != self.dim)).limit(1).count()
-        if bad:
+        blank = F.col(key).isNull() | (T.strip(F.col(key).cast("string")) == "")
+        found = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vector").isNull() | (F.size("vector") != self.dim)).alias("bad"), F.count_if(blank).alias("blank")).first()
+        if found.bad:
             raise ValueError(f"vectors must have {self.dim} components")
-        rows = rows.withColumn("point_id", T.point_id(F.col(key)))
-        if rows.where("point_id is null").limit(1).count():
+        if found.blank:
             raise ValueError("a point id is blank")
-        if rows.isEmpty():
+        if not found.n:
             return
+        rows = rows.withColumn("point_id", T.point_id(F.col(key)))
         now, number = self._current(), 1
         fresh = last_wins(rows.withColumn("__gen", F.lit(1)), "point_id", F.col(order) if order else F.lit(0))
         if now is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, changes, chunking, evaluate, structure, suspicion, vectors
+from scriptorium.operators import answer, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vectors
 from scriptorium.plans import fixtures as X
 from scriptorium.plans.fixtures import table
 from scriptorium.sources import readers, writers
@@ -313,10 +313,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def deep_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.books(spark, sf_dir)
-    for _, step in T.deep_steps():
-        rows = rows.withColumn("text", step(F.col("text")))
-    return rows
+    return cleaning.deep(X.books(spark, sf_dir), "doc_id")
 
 
 @query(BATCH + """, f AS (SELECT * FROM r WHERE rank <= 5)
@@ -398,6 +395,41 @@ def short_latin_and_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.fix_digits(T.fix_short_latin(F.col("text"))).alias("text"))
 
 
+_WORDS = f"words AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[{T.LETTER}]{{3,}}')) AS w FROM documents))"
+
+
+def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of any size: every word of three letters or more of the documents, in small letters."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(f"[{T.LETTER}]{{3,}}"), F.lit(0))).alias("word")).select(F.lower("word").alias("word")).distinct()
+
+
+@query(rf"""WITH {_WORDS},
+l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(^|\n)[A-Za-z]', '\1', 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '(^|\n)[A-Za-z]', '\1', 'g'), chr(10)), 1) AS n FROM documents),
+p AS (SELECT *, regexp_extract(line, '^([#>\-*\s]{{0,5}})([{T.LETTER}]{{2,}})(?:[^{T.WORD}{T.LETTER}]|$)', 2) AS w, regexp_extract(line, '^([#>\-*\s]{{0,5}})([{T.LETTER}]{{2,}})(?:[^{T.WORD}{T.LETTER}]|$)', 1) AS head FROM l),
+u AS (SELECT DISTINCT lower(w) AS low FROM p WHERE w <> '' AND lower(w) NOT IN (SELECT word FROM words)),
+c AS (SELECT low, min(i) AS i FROM u, range(1, 34) t(i) WHERE substr(CASE WHEN regexp_matches(low, '[{T.CYR}]') THEN '{T.RUSSIAN_ALPHABET.lower()}' ELSE '{T.LATIN_ALPHABET.lower()}' END, i, 1) <> ''
+  AND substr(CASE WHEN regexp_matches(low, '[{T.CYR}]') THEN '{T.RUSSIAN_ALPHABET.lower()}' ELSE '{T.LATIN_ALPHABET.lower()}' END, i, 1) || low IN (SELECT word FROM words) GROUP BY low),
+m AS (SELECT low, substr(CASE WHEN regexp_matches(low, '[{T.CYR}]') THEN '{T.RUSSIAN_ALPHABET.lower()}' ELSE '{T.LATIN_ALPHABET.lower()}' END, i, 1) || low AS made FROM c),
+f AS (SELECT p.*, CASE WHEN made IS NULL THEN line ELSE head || CASE WHEN w = upper(w) THEN upper(made) WHEN w = lower(w) THEN made WHEN left(w, 1) = upper(left(w, 1)) AND upper(left(w, 1)) <> lower(left(w, 1)) THEN upper(left(made, 1)) || made[2:] ELSE made END || substr(line, length(head) + length(w) + 1) END AS fixed
+  FROM p LEFT JOIN m ON lower(w) = low)
+SELECT doc_id, string_agg(fixed, chr(10) ORDER BY n) AS text FROM f GROUP BY doc_id""")
+def drop_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that have lost their first letter, against a dictionary of the documents' own words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(^|\n)[A-Za-z]", "$1").alias("text"))
+    asked = dictionary.with_known(docs, dictionary_words(spark, sf_dir), "doc_id", T.asked_of_drop_caps(F.col("text")))
+    return asked.select("doc_id", T.restore_drop_caps(F.col("text"), F.col("known")).alias("text"))
+
+
+@query(rf"""WITH {_WORDS}, w AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[{T.LETTER}]{{2,}}'), lambda x: lower(x)))) AS word FROM documents)
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (word IN (SELECT word FROM words)) AS n_known FROM w GROUP BY doc_id""")
+def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each document's different words the dictionary holds."""
+    own = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"[{T.LETTER}]{{2,}}"), F.lit(0)), F.lower))
+    docs = table(spark, sf_dir, "documents").select("doc_id", own.alias("own")).where(F.size("own") > 0)
+    found = dictionary.with_known(docs, dictionary_words(spark, sf_dir), "doc_id", F.col("own"))
+    return found.select("doc_id", F.size("own").cast("long").alias("n_words"), F.size("known").cast("long").alias("n_known"))
+
+
 @query()
 def dedupe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.dedupe_words(F.regexp_replace("text", r"\b(\w{5,})\b", "$1 $1")).alias("text"))

@@ -55,7 +55,7 @@ def test_suspicion(spark):
     assert by[11].reasons == ["latin-in-cyr", "latin-only"] and by[11].score == pytest.approx(min(1, 1 / 7 + 0.5))
     assert [r.start_line for r in rows][0] in (11, 7)
     assert len(suspicion.suspicious(docs, "k", most=2).collect()) == 2
-    strange = suspicion.suspicious(spark.createDataFrame([(1, "неслово здесь неслово")], "k int, text string"), "k", known=["здесь"]).collect()
+    strange = suspicion.suspicious(spark.createDataFrame([(1, "неслово здесь неслово")], "k int, text string"), "k", words=spark.createDataFrame([("здесь",)], "word string")).collect()
     assert [(r.reasons, round(r.score, 3)) for r in strange] == [(["unknown-cyr"], 0.667)]
 
 

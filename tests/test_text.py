@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
+from scriptorium.operators import cleaning, dictionary
 
 CASES = [
     (text.light, "пере-\nнос a \t\r\nb\r\r\r\rc - d", "перенос a\nb\n\nc - d"),
@@ -36,7 +37,6 @@ CASES = [
     (lambda c: text.answer_found(c).cast("string"), "Да [1]", "true"),
     (lambda c: text.judge_verdict(c)["score"].cast("string"), 'so {"score": 0.5,\n "reasoning": "x"} end', "0.5"),
     (lambda c: text.judge_verdict(c)["score"].cast("string"), "none", "0.0"),
-    (lambda c: text.restore_drop_caps(c, {"персонаж", "слово"}), "ерсонаж\n# Слово слово", "персонаж\n# Слово слово"),
     (text.restore_drop_caps, "ерсонаж", "ерсонаж"),
 ]
 
@@ -49,10 +49,24 @@ def test_cases(spark, number):
 
 
 def test_point_ids(spark):
-    given = ["7", " 007 ", "-3", "текст", "x y", "6BA7B811-9DAD-11D1-80B4-00C04FD430C8", "", None]
+    given = ["7", " 007 ", "-3", "текст", "x y", "6BA7B811-9DAD-11D1-80B4-00C04FD430C8", None]
     rows = spark.createDataFrame([(x,) for x in given], "t string").select(text.point_id(F.col("t"))).collect()
     url = lambda x: str(uuid.uuid5(uuid.NAMESPACE_URL, x))
-    assert [r[0] for r in rows] == ["7", "7", url("-3"), url("текст"), url("x y"), "6ba7b811-9dad-11d1-80b4-00c04fd430c8", None, None]
+    assert [r[0] for r in rows] == ["7", "7", url("-3"), url("текст"), url("x y"), "6ba7b811-9dad-11d1-80b4-00c04fd430c8", None]
+    for bad, kind in ((" ", "string"), (-3, "bigint"), (1.5, "double"), (True, "boolean")):
+        with pytest.raises(Exception, match="point id"):
+            spark.createDataFrame([(bad,)], f"x {kind}").select(text.point_id(F.col("x"))).collect()
+
+
+def test_dictionary(spark):
+    words = spark.createDataFrame([("Персонаж",), ("слово",), ("кот",), ("сова",)], "word string")
+    docs = spark.createDataFrame([(1, "ерсонаж идёт\n# Слово слово\n  - ОВА\nЛово\nxyz", "k"), (2, "KOT и CAT на столе сидит, C, KOTOM", "k"), (3, None, "k"), (None, "ерсонаж", "k")], "id long, text string, known string")
+    asked = dictionary.with_known(docs, words, "id", text.asked_of_drop_caps(F.col("text")), "found")
+    got = {r.id: r[1] for r in asked.select("id", text.restore_drop_caps(F.col("text"), F.col("found"))).collect()}
+    assert got == {1: "персонаж идёт\n# Слово слово\n  - СОВА\nСлово\nxyz", 2: docs.where("id = 2").first().text, 3: None, None: "ерсонаж"}
+    cleaned = {r.id: r for r in cleaning.deep(docs, "id", words=words).collect()}
+    assert cleaned[2].text == "КОТ и CAT на столе сидит, С, KOTOM\n" and cleaned[2].known == "k" and cleaned[3].text is None
+    assert cleaned[1].text.startswith("персонаж идёт")
 
 
 def test_deep_keeps_invariants(spark):

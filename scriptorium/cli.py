@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, chunking, cleaning, structure, vectors
+from scriptorium.operators import answer, changes, chunking, cleaning, evaluate, structure, vectors
 from scriptorium.sources import readers, settings, writers
 
 
@@ -46,29 +47,82 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
         store.upsert(rows.withColumn("vector", vectors.hashed_embedding(F.col("text"), a.dim)), "chunk_id")
 
 
+def _models(a: argparse.Namespace) -> answer.Models:
+    return answer.Models(embed=lambda c: vectors.hashed_embedding(c, a.dim))
+
+
+def _named(name: str | None):
+    """A function given as ``module:function``."""
+    if name is None:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def parse(spark: SparkSession, a: argparse.Namespace) -> None:
+    """PDF files to a directory of Markdown per book, by the converter named as module:function."""
+    books = readers.converted(readers.pdf_files(spark, a.source), _named(a.converter), a.ocr, a.languages)
+    writers.markdown(books, a.target)
+    for row in readers.pdf_files(spark, a.source).select("book").distinct().orderBy("book").limit(1000).collect():
+        print(f"{a.target.rstrip('/')}/book={row.book}")
+
+
+def changes_(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Cleaned Markdown files against the originals of the same name, to a change log per book."""
+    writers.change_logs(changes.between(readers.markdown_files(spark, a.cleaned), readers.markdown_files(spark, a.source)), a.target)
+
+
 def ask(spark: SparkSession, a: argparse.Namespace) -> None:
     """One question of a collection."""
-    models = answer.Models(embed=lambda c: vectors.hashed_embedding(c, a.dim))
     asked = spark.createDataFrame([(1, a.query)], "query_id int, question string")
-    found = answer.answer(asked, vectors.Collection(spark, a.source, a.dim).points(), models, a.k, not a.no_rerank)
-    print("\n\n".join(writers.printed(found)))
+    points = vectors.Collection(spark, a.source, a.dim).points()
+    found = answer.answer(asked, points, _models(a), a.k, not a.no_rerank, prompts_path=a.prompts, log_path=a.log_dir, chat=answer.Chat(temperature=a.temperature))
+    print("\n\n".join(writers.printed(found, debug=a.debug)))
+
+
+def evaluate_(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A collection's answers to a set of samples: records to a report, means to the terminal."""
+    rows = readers.samples(spark, a.dataset, a.limit)
+    points = vectors.Collection(spark, a.source, a.dim).points()
+    records = evaluate.run(rows, points, _models(a), _named(a.judge), k=a.k, rerank=not a.no_rerank, chat=answer.Chat(temperature=a.temperature))
+    written = writers.report(records, a.log_dir or "logs/eval")
+    means = evaluate.report(spark.read.schema(records.schema).json(written)).first()
+    print(f"Samples: {means.n_samples}\nAverage Recall@{a.k}: {means.mean_recall:.3f}\nAverage score: {means.mean_score:.3f}\nLog written to: {written}")
+
+
+COMMANDS = {"parse": (parse, ["source", "target"]), "clean": (clean, ["source", "target"]), "changes": (changes_, ["cleaned", "source", "target"]), "sections": (sections, ["source", "target"]), "chunks": (chunks, ["source", "target"]), "sample": (sample, ["source", "query"]), "index": (index, ["target"]), "ask": (ask, ["source", "query"]), "eval": (evaluate_, ["source", "dataset"])}
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    given = settings.store()
     parser = argparse.ArgumentParser(prog="scriptorium")
     commands = parser.add_subparsers(dest="command", required=True)
-    for function, names in ((clean, ["source", "target"]), (sections, ["source", "target"]), (chunks, ["source", "target"]), (sample, ["source", "query"]), (index, ["target"]), (ask, ["source", "query"])):
-        p = commands.add_parser(function.__name__, help=function.__doc__)
-        for n in names:
+    for name, (function, places) in COMMANDS.items():
+        p = commands.add_parser(name, help=function.__doc__)
+        for n in places:
             p.add_argument(n)
         p.set_defaults(run=function)
         p.add_argument("--config")
         p.add_argument("-k", type=int, default=5)
-        p.add_argument("--dim", type=int, default=64)
-        if function is index:
+        p.add_argument("--dim", type=int, default=given.dim)
+        if name == "index":
             p.add_argument("source", nargs="*")
-        if function is ask:
+        if name == "clean":
+            p.add_argument("--dictionary", help="a text file of words, one a line")
+        if name == "parse":
+            p.add_argument("--converter", help="module:function from bytes to Markdown")
+            p.add_argument("--ocr", action="store_true")
+            p.add_argument("--languages", nargs="*")
+        if name in ("ask", "eval"):
             p.add_argument("--no-rerank", action="store_true")
+            p.add_argument("--temperature", type=float)
+            p.add_argument("--log-dir")
+        if name == "ask":
+            p.add_argument("--prompts")
+            p.add_argument("--debug", action="store_true", default=given.debug)
+        if name == "eval":
+            p.add_argument("--limit", type=int)
+            p.add_argument("--judge", help="module:function of a chat model; without one the score is the token F1")
     a = parser.parse_args(args)
     a.run(spark or SparkSession.builder.appName("scriptorium").getOrCreate(), a)
     return 0

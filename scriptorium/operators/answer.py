@@ -10,24 +10,56 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import vectors
+from scriptorium.sources import settings, writers
 
 # Fixed value: the default instruction of the model.
 SYSTEM_PROMPT = "Отвечай только фактами из предоставленного контекста. Если информации недостаточно, честно скажи об этом. Всегда добавляй ссылки на источники в формате [номер]."
 
 
-def first_passage(prompt: Column) -> Column:
-    """The default offline model: the first passage of the context, with its mark."""
-    body = F.regexp_extract(prompt, r"(?s)\[1\] [^\n]*\n(.*?)(?=\n\n|\z)", 1)
-    return F.concat(T.truncate(body, 200), F.lit(" [1]"))
+REPLY = "struct<content:string,model:string,prompt_tokens:int,completion_tokens:int,total_tokens:int>"
+
+
+@dataclass(frozen=True)
+class Chat:
+    """What a model is asked with besides the messages; None leaves it to the model."""
+
+    model: str = "first-passage"
+    temperature: float | None = None
+    max_tokens: int | None = None
+
+
+def messages(prompt: Column, system: str | None = None) -> Column:
+    """A conversation ``role, content``: the instruction, if there is one, and the question."""
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(*([said("system", F.lit(system))] if system else []), said("user", prompt))
+
+
+def reply(content: Column, chat: Chat, prompt_tokens: Column | None = None, completion_tokens: Column | None = None) -> Column:
+    """A model's reply with its usage, null where the model tells none."""
+    count = lambda c: (F.lit(None) if c is None else c).cast("int")
+    used = count(prompt_tokens), count(completion_tokens)
+    return F.struct(T.strip(content).alias("content"), F.lit(chat.model).alias("model"), used[0].alias("prompt_tokens"), used[1].alias("completion_tokens"), (used[0] + used[1]).alias("total_tokens"))
+
+
+def first_passage(said: Column, chat: Chat) -> Column:
+    """The default offline model: the first passage of the context, with its mark; tokens as ``text.count_tokens`` counts them."""
+    last = F.element_at(said, -1)["content"]
+    body = F.regexp_extract(last, r"(?s)\[1\] [^\n]*\n(.*?)(?=\n\n|\z)", 1)
+    content = F.concat(T.truncate(body, 200), F.lit(" [1]"))
+    tokens = F.aggregate(said, F.lit(0), lambda n, m: n + T.count_tokens(m["content"]))
+    return reply(content, chat, tokens, T.count_tokens(content))
 
 
 @dataclass(frozen=True)
 class Models:
-    """The seams for models: each is a function over columns, so a served model goes in as an Arrow function that loads it once."""
+    """The seams for models: each is a function over columns, so a served model goes in as an Arrow function that loads it once.
+
+    ``generate`` gets the messages (an array of ``role, content``) and the ``Chat`` settings, and returns what ``reply`` makes.
+    """
 
     embed: Callable[[Column], Column] = vectors.hashed_embedding
     rerank: Callable[[Column, Column], Column] = vectors.lexical_overlap
-    generate: Callable[[Column], Column] = first_passage
+    generate: Callable[[Column, Chat], Column] = first_passage
     system_prompt: str = SYSTEM_PROMPT
     names: dict = field(default_factory=lambda: {"embedding": "hashed-words", "rerank": "lexical-overlap", "answer": "first-passage"})
 
@@ -57,21 +89,37 @@ def diagnostics() -> Column:
     return F.struct("rank", "chunk_id", "vector_score", "rerank_score", "book_title", "chapter_title", "section_path", "chunk_index", T.preview(F.col("text")).alias("text_preview"))
 
 
-def answer(questions: DataFrame, points: DataFrame, models: Models | None = None, k: int = 5, rerank: bool = True, spec: dict | None = None, threshold: float | None = None, most: int = 1500) -> DataFrame:
-    """``query_id, question, answer, answer_found, chunks, requested_k, initial_k, extra`` for rows ``query_id, question``.
+def answer(
+    questions: DataFrame, points: DataFrame, models: Models | None = None, k: int = 5, rerank: bool = True, spec: dict | None = None, threshold: float | None = None,
+    most: int = 1500, chat: Chat | None = None, system_prompt: str | None = None, prompts_path: str | None = None, log_path: str | None = None,
+) -> DataFrame:
+    """Rows ``query_id, question`` with ``answer, answer_found, chunks, requested_k, initial_k, rerank_enabled``, the reply's ``model`` and tokens, and ``extra``.
 
-    Blank questions raise; a question without chunks gets the fixed answer and no model call.
+    The instruction is ``system_prompt``, or that of the file ``prompts_path``, or the models' own; an empty one is left out.
+    Blank questions raise; a question without chunks gets the fixed answer and no model call. With ``log_path`` the answers are
+    also logged under the day.
     """
     models = models or Models()
+    chat = chat or Chat(models.names.get("answer", "unknown"))
     if not questions.where(T.strip(F.coalesce("question", F.lit(""))) == "").isEmpty():
         raise ValueError("a question is blank")
+    system = settings.system_prompt(prompts_path, models.system_prompt) if system_prompt is None else system_prompt
     blocks = context(retrieve(questions, points, models, k, rerank, spec, threshold), most)
     joined = questions.select("query_id", "question").join(blocks, "query_id", "left")
-    prompt = T.user_prompt(F.col("question"), F.col("context"))
-    said = F.when(F.col("context").isNotNull(), models.generate(prompt)).otherwise(F.lit(T.NOTHING_FOUND_ANSWER))
-    out = joined.withColumn("answer", said)
-    reason = F.when(F.col("context").isNull(), F.to_json(F.struct(F.lit("no_chunks").alias("reason")))).otherwise("{}")
-    return out.select("query_id", "question", "answer", (F.col("context").isNotNull() & T.answer_found(F.col("answer"))).alias("answer_found"), "chunks", F.lit(k).alias("requested_k"), F.lit(4 * k if rerank else k).alias("initial_k"), reason.alias("extra"))
+    said = models.generate(messages(T.user_prompt(F.col("question"), F.col("context")), system), chat).cast(REPLY)
+    some = F.col("context").isNotNull()
+    # behind a generator the reply is a column: the model is asked once, and only where there is a context
+    asked = joined.select("*", F.explode(F.array(F.when(some, said))).alias("reply"))
+    none = F.to_json(F.struct(F.lit("no_chunks").alias("reason")))
+    extra = F.to_json(F.struct(F.lit(most).alias("max_chars_per_chunk"), F.lit(chat.temperature).cast("double").alias("temperature")), {"ignoreNullFields": "false"})
+    text = F.when(some, F.col("reply.content")).otherwise(F.lit(T.NOTHING_FOUND_ANSWER))
+    out = asked.select(
+        "query_id", "question", text.alias("answer"), (some & T.answer_found(text)).alias("answer_found"), "chunks", F.lit(k).alias("requested_k"), F.lit(4 * k if rerank else k).alias("initial_k"), F.lit(rerank).alias("rerank_enabled"),
+        F.coalesce("reply.model", F.lit(chat.model)).alias("model"), "reply.prompt_tokens", "reply.completion_tokens", "reply.total_tokens", F.when(some, extra).otherwise(none).alias("extra"),
+    )
+    if log_path is not None:
+        writers.query_log(log_rows(out, models, spec), log_path)
+    return out
 
 
 def log_rows(answers: DataFrame, models: Models, spec: dict | None = None) -> DataFrame:
@@ -106,3 +154,21 @@ def batches(rows: DataFrame, key: str, n_tokens: str, most_texts: int = 512, mos
 
     folded = rows.where("__ok is null").groupBy(key).agg(F.aggregate(items, zero, step)["out"].alias("out"))
     return folded.select(key, F.explode("out").alias("x")).select(key, "x.ord", "x.batch_no")
+
+
+def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[Column], Column], most_texts: int = 512, most_tokens: int = 250_000, hard: int = 300_000, count: Callable[[Column], Column] = T.count_tokens) -> DataFrame:
+    """Rows with ``vector``, by requests of bounded size: ``embed`` turns an array of texts into an array of vectors, a request a row.
+
+    Rows are dealt to queues of about ``most_texts`` by a hash of the key, and each queue is cut into requests by ``batches``. A reply with fewer
+    vectors than texts raises. Keys must be unique.
+    """
+    n = max(1, -(-rows.count() // most_texts))
+    queue = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("queue"), F.col(key).alias("key"), F.col(text).alias("piece"))
+    queue = queue.withColumn("ord", F.row_number().over(Window.partitionBy("queue").orderBy("key")).cast("long")).withColumn("n_tokens", count(F.col("piece")))
+    numbered = queue.join(batches(queue, "queue", "n_tokens", most_texts, most_tokens, hard), ["queue", "ord"])
+    requests = numbered.groupBy("queue", "batch_no").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "piece"))).alias("x"))
+    replies = requests.select("x", F.explode(F.array(embed(F.transform("x", lambda e: e["piece"])))).alias("got"))
+    short = F.raise_error(F.lit("the embedding model returned fewer vectors than texts"))
+    whole = F.when(F.size("got") < F.size("x"), short.cast("int")).otherwise(0)
+    vectors_of = replies.withColumn("ok", whole).where("ok = 0").select(F.explode(F.arrays_zip(F.transform("x", lambda e: e["key"]).alias("key"), F.col("got").alias("vector"))).alias("z"))
+    return rows.join(vectors_of.select(F.col("z.key").alias("__key"), F.col("z.vector").alias("vector")), F.col(key) == F.col("__key")).drop("__key")

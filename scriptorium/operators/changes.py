@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +34,10 @@ def change_log():
         return pd.Series([differences(a or "", b or "") for a, b in zip(before, after, strict=True)])
 
     return log
+
+
+def between(cleaned: DataFrame, original: DataFrame, name: str = "book", text: str = "text") -> DataFrame:
+    """``<name>, created_at, total_changes, changes`` of cleaned books against the originals of the same name; books without one are left out."""
+    both = cleaned.select(name, F.coalesce(text, F.lit("")).alias("after")).join(original.select(name, F.coalesce(text, F.lit("")).alias("before")), name)
+    found = both.select(name, F.explode(F.array(change_log()(F.col("before"), F.col("after")))).alias("changes"))
+    return found.select(name, F.date_format(F.current_timestamp(), "yyyy-MM-dd_HH-mm-ss").alias("created_at"), F.size("changes").alias("total_changes"), "changes")

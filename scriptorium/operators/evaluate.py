@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators import answer
+from scriptorium.sources import settings
 
 
 def _given(ids: Column) -> Column:
@@ -50,13 +55,36 @@ def report(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count("*").alias("n_samples"), F.avg("recall").alias("mean_recall"), F.avg("score").alias("mean_score"))
 
 
-def evaluated(answers: DataFrame, samples: DataFrame, judge: Column, key: str = "id") -> DataFrame:
-    """One record per sample: answers ``id, answer, retrieved`` against samples ``id, question, answer, references``; ``judge`` is the judge's raw reply over both."""
+def judge_prompt(template: str, question: Column, expected: Column, predicted: Column) -> Column:
+    """A template with its places ``{question}``, ``{expected_answer}`` and ``{predicted_answer}`` filled; doubled braces are single ones."""
+    values = {"{question}": question, "{expected_answer}": expected, "{predicted_answer}": predicted}
+    parts = re.split(r"(\{question\}|\{expected_answer\}|\{predicted_answer\})", template)
+    filled = [F.coalesce(values[x], F.lit("")) if x in values else F.lit(x.replace("{{", "{").replace("}}", "}")) for x in parts if x]
+    return F.concat(*filled) if filled else F.lit("")
+
+
+def evaluated(answers: DataFrame, samples: DataFrame, judge: Callable[[Column, answer.Chat], Column] | None = None, key: str = "id", prompts_path: str | None = None) -> DataFrame:
+    """One record per sample: answers ``<key>, answer, retrieved`` against samples ``<key>, question, answer, references``.
+
+    ``judge`` is a chat model (see ``answer.Models.generate``), asked at temperature 0; without one the score is the token F1.
+    """
     gold = samples.select(key, "question", F.col("answer").alias("expected_answer"), F.transform("references", lambda x: x["chunk_id"]).alias("expected_chunks"))
     both = gold.join(answers.select(key, F.col("answer").alias("predicted_answer"), F.col("retrieved").alias("retrieved_chunks")), key, "left")
-    verdict = T.judge_verdict(judge)
+    if judge is None:
+        verdict = F.struct(token_f1(F.col("predicted_answer"), F.col("expected_answer")).alias("score"), F.lit("token F1").alias("reasoning"))
+    else:
+        prompt = judge_prompt(settings.eval_prompt(prompts_path), F.col("question"), F.col("expected_answer"), F.col("predicted_answer"))
+        verdict = T.judge_verdict(judge(answer.messages(prompt), answer.Chat("judge", temperature=0.0))["content"])
+    both = both.select("*", F.explode(F.array(verdict)).alias("verdict"))  # behind a generator: the judge is asked once
     return both.select(
         F.col(key).alias("sample_id"), "question", "expected_answer", "predicted_answer", "expected_chunks", "retrieved_chunks",
         chunk_recall(F.col("expected_chunks"), F.col("retrieved_chunks")).alias("recall"),
-        verdict["score"].alias("score"), verdict["reasoning"].alias("reasoning"),
+        F.col("verdict.score").alias("score"), F.col("verdict.reasoning").alias("reasoning"),
     )
+
+
+def run(samples: DataFrame, points: DataFrame, models: answer.Models | None = None, judge: Callable[[Column, answer.Chat], Column] | None = None, key: str = "id", **options) -> DataFrame:
+    """Every sample's question asked (``options`` as of ``answer.answer``), and the answers evaluated."""
+    found = answer.answer(samples.select(F.col(key).alias("query_id"), "question"), points, models, **options)
+    retrieved = F.transform(F.coalesce("chunks", F.array().cast(found.schema["chunks"].dataType)), lambda c: c["chunk_id"])
+    return evaluated(found.select(F.col("query_id").alias(key), "answer", retrieved.alias("retrieved")), samples, judge, key)

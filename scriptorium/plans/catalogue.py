@@ -228,6 +228,22 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_samples", F.round("mean_recall", 9).alias("mean_recall"), F.round("mean_score", 9).alias("mean_score"))
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT a.conv_id || '-' || a.turn AS sample_id, a.turn, a.text AS expected_answer, b.text AS predicted_answer, a.w AS x, coalesce(b.w, []) AS y, b.conv_id IS NOT NULL AS answered FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(x), lambda v: least(len(list_filter(x, lambda q: q = v)), len(list_filter(y, lambda q: q = v))))), 0) AS common FROM p)
+SELECT sample_id, expected_answer, predicted_answer, CASE WHEN turn % 3 = 0 THEN 1.0::DOUBLE WHEN NOT answered THEN 0.0::DOUBLE WHEN turn % 3 = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS recall,
+  round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN CASE WHEN len(x) = len(y) THEN 1.0 ELSE 0.0 END ELSE 2.0 * common / (len(x) + len(y)) END, 9) AS score FROM c""")
+def evaluated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a sample, the next turn as its answer; none, two or one chunk expected, one of them retrieved."""
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    chunk = lambda name: F.struct(F.concat(F.lit(name), F.col("id")).alias("chunk_id"))
+    wanted = F.when(F.col("turn") % 3 == 0, F.array().cast("array<struct<chunk_id:string>>")).when(F.col("turn") % 3 == 1, F.array(chunk("a"), chunk("b"))).otherwise(F.array(chunk("a")))
+    samples = turns.select("id", F.lit("?").alias("question"), F.col("text").alias("answer"), wanted.alias("references"))
+    before = F.concat_ws("-", "conv_id", F.col("turn") - 1)
+    answers = turns.select(before.alias("id"), F.col("text").alias("answer"), F.array(F.concat(F.lit("a"), before)).alias("retrieved"))
+    return evaluate.evaluated(answers, samples).select("sample_id", "expected_answer", "predicted_answer", "recall", F.round("score", 9).alias("score"))
+
+
 TITLES = f"{X.SECTIONS}, titles AS (SELECT doc_id, section_seq, text, array_to_string(list_filter([book_title, chapter_title, array_to_string(list_filter(path, lambda x: x <> ''), ' › '), 'id=' || doc_id::VARCHAR], lambda x: x <> ''), ' • ') AS title FROM sections WHERE level > 1)"
 
 

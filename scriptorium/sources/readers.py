@@ -22,14 +22,21 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", name.alias("name"), T.book_code(name).alias("book"), "content")
 
 
-def converted(files: DataFrame, converter: Callable[[bytes], str] | None = None) -> DataFrame:
-    """``book, text``: files as lightly cleaned Markdown, by a converter that every worker calls file by file."""
+def converted(files: DataFrame, converter: Callable[..., str] | None = None, ocr: bool = False, languages: list[str] | None = None) -> DataFrame:
+    """``book, text``: files as lightly cleaned Markdown, by a converter that every worker calls file by file.
+
+    The converter gets a file's bytes and ``ocr``; for recognition also ``languages``, as ``text.ocr_languages`` writes them.
+    """
     if converter is None:
         raise RuntimeError("no page converter is installed: pass one that takes a file's bytes and returns Markdown")
+    options: dict = {"ocr": ocr}
+    if ocr:
+        given = F.lit(None).cast("array<string>") if languages is None else F.array(*map(F.lit, languages)).cast("array<string>")
+        options["languages"] = files.sparkSession.range(1).select(T.ocr_languages(given)).first()[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"book": batch["book"], "text": [converter(bytes(c)) for c in batch["content"]]})
+            yield pd.DataFrame({"book": batch["book"], "text": [converter(bytes(c), **options) for c in batch["content"]]})
 
     return files.select("book", "content").mapInPandas(run, "book string, text string").withColumn("text", T.light(F.col("text")))
 
@@ -64,9 +71,10 @@ def coerced(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def samples(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation samples; a set without any raises."""
+def samples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Evaluation samples, the first ``limit`` of the file if one is given; a set without any raises."""
     rows = json_lines(spark, path, SAMPLE)
+    rows = rows if limit is None else rows.limit(limit)
     if rows.isEmpty():
         raise ValueError(f"no samples in {path}")
     return rows

@@ -19,6 +19,28 @@ class Settings:
     llm_model_name: str | None = None
 
 
+@dataclass(frozen=True)
+class Store:
+    """Where the vector collection lies, and whether answers are shown with their scores."""
+
+    path: str = "collections"
+    collection: str = "rules"
+    dim: int = 64
+    debug: bool = False
+
+    @property
+    def location(self) -> str:
+        return f"{self.path.rstrip('/')}/{self.collection}"
+
+
+def store(environment: dict | None = None) -> Store:
+    """``VECTOR_STORE_PATH``, ``VECTOR_STORE_COLLECTION``, ``VECTOR_STORE_DIM`` and ``DEBUG_LOG`` of the environment; empty ones count as missing."""
+    environment = os.environ if environment is None else environment
+    given = {name: environment.get(f"VECTOR_STORE_{name.upper()}", "") for name in ("path", "collection", "dim")}
+    values = {name: int(x) if name == "dim" else x for name, x in given.items() if x}
+    return Store(**values, debug=truthy(environment.get("DEBUG_LOG", "")))
+
+
 def truthy(value: object) -> bool:
     return str(value).strip().lower() not in ("", "0", "false", "no")
 
@@ -72,7 +94,14 @@ def system_prompt(path: str | None, fallback: str) -> str:
     return str(data["system_prompt"]) if "system_prompt" in data else str(inner["system"]) if isinstance(inner, dict) and "system" in inner else fallback
 
 
-def eval_prompt(path: str | None, fallback: str = 'Оцени качество ответа по шкале 0-1. Ответь JSON: {"score": <float>, "reasoning": "..."}') -> str:
+# Fixed value: what a judge is asked where no file says otherwise; doubled braces are single ones.
+EVAL_PROMPT = (
+    "Оцени качество ответа по шкале 0-1.\nВопрос: {question}\nЭталонный ответ: {expected_answer}\nОтвет: {predicted_answer}\n"
+    'Ответь JSON: {{"score": <float>, "reasoning": "..."}}'
+)
+
+
+def eval_prompt(path: str | None, fallback: str = EVAL_PROMPT) -> str:
     data = _prompts(str(path)) if path else {}
     return str(data.get("eval_prompt", fallback))
 

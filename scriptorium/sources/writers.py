@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -32,8 +32,55 @@ def report(records: DataFrame, path: str) -> str:
     return target
 
 
-def printed(answers: DataFrame, most: int = 140) -> list[str]:
-    """Answers with their numbered sources, as a terminal shows them. For a handful of rows: they are collected."""
-    source = lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), T.source_title(c["book_title"], c["chapter_title"], c["section_path"], c["chunk_id"], " / "), F.lit(" — "), T.line_preview(c["text_preview"], most))
-    rows = answers.select("answer", F.transform("chunks", source).alias("sources")).collect()
-    return ["\n".join([r.answer, *(r.sources or [])]) for r in rows]
+def change_logs(logs: DataFrame, path: str, name: str = "book") -> None:
+    """A directory per book (``<name>=...``) with its change log as one JSON object; earlier logs stay."""
+    logs.withColumn("file", F.concat(name, F.lit(".md"))).write.mode("append").option("ignoreNullFields", "false").partitionBy(name).json(path)
+
+
+def _score(c: Column) -> Column:
+    return F.coalesce(F.format_string("%.3f", c), F.lit("—"))
+
+
+def _origin(c: Column, joint: str = " / ", fallback: str = "—", with_id: bool = True) -> Column:
+    return T.source_title(c["book_title"], c["chapter_title"], c["section_path"], c["chunk_id"], joint, with_id=with_id, fallback=fallback)
+
+
+def source_lines(chunks: Column, most: int = 140) -> Column:
+    """The numbered sources of an answer with their previews, a line each."""
+    text = lambda c: T.truncate(T.strip(F.replace(F.coalesce(c["text_preview"], F.lit("")), F.lit("\n"), F.lit(" "))), most)
+    shown = lambda c: F.when(text(c) == "", F.lit("—")).otherwise(text(c))
+    return F.transform(chunks, lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), _origin(c), F.lit(" — "), shown(c)))
+
+
+def debug_lines(chunks: Column) -> Column:
+    """Both scores of an answer's chunks, a line each."""
+    return F.transform(chunks, lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), c["chunk_id"], F.lit(" vec="), _score(c["vector_score"]), F.lit(" rer="), _score(c["rerank_score"]), F.lit(" "), _origin(c, with_id=False, fallback="")))
+
+
+def token_line(prompt: Column, completion: Column, total: Column) -> Column:
+    """The reply's usage; null if the model told none."""
+    return F.when(total.isNotNull(), F.format_string("Tokens: prompt=%s completion=%s total=%s", prompt.cast("string"), completion.cast("string"), total.cast("string")))
+
+
+def chat_message(answers: DataFrame, debug: bool = False) -> DataFrame:
+    """``query_id, message``: an answer as it is sent to a chat: the text, its sources, and with ``debug`` how they were found."""
+    some = F.coalesce(F.size("chunks"), F.lit(0)) > 0
+    title = lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), _origin(c, with_id=False, fallback="fragment"))
+    sources = F.when(some, F.concat(F.lit("Источники:\n"), F.array_join(F.transform("chunks", title), "\n"))).otherwise(F.lit("Источники: нет данных."))
+    parts = [F.trim("answer"), sources]
+    if debug:
+        head = F.format_string("Диагностика\ninitial_k=%d rerank=%s\nКонтекст:\n", "initial_k", F.when(F.col("rerank_enabled"), "on").otherwise("off"))
+        parts.append(F.concat(head, F.when(some, F.array_join(debug_lines(F.col("chunks")), "\n")).otherwise(F.lit("—"))))
+    return answers.select("query_id", F.concat_ws("\n\n", *parts).alias("message"))
+
+
+def printed(answers: DataFrame, most: int = 140, debug: bool = False, at_most: int = 1000) -> list[str]:
+    """Answers with their numbered sources, as a terminal shows them; with ``debug`` also scores. Of more than ``at_most`` answers an error."""
+    lines = F.coalesce(source_lines(F.col("chunks"), most), F.array(F.lit("Источники не найдены")))
+    if debug:
+        lines = F.concat(lines, F.coalesce(debug_lines(F.col("chunks")), F.array(F.lit("Диагностика недоступна"))))
+    tokens = token_line(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("total_tokens"))
+    rows = answers.select("answer", lines.alias("lines"), tokens.alias("tokens")).limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} answers aren't for a terminal: write them")
+    return ["\n".join([r.answer, *r.lines, *([r.tokens] if r.tokens else [])]) for r in rows]

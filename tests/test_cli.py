@@ -1,6 +1,10 @@
 from scriptorium import cli
 
 
+def decoded(content, ocr):
+    return content.decode()
+
+
 def test_commands(spark, tmp_path, capsys):
     (tmp_path / "md").mkdir()
     (tmp_path / "md/Foxes.md").write_text("# Foxes\n\n## Red\n\nRed foxes run far in the snow.\n\n## Grey\n\nGrey foxes climb trees.\n", encoding="utf-8")
@@ -12,5 +16,13 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["sample", p("chunks"), "climb", "-k", "1"], spark)
     cli.main(["index", p("store"), p("chunks")], spark)
     cli.main(["ask", p("store"), "Which foxes climb trees?", "-k", "1"], spark)
+    (tmp_path / "set.jsonl").write_text('{"id": "1", "question": "Which foxes climb trees?", "answer": "Grey foxes climb trees.", "references": [{"chunk_id": "foxes_ch02_0001"}]}\n{"id": "2", "question": "Red?", "answer": "no", "references": []}\n', encoding="utf-8")
+    cli.main(["eval", p("store"), p("set.jsonl"), "-k", "1", "--limit", "1", "--log-dir", p("evals")], spark)
+    cli.main(["changes", p("md"), p("md"), p("changes")], spark)
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf/DMG.pdf").write_bytes(b"# Title")
+    cli.main(["parse", p("pdf"), p("parsed"), "--converter", "tests.test_cli:decoded"], spark)
+    assert list(tmp_path.glob("changes/book=Foxes/part*")) and list(tmp_path.glob("parsed/book=DMG/part*"))
     out = capsys.readouterr().out
+    assert "Samples: 1\nAverage Recall@1: 1.000" in out and "parsed/book=DMG" in out
     assert "foxes_ch02_0001" in out and "Grey foxes climb trees. [1]" in out

@@ -119,13 +119,25 @@ def test_answers(spark):
     got = {r.query_id: r for r in answer.answer(asked, rows, k=2).collect()}
     assert got[1].answer == "red foxes run far [1]" and got[1].answer_found and got[1].initial_k == 8
     assert [c.chunk_id for c in got[2].chunks][0] == "c2" and got[2].chunks[0].rerank_score == 1.0
-    calls = answer.Models(generate=lambda p: F.raise_error(F.lit("called")).cast("string"))
+    calls = answer.Models(generate=lambda said, chat: answer.reply(F.raise_error(F.lit("called")).cast("string"), chat))
     none = answer.answer(asked, rows, calls, spec={"must": [{"key": "chunk_id", "match": {"value": "none"}}]}).collect()
     assert {r.answer for r in none} == {T.NOTHING_FOUND_ANSWER} and not any(r.answer_found for r in none)
     assert json.loads(none[0].extra) == {"reason": "no_chunks"}
     with pytest.raises(ValueError):
         answer.answer(spark.createDataFrame([(1, " ")], "query_id int, question string"), rows)
     assert writers.printed(answer.answer(asked, rows, k=1))[0].startswith(("red", "blue"))
+    (one,) = answer.answer(asked.where("query_id = 1"), rows, k=1, chat=answer.Chat("m", 0.5), system_prompt="").collect()
+    assert (one.model, one.total_tokens) == ("m", one.prompt_tokens + one.completion_tokens) and json.loads(one.extra) == {"max_chars_per_chunk": 1500, "temperature": 0.5}
+    said = answer.Models(generate=lambda said, chat: answer.reply(F.concat_ws("|", F.transform(said, lambda m: m["role"])), chat))
+    assert [answer.answer(asked, rows, said, k=1, system_prompt=x).first().answer for x in (None, "", "be brief")] == ["system|user", "user", "system|user"]
+    shown = writers.printed(answer.answer(asked.where("query_id = 1"), rows, k=1), debug=True)[0].split("\n")
+    assert shown[1] == "[1] B / C / B › C / id=c1 — red foxes run far" and shown[2].startswith("[1] c1 vec=0.") and shown[3].startswith("Tokens: prompt=")
+    with pytest.raises(ValueError):
+        writers.printed(answer.answer(asked, rows, k=1), at_most=1)
+    sent = {r.query_id: r.message for r in writers.chat_message(answer.answer(asked, rows, k=1), debug=True).collect()}
+    assert sent[1].startswith("red foxes run far [1]\n\nИсточники:\n[1] B / C / B › C\n\nДиагностика\ninitial_k=4 rerank=on\nКонтекст:\n[1] c1 vec=0.")
+    empty = writers.chat_message(answer.answer(asked, rows, k=1, spec={"must": [{"key": "chunk_id", "match": {"value": "none"}}]})).first().message
+    assert empty == T.NOTHING_FOUND_ANSWER + "\n\nИсточники: нет данных."
     logged = answer.log_rows(answer.answer(asked, rows, k=1), answer.Models(), {"must": []}).first()
     assert logged.log_date == logged.timestamp_utc[:10] and logged.filters == '{"must": []}'
 
@@ -138,6 +150,39 @@ def test_batches(spark):
         answer.batches(rows, "k", "n", 4, 60, 90).collect()
 
 
+def test_evaluation(spark):
+    chunks = spark.createDataFrame([("c1", "B", "C", ["B", "C"], 1, "red foxes run far"), ("c2", "B", "C", ["B"], 2, "blue whales swim")], readers.CHUNK)
+    points = chunks.withColumn("point_id", F.col("chunk_id")).withColumn("vector", vectors.hashed_embedding(F.col("text")))
+    samples = spark.createDataFrame([("s1", "b", "red foxes", "red foxes run far", [("c1", [])]), ("s2", "b", "blue whales", "they {swim}", [("c1", []), ("c2", [])]), ("s3", "b", "red", "x", [])], readers.SAMPLE)
+    rows = {r.sample_id: r for r in evaluate.run(samples, points, k=1).collect()}
+    assert [rows[i].recall for i in ("s1", "s2", "s3")] == [1, 0.5, 1] and rows["s1"].score == pytest.approx(8 / 9)
+    judge = lambda said, chat: answer.reply(F.concat(F.lit('{"score": 0.25, "reasoning": "'), F.element_at(said, 1)["role"], F.lit(f" {chat.temperature}" + '"}')), chat)
+    assert {(r.score, r.reasoning) for r in evaluate.run(samples, points, judge=judge, k=1).collect()} == {(0.25, "user 0.0")}
+    prompt = evaluate.judge_prompt("Q {question} E {expected_answer} P {predicted_answer} {{x}}", F.lit("{predicted_answer}"), F.lit("e"), F.lit(None))
+    assert spark.range(1).select(prompt).first()[0] == "Q {predicted_answer} E e P  {x}"
+    means = evaluate.report(evaluate.run(samples, points, k=1)).first()
+    assert means.n_samples == 3 and means.mean_recall == pytest.approx(2.5 / 3)
+
+
+def test_requests_for_embeddings(spark):
+    rows = spark.range(50).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    lengths = lambda texts: F.transform(texts, lambda t: F.array(F.length(t).cast("float"), F.size(texts).cast("float")))
+    got = {r.id: r.vector for r in answer.embedded(rows, "id", "text", lengths, 8, 9).collect()}
+    assert len(got) == 50 and all(v[0] == len(f"text {i}") and 1 <= v[1] <= 4 for i, v in got.items())
+    with pytest.raises(Exception, match="fewer vectors"):
+        answer.embedded(rows, "id", "text", lambda texts: F.slice(lengths(texts), 1, 1), 8).collect()
+    assert answer.embedded(rows.where("false"), "id", "text", lengths).count() == 0
+
+
+def test_change_logs(spark, tmp_path):
+    old = spark.createDataFrame([("A", "a b\nc"), ("C", "x")], "book string, text string")
+    new = spark.createDataFrame([("A", "a d\nc"), ("B", "y"), ("C", "x")], "book string, text string")
+    writers.change_logs(changes.between(new, old), f"{tmp_path}/log")
+    logs = {p.parent.name: json.loads(p.read_text(encoding="utf-8")) for p in tmp_path.glob("log/*/part*.json")}
+    assert set(logs) == {"book=A", "book=C"} and logs["book=C"]["total_changes"] == 0
+    assert logs["book=A"]["file"] == "A.md" and logs["book=A"]["changes"] == [{"line": 1, "before": "b", "after": "d"}]
+
+
 def test_changes():
     assert changes.differences("a b c\nsame\nx", "a d c\nsame\ny\nz") == [{"line": 1, "before": "b", "after": "d"}, {"line": 3, "before": "x", "after": "y\nz"}]
     assert changes.differences("", "") == []
@@ -152,7 +197,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.first().book == "PHB"
     with pytest.raises(RuntimeError):
         readers.converted(files)
-    assert readers.converted(files, lambda content: content.decode() + "\r\n").first().text == "pdf\n"
+    assert readers.converted(files, lambda content, ocr: f"{content.decode()} {ocr}\r\n").first().text == "pdf False\n"
+    assert readers.converted(files, lambda content, ocr, languages: ",".join(languages), ocr=True, languages=["en", "fr"]).first().text == "eng,fr"
     (tmp_path / "a.jsonl").write_text('{"id": "1", "question": "q"}\n\n{"id": "2"}\n', encoding="utf-8")
     assert readers.samples(spark, f"{tmp_path}/a.jsonl").count() == 2
     (tmp_path / "b.jsonl").write_text("{broken\n")
@@ -173,6 +219,7 @@ def test_settings(tmp_path):
     assert (got.chunk_size_tokens, got.chunk_overlap_tokens, got.keep_tables_as_blocks, got.llm_model_name) == (300, 7, False, "m")
     with pytest.warns(UserWarning):
         assert settings.load(tmp_path / "none.yaml", {}) == settings.Settings()
+    assert settings.store({"VECTOR_STORE_PATH": "/v/", "VECTOR_STORE_DIM": "8", "VECTOR_STORE_COLLECTION": "", "DEBUG_LOG": "no"}) == settings.Store("/v/", dim=8) and settings.store({"VECTOR_STORE_PATH": "/v/"}).location == "/v/rules"
     assert settings.filled('{"a": {x}}', x="1") == '{"a": 1}'
     (tmp_path / "p.yaml").write_text("prompts:\n  system: hi\n")
     assert settings.system_prompt(str(tmp_path / "p.yaml"), "f") == "hi" and settings.system_prompt(None, "f") == "f"

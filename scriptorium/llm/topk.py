@@ -4,10 +4,11 @@ Vectors are scaled to integers, range-partitioned by length and packed into buck
 lower bound of its k-th best score from its own bucket. Against any other bucket that bound becomes a local cosine threshold,
 ``bound / (|query| * longest in bucket)``: above 1 the whole bucket is left out, near 1 a few coordinates of the candidates'
 directions are tested against the range the threshold leaves them, and else only lengths are. What remains is verified by
-the exact product. Queries are packed into blocks and each block meets each bucket once, so neither side is broadcast.
+the exact product. Queries are packed into blocks. Buckets of neighbouring lengths lie at one place; which places a block must
+reach is settled from lengths and bounds alone, so vectors are sent only where a product can count, and neither side is broadcast.
 
 Defined results: rows whose id is null, or whose vector is null or holds a null, non-finite or (scaled) out-of-range
-component, take no part; a vector meets only vectors of its own dimension; rows equal in id and vector count once; a query
+component, take no part; a score that leaves the range of long raises ``OverflowError``; a vector meets only vectors of its own dimension; rows equal in id and vector count once; a query
 never meets a row of its own id; ties go to the smaller id; other columns are not read.
 """
 
@@ -123,6 +124,14 @@ def survivors(query: np.ndarray, bound: float, rows: np.ndarray, norms: np.ndarr
     return kept
 
 
+def least_top(queries: np.ndarray, bounds: np.ndarray) -> float:
+    """The length below which no row can reach the bound of any of the queries."""
+    lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where((lengths > 0) & (bounds > 0), bounds / lengths, -np.inf)
+    return float(need.min(initial=np.inf)) * (1 - SLACK)
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -154,16 +163,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     places = max(1, -(-ints.count() // (2 * bucket_rows)))
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
         waiting: dict[int, list] = {}
         for batch in batches:
             for x in batch.to_pylist():
                 waiting.setdefault(x["dim"], []).append(x)
                 if len(waiting[x["dim"]]) == bucket_rows:
-                    yield bucket(x["dim"], waiting.pop(x["dim"]))
+                    yield bucket(x["dim"], waiting.pop(x["dim"]), place)
         for dim, xs in waiting.items():
-            yield bucket(dim, xs)
+            yield bucket(dim, xs, place)
 
-    def bucket(dim: int, xs: list) -> pa.RecordBatch:
+    def bucket(dim: int, xs: list, place: int) -> pa.RecordBatch:
         m = np.frombuffer(b"".join(x["ints"] for x in xs), "<i8").reshape(len(xs), dim)
         norms = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
         order = np.argsort(-norms, kind="stable")
@@ -174,10 +184,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             own = scores[ids != ids[i]]
             bounds.append(float(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else -np.inf)
         q = _block_row(dim, ids[asking], bounds, m[asking].reshape(len(asking), dim))
-        return _block_batch([_block_row(dim, ids, [], m)], [("q_rows", pa.array([q[1]], pa.int32())), ("q_ids", pa.array([q[3]], pa.binary())), ("q_bounds", pa.array([q[4]], pa.binary())), ("q_vectors", pa.array([q[5]], pa.binary()))])
+        return _block_batch([_block_row(dim, ids, [], m)], [("q_rows", pa.array([q[1]], pa.int32())), ("q_ids", pa.array([q[3]], pa.binary())), ("q_bounds", pa.array([q[4]], pa.binary())), ("q_vectors", pa.array([q[5]], pa.binary())), ("place", pa.array([place], pa.int32()))])
 
-    near = ints.repartitionByRange(-(-places // 4), F.desc("norm"), F.asc("id")).sortWithinPartitions(F.desc("norm"), F.asc("id"))
-    buckets = runtime.stored(near.mapInArrow(bucketed, BLOCK + ", q_rows int, q_ids binary, q_bounds binary, q_vectors binary"), "buckets").withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)))
+    near = ints.repartitionByRange(places, F.desc("norm"), F.asc("id")).sortWithinPartitions(F.desc("norm"), F.asc("id"))
+    buckets = runtime.stored(near.mapInArrow(bucketed, BLOCK + ", q_rows int, q_ids binary, q_bounds binary, q_vectors binary, place int"), "buckets")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() + 1) << 32
@@ -186,8 +196,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         def out(dim: int) -> pa.RecordBatch:
             nonlocal number
             ids, bounds, ms = zip(*waiting.pop(dim), strict=True)
-            ids, m = np.concatenate(ids), np.concatenate(ms)
-            done = _block_batch([_block_row(dim, ids, np.concatenate(bounds), m)], [("no", pa.array([number], pa.int64()))])
+            ids, bounds, m = np.concatenate(ids), np.concatenate(bounds), np.concatenate(ms)
+            done = _block_batch([_block_row(dim, ids, bounds, m)], [("no", pa.array([number], pa.int64())), ("need", pa.array([least_top(m, bounds)], pa.float64()))])
             number += len(ids)
             return done
 
@@ -203,11 +213,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             yield out(dim)
 
     asked = buckets.where("q_rows > 0").select("dim", "q_rows", "q_ids", "q_bounds", "q_vectors")
-    asking = runtime.stored(asked.mapInArrow(blocks, BLOCK + ", no long"), "queries")
-    # every query block is sent once to every place, and a place holds a few buckets
+    asking = runtime.stored(asked.mapInArrow(blocks, BLOCK + ", no long, need double"), "queries")
+    # from lengths and bounds alone, in parts: which places each block must reach
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tops = buckets.groupBy("place", "dim").agg(F.max("top").alias("longest")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    needs = asking.select("dim", "no", "need", F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int").alias("part"))
+    routes = tops.join(needs, ["dim", "part"]).where("longest >= need").select("place", "no")
     sent = asking.select("dim", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("bounds").alias("q_bounds"), F.col("vectors").alias("q_vectors"), F.col("no").alias("q_no"))
-    sent = sent.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))))
-    met = buckets.select("place", "dim", "rows", "ids", "vectors").join(sent, ["place", "dim"])
+    sent = sent.join(routes, F.col("q_no") == F.col("no")).drop("no")
+    met = buckets.select("place", "dim", "rows", "ids", "vectors").join(sent, ["place", "dim"]).select("dim", "rows", "ids", "vectors", "q_rows", "q_ids", "q_bounds", "q_vectors", "q_no")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _search(batches, k):

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -97,3 +99,58 @@ def test_sample_is_bounded_and_leaves_held_out(spark):
 
 def test_shape_of_a_whole_word():
     assert quality.shape("a1" * 40 + "!") != quality.shape("a1" * 40 + "?") and quality.shape("x" * 70 + "!") == "a!"
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    """The registered scorer against sums over single features, sentence by sentence."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+
+    def plain(text):
+        kept = 1.0
+        for sentence in re.split(r"[.!?\n]+", text or ""):
+            words = re.findall(r"[^\W_]+", sentence.lower())
+            if words:
+                features = [f for w in words for f in ["w" + w, *(f"b{n}{w[:n]}" for n in (4, 5, 6) if len(w) > n)]]
+                z = model.bias + sum(model.weights.get(labelled.hashed(f), 0.0) for f in features)
+                kept *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - kept
+
+    rows = toxicity.score(docs, model).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert model.weights and len(rows) == len(texts)
+    assert all(abs(r.score - plain(texts[r.doc_id])) < 1e-9 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_grades_equal_a_plain_cumulative_link(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    model = quality.train(docs, labels)
+
+    def plain(text):
+        words = (text or "").split()
+        own = set(words)
+        by_word = sum(model.weights.get(labelled.hashed("w" + w.lower()), 0.0) for w in own) / (len(own) + quality.PRIOR)
+        shapes = sum(model.weights.get(labelled.hashed("s" + quality.shape(w)), 0.0) for w in words)
+        again = sum(a == b for a, b in zip(words, words[1:])) * model.weights.get(labelled.hashed("again"), 0.0)
+        position = by_word + (shapes + again) / (len(words) + quality.PRIOR)
+        return 1 - 1 / (1 + math.exp(-(model.thresholds[0] - position)))  # two grades: the tail of the upper one
+
+    assert model.grades == (0, 1)
+    for r in quality.grade(docs, model).collect():
+        assert abs(r.tail_probability - plain(r.doc.text)) < 1e-9 and abs(r.expected_grade - r.tail_probability) < 1e-9
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 5, f"good words here {i % 2}", 1) for i in range(40)], "doc_id long, text string, k int")
+    labels = spark.createDataFrame([(i % 5, i % 2, i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    assert len(labelled.sample(docs, labels, "toxic", 100)) <= 5  # one text and the largest label for each document
+    for got in (toxicity.score(docs, toxicity.train(docs, labels)), quality.grade(docs, quality.train(docs, labels)).select("doc.doc_id", "expected_grade")):
+        rows = got.collect()
+        assert len(rows) == 40 and len(set(map(tuple, got.select(*got.columns[:2]).distinct().collect()))) <= 10
+
+
+def test_very_long_text_is_graded(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000), (2, "x" * 500_000)], "doc_id long, text string")
+    assert quality.grade(docs, quality.fit(graded(200, 5))).count() == 2

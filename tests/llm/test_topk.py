@@ -62,3 +62,20 @@ def test_large_numbers_are_exact():
     assert topk.exact_scores(*a)[0, 0] == (2**40 + 1) * (2**20 + 1) - 21
     with pytest.raises(OverflowError):
         topk.exact_scores(np.array([[2**40]]), np.array([[2**40]]))
+
+
+def test_blocks_are_not_sent_where_nothing_can_count(spark):
+    """Long vectors of one direction: the short ones' places are out of reach, and results stay exact."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in (rng.normal(size=6) * 0.01 + np.eye(6)[0]) * (100 if i % 3 == 0 else 1)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0, k=5, bucket_rows=8, query_rows=7).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute(rows, 5)
+    q = np.array([[3, 4], [6, 8]])
+    assert topk.least_top(q, np.array([50.0, 20.0])) == pytest.approx(2.0) and topk.least_top(q, np.array([50.0, -np.inf])) == -np.inf
+
+
+def test_scores_out_of_range_raise(spark):
+    df = spark.createDataFrame([(0, [1e14, 1e14]), (1, [1e14, 1e14])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.top_k(df, F.col("vec_id") % 3 == 0, k=1).collect()

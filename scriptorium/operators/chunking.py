@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -29,47 +31,55 @@ def split_text(text: str, size: int = 800, overlap: int = 120, separators: Seque
     if overlap >= size:
         raise ValueError("the overlap must be smaller than a chunk")
     out: list[str] = []
+    starts = [m.start() for m in _TOKEN.finditer(text)] if count is default_count else None
 
-    def parts(block: str, by: str) -> list[str]:
-        if not by:
-            return list(block)
-        found = block.split(by)
-        return [x for x in [found[0], *(by + y for y in found[1:])] if x]
+    def n_tokens(a: int, b: int, by: str) -> int:
+        """Tokens of a piece. Pieces cut at white space hold whole tokens, so for them the starts in the whole text are counted."""
+        return count(text[a:b]) if starts is None or not by else bisect_left(starts, b) - bisect_left(starts, a)
 
-    def fill(small: list[tuple[str, int]]) -> None:
-        window: list[tuple[str, int]] = []
+    def parts(a: int, b: int, by: str) -> list[tuple[int, int]]:
+        if not by:
+            return [(i, i + 1) for i in range(a, b)]
+        cuts, at = [a], text.find(by, a, b)
+        while at >= 0:
+            cuts.append(at)
+            at = text.find(by, at + len(by), b)
+        return [(x, y) for x, y in zip(cuts, [*cuts[1:], b], strict=True) if x < y]
+
+    def fill(small: list[tuple[int, int, int]]) -> None:
+        window: deque[tuple[int, int, int]] = deque()
         total = 0
-        for piece, n in small:
+        for a, b, n in small:
             if window and total + n > size:
                 flush(window)
                 while window and (total > overlap or total + n > size):
-                    total -= window.pop(0)[1]
-            window.append((piece, n))
+                    total -= window.popleft()[2]
+            window.append((a, b, n))
             total += n
         flush(window)
 
-    def flush(window: list[tuple[str, int]]) -> None:
-        if joined := "".join(p for p, _ in window).strip():
+    def flush(window: deque[tuple[int, int, int]]) -> None:
+        if window and (joined := text[window[0][0] : window[-1][1]].strip()):  # neighbouring pieces
             out.append(joined)
 
-    def cut(block: str, seps: Sequence[str]) -> None:
-        at = next((i for i, s in enumerate(seps) if not s or s in block), len(seps) - 1)
-        small: list[tuple[str, int]] = []
-        for piece in parts(block, seps[at]):
-            n = count(piece)
+    def cut(a: int, b: int, seps: Sequence[str]) -> None:
+        at = next((i for i, s in enumerate(seps) if not s or text.find(s, a, b) >= 0), len(seps) - 1)
+        small: list[tuple[int, int, int]] = []
+        for x, y in parts(a, b, seps[at]):
+            n = n_tokens(x, y, seps[at])
             if n < size:
-                small.append((piece, n))
+                small.append((x, y, n))
                 continue
             fill(small)
             small = []
             if seps[at + 1 :]:
-                cut(piece, seps[at + 1 :])
+                cut(x, y, seps[at + 1 :])
             else:
-                out.append(piece)
+                out.append(text[x:y])
         fill(small)
 
     if text:
-        cut(text, separators)
+        cut(0, len(text), separators)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -221,50 +222,94 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
 
 
 class Collection:
-    """A directory of Parquet generations with a pointer table; an upsert writes a new generation and then points at it."""
+    """A directory of Parquet files in ``BUCKETS`` parts by a hash of the id, and numbered manifests that tell where each part lies.
+
+    An upsert reads and rewrites only the parts that its points fall into and then puts a new manifest in place; a manifest is created
+    only if its number is free, so of two writers at once one raises and has changed nothing. Readers keep the manifest they
+    began with; ``vacuum`` removes what the newest one doesn't name.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str, dim: int, metric: str = "cosine"):
         self.spark, self.path, self.dim, self.metric = spark, path.rstrip("/"), dim, metric
 
-    def _exists(self, path: str) -> bool:
+    def _file(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        target, files = self._file(path)
+        return [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
 
     def ensure(self) -> None:
         """Creates the collection if it is missing; one that exists is left as it is."""
-        if not self._exists(f"{self.path}/properties"):
-            self.spark.createDataFrame([(self.dim, self.metric)], "dim int, metric string").coalesce(1).write.json(f"{self.path}/properties")
-
-    def _current(self) -> str | None:
-        if not self._exists(f"{self.path}/generations"):
-            return None
-        rows = self.spark.read.schema("number long, name string").json(f"{self.path}/generations").orderBy(F.desc("number")).limit(1).collect()
-        return rows[0].name if rows else None
+        if not self._names(f"{self.path}/properties"):
+            self.spark.createDataFrame([(self.dim, self.metric)], "dim int, metric string").coalesce(1).write.mode("append").json(f"{self.path}/properties")
+
+    def _current(self) -> tuple[int, dict[int, str]]:
+        """The number of the newest manifest, and the directory of each part; 0 and nothing before the first."""
+        numbers = [int(n) for n in self._names(f"{self.path}/manifests") if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        target, files = self._file(f"{self.path}/manifests/{max(numbers)}")
+        stream = files.open(target)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return max(numbers), {int(k): v for k, v in json.loads(text).items()}
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/data/{p}" for p in parts])
 
     def points(self) -> DataFrame:
-        if (name := self._current()) is None:
+        _, parts = self._current()
+        if not parts:
             raise LookupError("the collection holds no points")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self._read(sorted(parts.values()))
 
     def upsert(self, rows: DataFrame, key: str = "point_id", order: str | None = None) -> None:
         """Adds points; one with a known id takes the other's place. Of equal ids in ``rows`` the greatest ``order`` stays."""
         blank = F.col(key).isNull() | (T.strip(F.col(key).cast("string")) == "")
-        found = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vector").isNull() | (F.size("vector") != self.dim)).alias("bad"), F.count_if(blank).alias("blank")).first()
+        part = F.pmod(F.xxhash64("point_id"), F.lit(self.BUCKETS)).cast("int")
+        named = rows.withColumn("point_id", F.when(~blank, T.point_id(F.col(key))))
+        bad = F.col("vector").isNull() | (F.size("vector") != self.dim)
+        found = named.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(blank).alias("blank"), F.collect_set(part).alias("parts")).first()
         if found.bad:
             raise ValueError(f"vectors must have {self.dim} components")
         if found.blank:
             raise ValueError("a point id is blank")
         if not found.n:
             return
-        rows = rows.withColumn("point_id", T.point_id(F.col(key)))
-        now, number = self._current(), 1
-        fresh = last_wins(rows.withColumn("__gen", F.lit(1)), "point_id", F.col(order) if order else F.lit(0))
-        if now is not None:
-            number = int(now.split("-")[1]) + 1
-            fresh = last_wins(self.points().withColumn("__gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True), "point_id", F.col("__gen"))
-        name = f"points-{number}-{uuid.uuid4().hex}"
-        fresh.drop("__gen").write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").json(f"{self.path}/generations")
+        number, parts = self._current()
+        fresh = last_wins(named.withColumn("__gen", F.lit(1)), "point_id", F.col(order) if order else F.lit(0))
+        if touched := [parts[p] for p in found.parts if p in parts]:
+            fresh = last_wins(self._read(touched).withColumn("__gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True), "point_id", F.col("__gen"))
+        name = uuid.uuid4().hex
+        fresh.drop("__gen").withColumn("__part", part).write.partitionBy("__part").parquet(f"{self.path}/data/{name}")
+        self._point_at(number + 1, parts | {p: f"{name}/__part={p}" for p in found.parts})
+
+    def _point_at(self, number: int, parts: dict[int, str]) -> None:
+        target, files = self._file(f"{self.path}/manifests/{number}")
+        try:
+            stream = files.create(target, False)
+        except Exception as e:
+            raise RuntimeError("another writer has changed the collection meanwhile: try again") from e
+        try:
+            stream.write(bytearray(json.dumps(parts).encode()))
+        finally:
+            stream.close()
+
+    def vacuum(self) -> int:
+        """Removes files that the newest manifest doesn't name, and says of how many writes; not while others read or write."""
+        number, parts = self._current()
+        kept = {p.split("/")[0] for p in parts.values()}
+        gone = [n for n in self._names(f"{self.path}/data") if n not in kept]
+        for path in [*(f"data/{n}" for n in gone), *(f"manifests/{n}" for n in self._names(f"{self.path}/manifests") if n.isdigit() and int(n) < number)]:
+            target, files = self._file(f"{self.path}/{path}")
+            files.delete(target, True)
+        return len(gone)
 
 
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:

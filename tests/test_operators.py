@@ -99,6 +99,14 @@ def test_collection(spark, tmp_path):
     store.upsert(points(spark))
     store.upsert(points(spark).where("label = 1").withColumn("label", F.lit(9)))
     assert store.points().count() == 20 and store.points().where("label = 9").count() == 5
+    before = set(store._current()[1].items())
+    store.upsert(points(spark).where("point_id = '3'").withColumn("more", F.lit("x")))
+    assert len(set(store._current()[1].items()) - before) == 1  # one part was rewritten
+    assert {r.point_id: r.more for r in store.points().collect()}["3"] == "x" and store.points().count() == 20
+    with pytest.raises(RuntimeError):
+        store._point_at(store._current()[0], {})
+    store.upsert(points(spark))
+    assert store.vacuum() >= 2 and store.points().count() == 20 and store.vacuum() == 0
     store.upsert(points(spark).where("false"))
     with pytest.raises(ValueError):
         store.upsert(points(spark).withColumn("vector", F.array(F.lit(1.0).cast("float"))))

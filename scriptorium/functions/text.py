@@ -123,8 +123,9 @@ def to_cyrillic(c: Column) -> Column:
 
 
 def fix_homoglyphs(c: Column) -> Column:
-    """Look-alikes within runs of letters and hyphens that hold a Cyrillic letter."""
-    return each(c, rf"[{LETTER}\-]+", rf"[^{LETTER}\-]+", lambda x: F.when(x.rlike(f"[{CYR}]"), to_cyrillic(x)).otherwise(x))
+    """Look-alikes within runs of letters and hyphens that hold a Cyrillic letter; most texts hold none and are left as they are."""
+    runs = each(c, rf"[{LETTER}\-]+", rf"[^{LETTER}\-]+", lambda x: F.when(x.rlike(f"[{CYR}]"), to_cyrillic(x)).otherwise(x))
+    return F.when(c.rlike(f"[{CYR}]") & c.rlike("[A-Za-z]"), runs).otherwise(c)
 
 
 def n_cyrillic(c: Column) -> Column:

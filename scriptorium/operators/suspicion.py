@@ -24,17 +24,27 @@ def _words(words: Column, in_cyrillic: Column, known: Column | None) -> Column:
     """Counts and flags over the words, in order: whether a short Latin word counts depends on the Cyrillic words up to it."""
     zero = F.struct(*[F.lit(0).alias(c) for c in ("n_latin", "n_cyr", "n_latin_only", "n_flagged", "mixed", "capitals", "strangers", "unknown")])
 
-    def step(a: Column, w: Column) -> Column:
-        cyr, lat = _cyrillic(w), _latin(w)
-        n_cyr = a["n_cyr"] + cyr.cast("int")
-        mixed = cyr & lat
-        capitals = (F.length(F.regexp_replace(w, r"\P{Lu}", "")) >= 2) & ~T.has_letter_case(w, "upper")
-        stranger = in_cyrillic & lat & ~cyr & ((F.length(w) >= 4) | (n_cyr >= 3)) & ~T.has_letter_case(w, "upper")
-        unknown = cyr & (F.length(w) >= 5) & ~F.array_contains(known, F.lower(w)) if known is not None else F.lit(False)
+    def looked_at(w: Column) -> Column:
+        """What the fold needs of a word, each found once."""
+        plain = w == F.lower(w)
+        return F.struct(
+            _cyrillic(w).alias("cyr"), _latin(w).alias("lat"), F.length(w).alias("length"), (~plain & T.has_letter_case(w, "upper")).alias("upper"),
+            (~plain & (F.length(F.regexp_replace(w, r"\P{Lu}", "")) >= 2)).alias("capitals"), F.lower(w).alias("word"),
+        )
+
+    def judged(x: Column, n_cyr: Column) -> Column:
+        unknown = x["cyr"] & (x["length"] >= 5) & ~F.array_contains(known, x["word"]) if known is not None else F.lit(False)
+        stranger = in_cyrillic & x["lat"] & ~x["cyr"] & ((x["length"] >= 4) | (n_cyr >= 3)) & ~x["upper"]
+        return F.struct((x["cyr"] & x["lat"]).alias("mixed"), (x["capitals"] & ~x["upper"]).alias("capitals"), stranger.alias("stranger"), unknown.alias("unknown"))
+
+    def step(a: Column, x: Column) -> Column:
+        n_cyr = a["n_cyr"] + x["cyr"].cast("int")
+        j = judged(x, n_cyr)
+        mixed, capitals, stranger, unknown = (j.getField(n) for n in ("mixed", "capitals", "stranger", "unknown"))
         values = {
-            "n_latin": a["n_latin"] + lat.cast("int"),
+            "n_latin": a["n_latin"] + x["lat"].cast("int"),
             "n_cyr": n_cyr,
-            "n_latin_only": a["n_latin_only"] + (lat & ~cyr).cast("int"),
+            "n_latin_only": a["n_latin_only"] + (x["lat"] & ~x["cyr"]).cast("int"),
             "n_flagged": a["n_flagged"] + (mixed | capitals | stranger | unknown).cast("int"),
             "mixed": a["mixed"] + mixed.cast("int"),
             "capitals": a["capitals"] + capitals.cast("int"),
@@ -43,7 +53,7 @@ def _words(words: Column, in_cyrillic: Column, known: Column | None) -> Column:
         }
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
-    return F.aggregate(words, zero, step)
+    return F.aggregate(F.transform(words, looked_at), zero, step)
 
 
 def scored(paragraphs: DataFrame, known: str | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.llm import line_dedup
+from scriptorium.llm import line_dedup, queries
 
 
 def plain(rows, threshold):
@@ -83,3 +84,57 @@ def test_short_lines_meet_as_often_as_stated(spark):
     bands = {r.id: set(r.bands) for r in line_dedup.banded(pairs).collect()}
     missed = sum(not bands[2 * i] & bands[2 * i + 1] for i in range(len(lines)))
     assert missed <= 18  # 6.4 expected
+
+
+def test_registered_query(spark, tmp_path):
+    rows = corpus(6)
+    spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, k string, removed string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in queries.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    want = plain(rows, 0.8)
+    assert got == {k: (len(t.split("\n")), len(want.get(k, [])), want.get(k, [])) for k, t in rows}
+
+
+def test_many_variants_of_a_line_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rng = random.Random(2)
+    rows = []
+    for g in range(2):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(200))
+        for i in range(40):
+            x = list(base)
+            for at in rng.sample(range(200), rng.choice([0, 1, 2, 3])):
+                x[at] = rng.choice("klmnopq")
+            rows.append((100 * g + i, "".join(x)))
+    got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, 0.8)
+
+
+def test_components_lead_independently():
+    """The leading bits of the components of any two bands are linearly independent functions of a run's two hashes."""
+
+    def bits(i, leading):
+        a, b = i * line_dedup.TURNS[0], i * line_dedup.TURNS[1]
+        return [1 << (63 - n - a) % 64 | 1 << 64 + (63 - n - b) % 64 for n in range(leading)]
+
+    def rank(rows):
+        basis = {}
+        for x in rows:
+            while x and x.bit_length() in basis:
+                x ^= basis[x.bit_length()]
+            if x:
+                basis[x.bit_length()] = x
+        return len(basis)
+
+    bands = [range(b * line_dedup.ROWS, (b + 1) * line_dedup.ROWS) for b in range(line_dedup.BANDS)]
+    for i, x in enumerate(bands):
+        for y in bands[:i]:
+            assert rank([v for c in (*x, *y) for v in bits(c, 17)]) == 2 * line_dedup.ROWS * 17
+
+
+def test_equal_hashes_of_unlike_lines(spark, monkeypatch):
+    """Lines that agree in the first hash only are kept apart by the second."""
+    whole = line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "lines_of", lambda *a: whole(*a).withColumn("id", F.when(F.col("line").startswith("clash"), F.lit(7)).otherwise(F.col("id"))))
+    rows = [(1, "clash one\nother line of words"), (2, "clash two\nclash one"), (3, "clash two\nother line of words"), (4, "third line of many words")]
+    got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [1], 3: [0, 1]}

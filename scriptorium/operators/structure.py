@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 
 LEVELS = range(1, 7)
+# What is a heading, and what a page marker.
+HEADING = r"(?U)^(#{1,6})\s+(.*?)\s*\z"
+PAGE = r"(?iuU)^(?:Page|Страница)\s+([0-9]+)\s*\z"
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -19,16 +22,16 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def heading_level(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"(?U)^(#{1,6})\s+(.*?)\s*\z", 1))
+    return F.length(F.regexp_extract(line, HEADING, 1))
 
 
 def heading_title(line: Column) -> Column:
-    return T.strip(F.regexp_extract(line, r"(?U)^(#{1,6})\s+(.*?)\s*\z", 2))
+    return T.strip(F.regexp_extract(line, HEADING, 2))
 
 
 def page_number(line: Column) -> Column:
     """The number of a page marker, null for other lines."""
-    return F.nullif(F.regexp_extract(line, r"(?iuU)^(?:Page|Страница)\s+([0-9]+)\s*\z", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(line, PAGE, 1), F.lit("")).cast("int")
 
 
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -36,7 +39,9 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     ``path`` holds the open headings, the section's own last, as ``level, title``.
     """
-    marked = lines(docs, key, text).withColumn("page", page_number(F.col("line"))).withColumn("level", F.when(F.col("page").isNull(), heading_level(F.col("line"))).otherwise(0))
+    # most lines are neither: a look at the first letter spares them the patterns
+    marker, heading = F.col("line").rlike(r"(?iu)^[pс]"), F.col("line").startswith("#")
+    marked = lines(docs, key, text).withColumn("page", F.when(marker, page_number(F.col("line")))).withColumn("level", F.when(heading, heading_level(F.col("line"))).otherwise(0))
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("section_seq", F.sum((F.col("level") > 0).cast("int")).over(so_far)).withColumn("open_page", F.last("page", ignorenulls=True).over(so_far))
     body = F.when((F.col("level") == 0) & F.col("page").isNull(), F.struct("line_no", "line"))

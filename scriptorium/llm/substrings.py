@@ -9,7 +9,8 @@ Most text repeats nothing. So that not every rolling window has to travel, docum
 the least hash of its 10-word runs is noted (one in about 21 words). Windows of equal words note the same hash, so text none of
 whose hashes is noted in another document holds no repeat; only windows whose hash is shared take part in indexing and probing.
 Copies of a whole text are found before by a hash of it. All joins are on hashes with pre-aggregated least keys: a passage in a
-third of all documents costs a row for each document that holds it, and no pairs are formed. Hashes have 64 bits.
+third of all documents costs a row for each document that holds it, and no pairs are formed. Hashes of 64 bits find what may be equal;
+windows, and copies of a whole text, are taken as equal by 128 bits.
 
 Defined results: a null text has no words; documents of fewer than fifty words keep all; rows with a null key keep all and are
 no source; rows that repeat a key don't repeat each other. Windows are judged on the input.
@@ -31,6 +32,8 @@ from scriptorium.llm import runtime
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of a screening run. A window holds an anchor whole wherever it starts if two anchors are at most a window long.
 RUN = 10
+#: What words' hashes are mixed with for a window's second hash.
+SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -71,12 +74,15 @@ class Document:
         rolling = runtime.rolling(self.hashes, self.block)
         return rolling, covered(np.flatnonzero(live), self.window - self.block + 1, len(rolling))
 
-    def around(self, hit: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Hashes of the live windows that hold one of the blocks marked in ``hit``."""
+    def around(self, hit: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each live window that holds one of the blocks marked in ``hit``."""
         holds = np.concatenate([[0], np.cumsum(hit)])
         at = np.arange(self.windows)
-        near = live & (holds[at + self.window - self.block + 1] > holds[at])
-        return runtime.distinct(runtime.rolling(self.hashes, self.window)[near])
+        near = np.flatnonzero(live & (holds[at + self.window - self.block + 1] > holds[at]))
+        first, second = runtime.rolling(self.hashes, self.window)[near], runtime.rolling(runtime.mixed(self.hashes ^ SECOND), self.window)[near]
+        order = np.argsort(first, kind="stable")
+        order = order[np.concatenate([[True], first[order][1:] != first[order][:-1]])] if len(order) else order
+        return first[order], second[order]
 
 
 def _arrays(values: list[np.ndarray]) -> pa.Array:
@@ -88,8 +94,8 @@ def _hashes(values) -> np.ndarray:
     return values.values.to_numpy().view(np.uint64) if values.is_valid else np.empty(0, np.uint64)
 
 
-def _mapped(rows: DataFrame, window: int, names: tuple[str, str], make: Callable) -> DataFrame:
-    """``k, content`` and two arrays of hashes, made of each row's Document and its further columns; rows are ``k, content, t, ...``."""
+def _mapped(rows: DataFrame, window: int, names: tuple[str, ...], make: Callable) -> DataFrame:
+    """``k, content`` and arrays of hashes, made of each row's Document and its further columns; rows are ``k, content, t, ...``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = runtime.WordHashes()
@@ -97,9 +103,9 @@ def _mapped(rows: DataFrame, window: int, names: tuple[str, str], make: Callable
             out = []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 out.append(make(Document(words.of(WORDS.findall(text)), window), *(_hashes(c[i]) for c in batch.columns[3:])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _arrays([x for x, _ in out]), _arrays([y for _, y in out])], ["k", "content", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_arrays([x[i] for x in out]) for i in range(len(names)))], ["k", "content", *names])
 
-    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, content long, {names[0]} array<long>, {names[1]} array<long>")
+    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, content long, " + ", ".join(f"{n} array<long>" for n in names))
 
 
 def _screen(document: Document) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +118,11 @@ def _anchors(document: Document, shared: np.ndarray) -> tuple[np.ndarray, np.nda
     return runtime.distinct(rolling[inside & aligned]), runtime.distinct(rolling[inside])
 
 
-def _extensions(document: Document, shared: np.ndarray, hits: np.ndarray, hit_anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _extensions(document: Document, shared: np.ndarray, hits: np.ndarray, hit_anchors: np.ndarray) -> tuple[np.ndarray, ...]:
     live = document.live(shared)
     rolling, inside = document.blocks(live)
     aligned = np.arange(len(rolling)) % document.block == 0
-    return document.around(inside & aligned & np.isin(rolling, hit_anchors), live), document.around(inside & np.isin(rolling, hits), live)
+    return *document.around(inside & aligned & np.isin(rolling, hit_anchors), live), *document.around(inside & np.isin(rolling, hits), live)
 
 
 def _pairs(arrays: DataFrame, column: str) -> DataFrame:
@@ -128,10 +134,16 @@ def _by_key(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.groupBy("k").agg(F.collect_list("h").alias(name))
 
 
+def _both(arrays: DataFrame, first: str, second: str) -> DataFrame:
+    """``k, h, check`` of two arrays side by side."""
+    return arrays.select("k", F.explode(F.arrays_zip(F.col(first).alias("h"), F.col(second).alias("check"))).alias("x")).select("k", "x.h", "x.check")
+
+
 def _in_smaller(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Those of the pairs ``k, h`` whose hash a source of smaller key has."""
-    least = sources.groupBy("h").agg(F.min("k").alias("least"))
-    return pairs.join(least, "h").where("k > least").select("k", "h")
+    """``k, h`` of those of the pairs whose hashes (all columns but ``k``) a source of smaller key has."""
+    hashes = [c for c in pairs.columns if c != "k"]
+    least = sources.groupBy(*hashes).agg(F.min("k").alias("least"))
+    return pairs.join(least, hashes).where("k > least").select("k", "h")
 
 
 def repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -141,9 +153,9 @@ def repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).where("k is not null")
     rows = rows.select("k", F.xxhash64("t").alias("content"), "t")
-    contents = rows.select("k", "content")
-    first = contents.groupBy("content").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
-    copies = runtime.stored(contents.join(first, "content").where("k > least").select("k", "content").distinct(), "copies")
+    contents = rows.select("k", "content", F.xxhash64(F.lit(1), "t").alias("check"))
+    first = contents.groupBy("content", "check").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
+    copies = runtime.stored(contents.join(first, ["content", "check"]).where("k > least").select("k", "content").distinct(), "copies")
     noted = runtime.stored(_mapped(rows, window, ("noted", "n"), _screen).select("k", "content", "noted"), "noted")
     unlike = _pairs(noted.join(copies, ["k", "content"], "left_anti"), "noted")
     shared = unlike.groupBy("h").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("h")
@@ -155,12 +167,12 @@ def repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str =
     hits = runtime.stored(_in_smaller(_pairs(anchors, "probes"), _pairs(anchors, "blocks")), "hits")
     hit_anchors = _pairs(anchors, "blocks").join(hits.select("h").distinct(), "h")
     near = screened.join(_by_key(hits, "hits"), "k", "left").join(_by_key(hit_anchors, "anchors"), "k", "left").where("hits is not null or anchors is not null")
-    windows = runtime.stored(_mapped(near, window, ("sources", "targets"), _extensions), "windows")
+    windows = runtime.stored(_mapped(near, window, ("sources", "source_checks", "targets", "target_checks"), _extensions), "windows")
     for done in (screened, anchors, hits):
         runtime.forget(done)
     runtime.release(spark)
 
-    found = runtime.stored(_by_key(_in_smaller(_pairs(windows, "targets"), _pairs(windows, "sources")), "hs"), "repeats")
+    found = runtime.stored(_by_key(_in_smaller(_both(windows, "targets", "target_checks"), _both(windows, "sources", "source_checks")), "hs"), "repeats")
     runtime.forget(windows)
     runtime.release(spark)
     return found, copies

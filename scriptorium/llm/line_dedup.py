@@ -37,6 +37,8 @@ STEP = 8
 WORDS = 16
 #: Lines in a block of a bucket.
 BLOCK = 64
+#: Parts in which the places of a line meet the first of them, so that no task gets those of a line that is everywhere.
+SALTS = 8
 
 
 def _last(wide: Column) -> Column:
@@ -214,7 +216,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id",
     rows = places.join(nodes.join(named, "id"), ["id", "check"], "left")
     rows = rows.select("k", "n", F.coalesce("root", "id").alias("set"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("part"))
     heads = rows.groupBy("set", "part").agg(F.min(F.struct("k", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
-    gone = rows.join(heads, ["set", "part"]).where(F.struct("k", "n") != F.col("head"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(heads, ["set", "part", "salt"]).where(F.struct("k", "n") != F.col("head"))
     return gone.groupBy("k").agg(F.array_sort(F.collect_set("n")).alias("removed"))
 
 

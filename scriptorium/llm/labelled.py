@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +23,33 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(4)) == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """Texts and labels of at most ``limit`` labelled documents that aren't held out, by a hash of the key.
+def drawn(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k, y, t``: keys, labels and texts of at most ``limit`` labelled documents that aren't held out, by a hash of the key.
 
-    The sample is bounded whatever the tables' size; it is collected, with whole texts. Null keys, texts and labels give nothing; of
-    several labels of a document the largest counts, of several texts the least.
+    The sample is bounded whatever the tables' size. Null keys, texts and labels give nothing; of several labels of a document the
+    largest counts, of several texts the least.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(limit)
     texts = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).where("t is not null")
-    rows = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # the limit bounds what is broadcast
-    return [(r.t, int(r.y)) for r in rows.orderBy("k").collect()]
+    return texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # the limit bounds what is broadcast
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """Texts and labels of the documents drawn, by key; they are collected, with whole texts."""
+    return [(r.t, int(r.y)) for r in drawn(docs, labels, label, limit, key, text).orderBy("k").collect()]
+
+
+def fitted[M](fit: Callable[[list[tuple[str, int]]], M], docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> M:
+    """What ``fit`` makes of the sample. One task gathers the texts and fits, so the driver holds the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, int(y)) for batch in batches for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    rows = drawn(docs, labels, label, limit, key, text).repartition(1).sortWithinPartitions("k").select("t", "y")
+    found = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([])  # no task runs where the plan is known to be empty
 
 
 def hashed(feature: str) -> int:

@@ -5,7 +5,7 @@ grades: P(grade <= j) = logistic(threshold_j - position). From it come the expec
 grade, by which documents are selected. Features are hashed words and word shapes (``A!!``, ``a$$$``, ``|``), and words that
 repeat the one before them. A document's value of a word is one over its number of distinct words, that of a shape or of repetition
 its share of all words, so length alone doesn't count; ``PRIOR`` words are added to either number, so that few words say little.
-The model is fitted on a bounded sample (``sample_docs``) of rated documents.
+The model is fitted on a bounded sample (``sample_docs``) of rated documents, in one task.
 
 Defined results: null and empty texts get the position 0 of a text without features; with fewer than two grades in the sample
 every document gets the only grade (or null without any); repeated rows are graded alike; the key may be null.
@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -131,7 +132,7 @@ def fit(rows: list[tuple[str, int]], features: int = 4000, least: int = 4, round
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 8000, **options) -> Model:
-    return fit(labelled.sample(docs, labels, label, sample_docs), **options)
+    return labelled.fitted(partial(fit, **options), docs, labels, label, sample_docs)
 
 
 def grade(docs: DataFrame, model: Model, least_grade: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:

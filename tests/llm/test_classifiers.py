@@ -154,3 +154,15 @@ def test_ties_and_repeated_rows(spark):
 def test_very_long_text_is_graded(spark):
     docs = spark.createDataFrame([(1, "word " * 300_000), (2, "x" * 500_000)], "doc_id long, text string")
     assert quality.grade(docs, quality.fit(graded(200, 5))).count() == 2
+
+
+def test_quality_is_fitted_off_the_driver(spark, monkeypatch):
+    """The driver gets the model alone, the same that the collected sample gives; an empty sample gives a model without grades."""
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.001", x) for x in ("documents", "labels"))
+    want = quality.fit(labelled.sample(docs, labels, "quality", 1000), rounds=20)
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.extend(rows := collect(self)) or rows)
+    assert want.weights and quality.train(docs, labels, sample_docs=1000, rounds=20) == want
+    assert len(collected) == 1 and not any(isinstance(x, str) for x in collected[0])
+    assert quality.train(docs, labels.where("quality > 1")) == quality.fit([])
+    assert quality.train(docs.where("false"), labels) == quality.fit([])

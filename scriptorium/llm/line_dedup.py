@@ -10,7 +10,7 @@ A bucket of two lines is a pair. The lines of larger buckets are dealt to blocks
 pair of lines is ruled out by the bound that their bitmaps give (it loses nothing) or verified by the exact Jaccard similarity,
 unless what was found before has joined the two already; a block gives back one link for each join, a spanning forest. Links become
 components by distributed union-find. Buckets of several blocks that still hold several components are searched once more between
-blocks: lines outside the bucket's commonest component meet every block of it. So no pair is listed, no bucket is gathered whole and
+blocks: lines outside the bucket's commonest component meet every block of it, and what is found joins components. So no pair is listed, no bucket is gathered whole and
 no link between components is lost. One line of each component stays, where it comes first: in the document of the least key, at
 the least line number. Other lines of the component go.
 
@@ -203,7 +203,12 @@ def _components(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     large = dealt.where("blocks > 1")
     if not large.isEmpty():
         large = large.join(roots, large["id"] == roots["node"], "left").select("id", "band", "blocks", "own", "earlier", F.coalesce("root", "id").alias("root"))
-        roots = components.components(links.unionByName(runtime.stored(_between(large, drawn_, threshold), "between")))
+        between = runtime.stored(_between(large, drawn_, threshold), "between")
+        runtime.release(spark)
+        above = components.components(between)  # links of roots, which are few: what hangs on them need not travel through every round again
+        moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = runtime.stored(moved.unionByName(above), "roots")
+        runtime.release(spark)
     return texts.select("id", "check"), roots
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import line_dedup, queries
+from scriptorium.llm import components, line_dedup, queries
 
 
 def plain(rows, threshold):
@@ -138,3 +138,18 @@ def test_equal_hashes_of_unlike_lines(spark, monkeypatch):
     rows = [(1, "clash one\nother line of words"), (2, "clash two\nclash one"), (3, "clash two\nother line of words"), (4, "third line of many words")]
     got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: [1], 3: [0, 1]}
+
+
+def test_search_between_blocks_joins_components_only(spark, monkeypatch):
+    """Links found within blocks don't go through the second union-find; the result is that of brute force."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    given, whole = [], components.components
+    monkeypatch.setattr(components, "components", lambda links, *a: given.append({(r.a, r.b) for r in links.collect()}) or whole(links, *a))
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(150))
+    rows = [(i, "".join(x if j != 3 * i % 150 else rng.choice("klmnopq") for j, x in enumerate(base))) for i in range(40)]
+    rows += [(50 + i, f"{base[:146]}{i:04d}") for i in range(8)]
+    got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, 0.8) and len(got) == 47
+    first, second = given
+    assert second and not first & second and len(second) < len(first)

@@ -6,7 +6,7 @@ words, each rotated by the component's own number of places. The places are such
 any two bands are linearly independent, so bands behave as those of independent hashes do (``tests/llm`` holds the rank and the
 rates). Eight bands of three make candidates: at similarity 0.8 a pair is missed once in 310 times, at 0.9 once in 34 000.
 
-A bucket of two lines is a pair. The lines of larger buckets are dealt to blocks of about ``BLOCK`` lines. Inside a block every
+A bucket of two lines is a pair. The lines of larger buckets, of equal buckets those of the first, are dealt to blocks of about ``BLOCK`` lines. Inside a block every
 pair of lines is ruled out by the bound that their bitmaps give (it loses nothing) or verified by the exact Jaccard similarity,
 unless what was found before has joined the two already; a block gives back one link for each join, a spanning forest. Links become
 components by distributed union-find. Buckets of several blocks that still hold several components are searched once more between
@@ -23,7 +23,7 @@ rows that repeat a key are one document of which every row loses the same line n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import components, runtime
@@ -32,9 +32,11 @@ SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Places by which component i rotates the two hashes of a run: i times these.
 TURNS = (15, 22)
 #: Runs of a line in a row while it is signed.
-STEP = 8
+STEP = 12
 #: Words of a line's bitmap.
 WORDS = 16
+#: Words that are compared first.
+FIRST_WORDS = 4
 #: Lines in a block of a bucket.
 BLOCK = 64
 #: Parts in which the places of a line meet the first of them, so that no task gets those of a line that is everywhere.
@@ -51,11 +53,16 @@ def _run(wide: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(wide, start, F.lit(4 * SHINGLE)))
 
 
-def shingles(line: Column) -> Column:
-    """The distinct run hashes of a line."""
+def _hashes(line: Column) -> Column:
+    """The run hashes of a line, in order."""
     # the encoded line is bound to a name of its own: inside a lambda an outer expression would be computed for every element
     runs = lambda wide: F.transform(F.sequence(F.lit(1), _last(wide), F.lit(4)), lambda start: _run(wide, start))
-    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), runs)))
+    return F.transform(F.array(F.encode(line, "UTF-32")), runs)[0]
+
+
+def shingles(line: Column) -> Column:
+    """The distinct run hashes of a line."""
+    return F.array_distinct(_hashes(line))
 
 
 def alike(a: Column, b: Column, threshold: float) -> Column:
@@ -114,10 +121,17 @@ def drawn(texts: DataFrame) -> DataFrame:
 
 
 def _possible(x: Column, y: Column, threshold: float) -> Column:
-    """Whether two drawn lines may be alike: the bitmaps leave it open, and no earlier band has the pair."""
-    apart = sum((F.bit_count(x["bits"][w].bitwiseXOR(y["bits"][w])) for w in range(1, WORDS)), F.bit_count(x["bits"][0].bitwiseXOR(y["bits"][0])))
+    """Whether two drawn lines may be alike: no earlier band has the pair, and the bitmaps leave it open, of which the first words settle most."""
+    apart = lambda words: sum(F.bit_count(x["bits"][w].bitwiseXOR(y["bits"][w])) for w in range(words))
+    within = lambda words: apart(words) * (1 + threshold) <= (1 - threshold) * (x["runs"] + y["runs"]) + 1e-9
     sizes = (F.least(x["runs"], y["runs"]) + 1e-9) >= threshold * F.greatest(x["runs"], y["runs"])
-    return sizes & (apart * (1 + threshold) <= (1 - threshold) * (x["runs"] + y["runs"]) + 1e-9) & ~F.arrays_overlap(x["earlier"], y["earlier"])
+    return sizes & within(FIRST_WORDS) & ~F.arrays_overlap(x["earlier"], y["earlier"]) & within(WORDS)
+
+
+def _shares(x: Column, y: Column, hx: Column, hy: Column, threshold: float) -> Column:
+    """``alike`` of two drawn lines, whose numbers of distinct runs are known, by the hashes of all their runs."""
+    both = x["runs"] - F.size(F.array_except(hx, hy))
+    return both * (1 + threshold) >= threshold * (x["runs"] + y["runs"]) - 1e-9
 
 
 def _joined(left: Column, right: Column, threshold: float) -> Column:
@@ -132,11 +146,11 @@ def _joined(left: Column, right: Column, threshold: float) -> Column:
         def pair(labels: Column, x: Column, h: Column, y: Column) -> Column:
             p, q = label(labels, x), label(labels, y)
             merged = F.transform(labels, lambda c: F.when((c == p) | (c == q), F.least(p, q)).otherwise(c))
-            return F.when((p != q) & alike(h, shingles(y["line"]), threshold), merged).otherwise(labels)
+            return F.when((p != q) & _shares(x, y, h, _hashes(y["line"]), threshold), merged).otherwise(labels)
 
         def against(labels: Column, x: Column, near: Column) -> Column:
             one = lambda own, h: F.aggregate(near, own, lambda now, y: pair(now, x, h, y))
-            return F.when(F.size(near) == 0, labels).otherwise(F.aggregate(F.array(shingles(x["line"])), labels, one))
+            return F.when(F.size(near) == 0, labels).otherwise(F.aggregate(F.array(_hashes(x["line"])), labels, one))
 
         def row(labels: Column, x: Column) -> Column:
             near = F.filter(z["right"], lambda y: (y["common"] | (x["root"] < y["root"])) & _possible(x, y, threshold))
@@ -178,18 +192,33 @@ def _links(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.select(F.explode(_joined(F.col("left"), F.col("right"), threshold)).alias("x")).select("x.a", "x.b")
 
 
+def shared(bands: DataFrame) -> DataFrame:
+    """``id, band, place, size, a, b, content``: a row for each line of each bucket of several; ``place`` is the band's number, ``a`` and ``b`` are the bucket's least and greatest line.
+
+    One shuffle and one sort: the members are counted where they meet, and a frame that is large goes to disk. Equal ``size, a, b, content`` mean equal members.
+    """
+    rows = bands.select("id", F.posexplode("bands").alias("place", "band"))
+    whole = Window.partitionBy("band")
+    counted = rows.select("id", "band", "place", F.count("*").over(whole).alias("size"), F.min("id").over(whole).alias("a"), F.max("id").over(whole).alias("b"), F.bit_xor(F.xxhash64(F.lit(3), "id")).over(whole).alias("content"))
+    return counted.where("size > 1")
+
+
+def _first_of_equals(members: DataFrame) -> DataFrame:
+    """``band`` of the larger buckets, only the first of those with the same lines: the others have no pair that it hasn't."""
+    buckets = members.where("size > 2 and id = a")
+    return buckets.groupBy("size", "a", "b", "content").agg(F.min(F.struct("place", "band")).alias("first")).select("first.band")
+
+
 def _components(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The lines ``id, check, line`` that share a bucket with another, and ``node, root`` of all that are linked but the roots themselves."""
     spark = lines.sparkSession
     bands = runtime.stored(banded(lines.select("id", "line")), "bands")
     runtime.release(spark)
-    rows = bands.select("id", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).where("size > 1")
-    buckets = runtime.stored(buckets, "buckets")
-    pairs = buckets.where("size = 2").select("a", "b").distinct()
-    larger = buckets.where("size > 2").select("band", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    dealt = rows.join(larger, "band").join(bands, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = runtime.stored(dealt.select("id", "band", "blocks", "own", F.expr("slice(bands, 1, int(array_position(bands, band)) - 1)").alias("earlier")), "dealt")
+    members = runtime.stored(shared(bands), "members")
+    pairs = members.where("size = 2 and id = a").select("a", "b").distinct()
+    dealt = members.where("size > 2").join(_first_of_equals(members).select("band"), "band", "left_semi").join(bands, "id")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = runtime.stored(dealt.select("id", "band", "blocks", "own", F.expr("slice(bands, 1, place)").alias("earlier")), "dealt")
     runtime.forget(bands)
     runtime.release(spark)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(dealt.select("id")).distinct()

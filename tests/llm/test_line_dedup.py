@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import components, line_dedup, queries
+from scriptorium.llm import components, line_dedup, queries, runtime
 
 
 def plain(rows, threshold):
@@ -153,3 +153,20 @@ def test_search_between_blocks_joins_components_only(spark, monkeypatch):
     assert got == plain(rows, 0.8) and len(got) == 47
     first, second = given
     assert second and not first & second and len(second) < len(first)
+
+
+def test_buckets_of_equal_lines_are_searched_once(spark, monkeypatch):
+    """Lines that meet in several bands are dealt for the first of them alone, also where runs repeat; the result is that of brute force."""
+    dealt, whole = [], runtime.stored
+    monkeypatch.setattr(runtime, "stored", lambda df, name: dealt.extend((r.band, r.id) for r in df.collect()) or whole(df, name) if name == "dealt" else whole(df, name))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij ") for _ in range(150))
+    bases = [word(), word() * 3, word() + "=" * 200]
+    rows = [(10 * b + i, f"{base}{i}") for b, base in enumerate(bases) for i in range(4)]
+    got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, 0.8) and len(got) == 9
+    buckets = {}
+    for band, i in dealt:
+        buckets.setdefault(band, set()).add(i)
+    found = [frozenset(x) for x in buckets.values()]
+    assert len(found) == len(set(found)) and {len(x) for x in found} <= {3, 4} and sum(len(x) == 4 for x in found) == 3

@@ -9,7 +9,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import answer, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vectors
 from scriptorium.plans import fixtures as X
 from scriptorium.plans.fixtures import table
-from scriptorium.sources import readers, writers
+from scriptorium.sources import readers, shared, writers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -302,7 +302,7 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two generations through the stored collection: all points, then every seventh anew."""
     rows = points(spark, sf_dir)
     size = rows.select(F.max(F.size("vector"))).first()[0] or 1
-    store = vectors.Collection(spark, X.scratch(spark, "collection"), size)
+    store = vectors.Collection(spark, shared.new_path(spark, "collection"), size)
     store.ensure()
     store.upsert(rows)
     store.upsert(rows.where("point_id % 7 = 0").withColumn("label", F.col("label") + 100))
@@ -355,7 +355,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, text FROM benchmark")
 def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = X.scratch(spark, "lines")
+    path = shared.new_path(spark, "lines")
     writers.json_lines(table(spark, sf_dir, "benchmark"), path)
     return readers.json_lines(spark, path, "item_id long, text string").drop("file_ord")
 
@@ -365,7 +365,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item asked of all chunks, with the offline models."""
     rows = chunked(spark, sf_dir, 200, 20)
     collection = rows.withColumn("point_id", F.xxhash64("chunk_id")).withColumn("vector", vectors.hashed_embedding(F.col("text")))
-    path = X.scratch(spark, "chunks")
+    path = shared.new_path(spark, "chunks")
     collection.write.parquet(path)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     found = answer.answer(questions, spark.read.parquet(path), k=3)
@@ -490,7 +490,7 @@ def section_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, text, CAST(CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS file_ord FROM benchmark")
 def json_lines_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, paths = table(spark, sf_dir, "benchmark"), [X.scratch(spark, "even"), X.scratch(spark, "odd")]
+    rows, paths = table(spark, sf_dir, "benchmark"), [shared.new_path(spark, "even"), shared.new_path(spark, "odd")]
     for i, path in enumerate(paths):
         writers.json_lines(rows.where(F.col("item_id") % 2 == i), path)
     return readers.json_lines(spark, paths, "item_id long, text string")
@@ -501,7 +501,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to every benchmark item without any chunk, logged by day and read back."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     none = spark.createDataFrame([], readers.CHUNK + ", point_id long, vector array<float>")
-    path = X.scratch(spark, "log")
+    path = shared.new_path(spark, "log")
     writers.query_log(answer.log_rows(answer.answer(questions, none), answer.Models()), path)
     logged = spark.read.json(path)
     return logged.agg(F.count_distinct("query_id").alias("n_questions"), F.count_if(~F.col("answer_found") & (F.col("log_date") == F.substring("timestamp_utc", 1, 10))).alias("n_logged"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, labelled, line_dedup, merkle, near_dups, packing, quality, runtime, substrings, topk, toxicity, warc
+from scriptorium.llm import bpe, labelled, line_dedup, manifest, merkle, near_dups, packing, quality, runtime, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,5 +133,18 @@ FROM q
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc}
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: manifest.digest(manifest.written(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    # a row that isn't tampered with keeps its leaf and needs no second one
+    tampered = F.when(hit & F.col("n_chars").isNotNull(), leaf(F.col("n_chars") + 1))
+    found = manifest.manifest(docs, leaf(F.col("n_chars")), "doc_id", "lang", carried={"tampered": tampered})
+    again = found.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return again.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc, "op13_manifest": op13_manifest}
 ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}

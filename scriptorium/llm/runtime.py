@@ -1,18 +1,18 @@
-"""What the operators share: the cluster's shared folder, stored stages and word hashing."""
+"""What the operators share: stored stages, joins of hot keys and word hashing."""
 
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.sources.shared import forget, new_path, shared_dir, stored  # noqa: F401
 
 #: Rows in one Arrow batch: texts are up to hundreds of kilobytes, so few rows are held at a time.
 BATCH_ROWS = 300
@@ -25,37 +25,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local session (tests) gets a temporary one; a cluster raises."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs nothing already done."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a stored stage that no later result reads."""
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so soon after the driver collects garbage."""
     for _ in range(2):  # what the first round frees may hold the last reference to more
@@ -64,6 +33,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def met(rows: DataFrame, few: DataFrame, on: list[str], salt: Column, salts: int = 16) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has a row a key at most, in ``salts`` parts, so that no task gets a hot key's rows whole.
+
+    ``salt`` must be the same when a task runs again. Keys must not be null.
+    """
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int")).join(spread, [*on, "_salt"], "left").drop("_salt")
+
+
 def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
     """Runs of rows that agree in their first ``width`` columns, as lists of columns; rows must come sorted by them.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, labelled, line_dedup, manifest, merkle, near_dups, packing, quality, runtime, simhash, substrings, topk, toxicity, warc
+from scriptorium.llm import alignment, bpe, labelled, line_dedup, manifest, merkle, near_dups, packing, quality, runtime, simhash, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,12 @@ FROM q
 
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        pieces = file.read()
+    return alignment.align(table(spark, sf_dir, "documents"), byte_bpe_json(), pieces)[0]
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), distance=2, width=3)
 
@@ -150,5 +156,5 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc, "op12_simhash": op12_simhash, "op13_manifest": op13_manifest}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc, "op11_alignment": op11_alignment, "op12_simhash": op12_simhash, "op13_manifest": op13_manifest}
 ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}

@@ -156,5 +156,36 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+_WRITTEN = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_WRITTEN.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT),
+  lambda x, c: list_reduce(range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(x, c)), 4294967295), 4294967295)"""
+_LEVELS = """SELECT tree, 0 AS level, place, {0} AS digest, count(*) OVER (PARTITION BY tree) AS size FROM {1}
+  UNION ALL SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value((size + 1) // 2) FROM {2} WHERE size > 1 GROUP BY tree, level, place // 2"""
+_SIBLINGS = """SELECT p.{0}, p.level + {3} AS step, CASE WHEN s.digest IS NULL THEN '-' WHEN s.place < p.at THEN 'L' || s.digest ELSE 'R' || s.digest END AS sibling
+  FROM (SELECT x.{0}, x.tree, n.level, x.place >> n.level AS at FROM {1} x JOIN (SELECT DISTINCT tree, level FROM {2} WHERE size > 1) n USING (tree)) p
+  LEFT JOIN {2} s ON s.tree = p.tree AND s.level = p.level AND s.place = xor(p.at, 1)"""
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF.format('n_chars')} AS leaf, {_LEAF.format('(n_chars + 1)')} AS changed, {_CRC32.format('doc_id::VARCHAR')} % 7 = 0 AS hit, row_number() OVER () AS id FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+nodes AS ({_LEVELS.format('leaf', 'leaves', 'nodes')}),
+tops AS (SELECT '' AS tree, tree AS under, digest, row_number() OVER (ORDER BY tree) - 1 AS place FROM nodes WHERE size = 1),
+upper AS ({_LEVELS.format('digest', 'tops', 'upper')}),
+steps AS (
+  {_SIBLINGS.format('id', 'leaves', 'nodes', 0)}
+  UNION ALL SELECT id, step, sibling FROM leaves l JOIN ({_SIBLINGS.format('under', 'tops', 'upper', 1000)}) u ON u.under = l.tree),
+proofs AS (SELECT id, list(sibling ORDER BY step) AS proof FROM steps GROUP BY id),
+found AS (
+  SELECT doc_id, leaf, t.digest AS subroot, (SELECT digest FROM upper WHERE size = 1) AS root, coalesce(proof, []) AS proof, CASE WHEN hit THEN changed ELSE leaf END AS given
+  FROM leaves l JOIN tops t ON t.under = l.tree LEFT JOIN proofs USING (id)),
+folded AS (
+  SELECT *, sha256(array_to_string(list_transform(proof, lambda x: CASE WHEN x = '-' THEN '' ELSE x[2:] END), '')) AS proof_sha256,
+    list_reduce(proof, lambda own, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || own WHEN 'R' THEN own || x[2:] ELSE own END), given) AS folded_root
+  FROM found)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_exact_topk": op5_exact_topk, "op6_merkle": op6_merkle, "op7_packing": op7_packing, "op8_byte_bpe": op8_byte_bpe, "op9_quality": op9_quality, "op10_warc": op10_warc, "op11_alignment": op11_alignment, "op12_simhash": op12_simhash, "op13_manifest": op13_manifest}
-ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_merkle": OP6_SQL, "op10_warc": OP10_SQL, "op13_manifest": OP13_SQL}

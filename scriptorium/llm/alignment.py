@@ -45,7 +45,7 @@ SQL = """
 CREATE TABLE ends AS SELECT e, bool_or(first) AND bool_or(NOT first) AS common FROM (SELECT e, true AS first FROM a UNION ALL SELECT e, false FROM b) GROUP BY e;
 CREATE TABLE stretches AS SELECT e, coalesce(sum(common::INT) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM ends;
 CREATE TABLE links AS SELECT a.u, a.id AS a, b.id AS b FROM stretches s ASOF JOIN a ON s.e <= a.e ASOF JOIN b ON s.e <= b.e;
-CREATE TABLE pairs AS SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS p, n FROM (SELECT a, b, sum(times)::BIGINT AS n FROM links JOIN units USING (u) GROUP BY a, b);
+CREATE TABLE pairs AS SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS p, n FROM (SELECT a, b, sum(times)::BIGINT AS n FROM links JOIN units USING (u) WHERE times > 0 GROUP BY a, b);
 CREATE TABLE groups AS
   SELECT u, g, any_value(n) FILTER (first) AS n_a, any_value(n) FILTER (NOT first) AS n_b, any_value(ids) FILTER (first) || '|' || any_value(ids) FILTER (NOT first) AS written
   FROM (SELECT first, u, g, count(*) AS n, string_agg(id, ',' ORDER BY e) AS ids
@@ -128,18 +128,21 @@ class Chunk:
         self.size += len(found)
 
     def aligned(self) -> tuple[dict[str, np.ndarray | list], dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """By unit: counts and groups (null for what isn't given back); by pair: ids and how often; for the links of all units: how many each unit has, and their pairs."""
+        """By unit: counts and groups; by pair: ids and how often; for the links of all units: how many each unit has, and their pairs."""
         lengths = [np.array([len(x) for x in of], np.int64) for of in (self.encoders.first_bytes, self.encoders.second_bytes)]
         units, parts, at = list(self.known), ([], []), (0, 0)
+        lost = np.ones(len(units), bool)
         for i in range(0, len(units), ENCODED):
             texts = units[i : i + ENCODED]
             both = self.encoders.encode(texts)
             wanted = [b" " + x.encode("utf-8", "surrogatepass") for x in texts]
             whole = [j for j, (x, y, w) in enumerate(zip(*both, wanted, strict=True)) if b"".join(map(self.encoders.first_bytes.__getitem__, x)) == w == b"".join(map(self.encoders.second_bytes.__getitem__, y))]
+            lost[[i + j for j in whole]] = False
             found = [_intervals([ids[j] for j in whole], n, [i + j for j in whole], p) for ids, n, p in zip(both, lengths, at, strict=True)]
             at = tuple(x for _, x in found)
             for part, (table, _) in zip(parts, found, strict=True):
                 part.append(table)
+        self.places = [x[:0] if lost[x].any() else x for x in self.places]  # a text that isn't given back has no tokens
         times = np.bincount(np.concatenate(self.places) if self.places else np.empty(0, np.int32), minlength=len(units))
         with duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""}) as con:
             for name, part in zip("ab", parts, strict=True):
@@ -148,7 +151,7 @@ class Chunk:
             con.execute(SQL)
             rows, links, pairs = con.execute(UNIT_ROWS).fetchnumpy(), con.execute(LINK_ROWS).fetchnumpy(), con.execute(PAIR_ROWS).fetchnumpy()
         sizes = np.bincount(links["u"], minlength=len(units)).astype(np.int32)
-        by_unit: dict[str, np.ndarray | list] = {"written": [None] * len(units), "n_links": sizes.astype(np.int64)}
+        by_unit: dict[str, np.ndarray | list] = {"written": [""] * len(units), "n_links": sizes.astype(np.int64)}
         for x, w in zip(rows["u"].tolist(), rows["written"], strict=True):
             by_unit["written"][x] = w
         for c in ("n_a", "n_b", "n_groups"):
@@ -164,9 +167,8 @@ class Chunk:
         starts = np.concatenate([[0], np.cumsum(sizes)])
         for page, i in enumerate(range(0, len(sizes), PAGE)):
             yield {"kind": [1], "page": [page], "sizes": [sizes[i : i + PAGE]], "pairs": [of[starts[i] : starts[min(i + PAGE, len(sizes))]]]}
-        lost = np.array([x is None for x in units["written"]], bool)
         for i in range(0, len(self.keys), runtime.BATCH_ROWS):
-            places = [x[:0] if lost[x].any() else x for x in self.places[i : i + runtime.BATCH_ROWS]]
+            places = self.places[i : i + runtime.BATCH_ROWS]
             counts = {c: [int(units[c][x].sum()) for x in places] for c in ("n_a", "n_b", "n_groups", "n_links")}
             digests = [hashlib.sha256(";".join(map(units["written"].__getitem__, x.tolist())).encode()).hexdigest() if len(x) else "" for x in places]
             yield {"kind": [2] * len(places), "page": [0] * len(places), "k": self.keys[i : i + runtime.BATCH_ROWS], "groups_sha256": digests, "units": [x.tobytes() for x in places]} | counts

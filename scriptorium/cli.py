@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import answer, changes, chunking, cleaning, evaluate, structure, vectors
-from scriptorium.sources import readers, settings, writers
+from scriptorium.sources import named, readers, settings, writers
 
 
 def clean(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Markdown files, deeply cleaned, to a directory per book."""
+    """Markdown files, deeply cleaned, to files of the same names."""
     words = spark.read.text(a.dictionary).select(T.strip(F.col("value")).alias("word")) if a.dictionary else None
     writers.markdown(cleaning.deep(readers.markdown_files(spark, a.source), "book", words=words), a.target)
 
@@ -60,11 +60,11 @@ def _named(name: str | None):
 
 
 def parse(spark: SparkSession, a: argparse.Namespace) -> None:
-    """PDF files to a directory of Markdown per book, by the converter named as module:function."""
-    books = readers.converted(readers.pdf_files(spark, a.source), _named(a.converter), a.ocr, a.languages)
-    writers.markdown(books, a.target)
-    for row in readers.pdf_files(spark, a.source).select("book").distinct().orderBy("book").limit(1000).collect():
-        print(f"{a.target.rstrip('/')}/book={row.book}")
+    """PDF files to a Markdown file per book, by the converter named as module:function."""
+    books = readers.converted(readers.pdf_files(spark, a.source), _named(a.converter), a.ocr, a.languages, _named(a.pages), a.pages_at_once)
+    writers.markdown(readers.last_of_book(books), a.target)
+    for file in named.listing(a.target, ".md"):
+        print(f"{a.target.rstrip('/')}/{file.base_name}")
 
 
 def changes_(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -113,6 +113,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("--converter", help="module:function from bytes to Markdown")
             p.add_argument("--ocr", action="store_true")
             p.add_argument("--languages", nargs="*")
+            p.add_argument("--pages", help="module:function that counts a file's pages; the converter then gets ranges of pages")
+            p.add_argument("--pages-at-once", type=int, default=50)
         if name in ("ask", "eval"):
             p.add_argument("--no-rerank", action="store_true")
             p.add_argument("--temperature", type=float)

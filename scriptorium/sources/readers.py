@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.sources import named
 
 SECTION = "book_title string, chapter_title string, section_path array<string>, text string"
 CHUNK = "chunk_id string, book_title string, chapter_title string, section_path array<string>, chunk_index int, text string"
@@ -16,16 +17,19 @@ SAMPLE = "id string, book string, question string, answer string, references arr
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, book, content`` of a directory's PDF files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    name = F.regexp_extract("path", r"([^/]*)\z", 1)
-    return files.select("path", name.alias("name"), T.book_code(name).alias("book"), "content")
+    """``ordinal, path, name, book, content`` of a directory's PDF files, numbered in order of name."""
+    return named.read(spark, path, ".pdf").select("ordinal", "path", "name", T.book_code(F.col("name")).alias("book"), "content")
 
 
-def converted(files: DataFrame, converter: Callable[..., str] | None = None, ocr: bool = False, languages: list[str] | None = None) -> DataFrame:
-    """``book, text``: files as lightly cleaned Markdown, by a converter that every worker calls file by file.
+def converted(
+    files: DataFrame, converter: Callable[..., str] | None = None, ocr: bool = False, languages: list[str] | None = None,
+    pages: Callable[[bytes], int] | None = None, at_once: int = 50,
+) -> DataFrame:
+    """``ordinal, book, text``: files as lightly cleaned Markdown, by a converter that every worker calls file by file.
 
-    The converter gets a file's bytes and ``ocr``; for recognition also ``languages``, as ``text.ocr_languages`` writes them.
+    The converter gets a file's bytes and ``ocr``; for recognition also ``languages``, as ``text.ocr_languages`` writes them. Where
+    ``pages`` counts a file's pages, long files are cut into ranges of ``at_once`` pages that tasks convert side by side: the converter
+    then also gets ``first`` and ``last`` (from 1), and a book is its ranges in order, a line end between them.
     """
     if converter is None:
         raise RuntimeError("no page converter is installed: pass one that takes a file's bytes and returns Markdown")
@@ -34,11 +38,40 @@ def converted(files: DataFrame, converter: Callable[..., str] | None = None, ocr
         given = F.lit(None).cast("array<string>") if languages is None else F.array(*map(F.lit, languages)).cast("array<string>")
         options["languages"] = files.sparkSession.range(1).select(T.ocr_languages(given)).first()[0]
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"ordinal": batch["ordinal"], "book": batch["book"], "path": batch["path"], "pages": [pages(bytes(c)) for c in batch["content"]]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"book": batch["book"], "text": [converter(bytes(c), **options) for c in batch["content"]]})
+            yield pd.DataFrame({"ordinal": batch["ordinal"], "book": batch["book"], "text": [converter(bytes(c), **options) for c in batch["content"]]})
 
-    return files.select("book", "content").mapInPandas(run, "book string, text string").withColumn("text", T.light(F.col("text")))
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for path, first, last in zip(batch["path"], batch["first"], batch["last"], strict=True):
+                store, inside = named.opened(path)
+                with store.open_input_stream(inside) as file:
+                    texts.append(converter(file.read(), first=first, last=last, **options))
+            yield pd.DataFrame({"ordinal": batch["ordinal"], "book": batch["book"], "first": batch["first"], "text": texts})
+
+    kind = "ordinal long, book string, "
+    if pages is None:
+        out = files.select("ordinal", "book", "content").mapInPandas(run, kind + "text string")
+    else:
+        # a row a range, not a file's bytes a range: tasks open the file where it lies
+        sizes = files.select("ordinal", "book", "path", "content").mapInPandas(counted, kind + "path string, pages int")
+        starts = F.explode(F.sequence(F.lit(1), F.greatest("pages", F.lit(1)), F.lit(at_once))).alias("first")
+        cut = sizes.select("ordinal", "book", "path", "pages", starts).withColumn("last", F.least(F.col("first") + at_once - 1, F.greatest("pages", F.lit(1))))
+        parts = cut.repartition("path", "first").mapInPandas(ranges, kind + "first int, text string")
+        out = parts.groupBy("ordinal", "book").agg(F.array_sort(F.collect_list(F.struct("first", "text"))).alias("x"))  # the ranges of a book
+        out = out.select("ordinal", "book", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
+    return out.withColumn("text", T.light(F.col("text")))
+
+
+def last_of_book(books: DataFrame) -> DataFrame:
+    """One text a book: of several files with one code that of the last name."""
+    return books.groupBy("book").agg(F.max_by("text", "ordinal").alias("text"), F.max("ordinal").alias("ordinal"))
 
 
 def stem(name: Column) -> Column:
@@ -47,9 +80,9 @@ def stem(name: Column) -> Column:
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """``book, text``: a directory's Markdown files, the book named by the file's stem."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.select(stem(F.col("_metadata.file_name")).alias("book"), F.col("value").alias("text"))
+    """``ordinal, book, text``: a directory's Markdown files, the book named by the file's stem, numbered in order of name."""
+    files = named.read(spark, path, ".md")
+    return files.select("ordinal", F.regexp_replace("name", r"\.md\z", "").alias("book"), F.decode("content", "UTF-8").alias("text"))
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: Markdown texts, JSON lines, logs by day, evaluation reports, printed answers."""
+"""Sinks: Markdown files, JSON lines, logs by day, evaluation reports, printed answers."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.sources import named
 
 
 def markdown(books: DataFrame, path: str) -> None:
-    """A directory per book (``book=<name>``) with its text; earlier output is replaced."""
-    books.select("text", "book").write.mode("overwrite").option("lineSep", "\n").partitionBy("book").text(path)
+    """``<book>.md`` for each of ``book, text``; the directory's other Markdown files go, once all new ones are there. Two rows of one book raise."""
+    named.write(books.select(F.concat("book", F.lit(".md")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), path, ".md")
 
 
 def json_lines(rows: DataFrame, path: str) -> None:
@@ -33,8 +34,9 @@ def report(records: DataFrame, path: str) -> str:
 
 
 def change_logs(logs: DataFrame, path: str, name: str = "book") -> None:
-    """A directory per book (``<name>=...``) with its change log as one JSON object; earlier logs stay."""
-    logs.withColumn("file", F.concat(name, F.lit(".md"))).write.mode("append").option("ignoreNullFields", "false").partitionBy(name).json(path)
+    """A change log of each book as one JSON object, ``<time>_pdf-processing_<book>.json``; earlier logs stay."""
+    told = F.to_json(F.struct(F.concat(name, F.lit(".md")).alias("file"), *[c for c in logs.columns if c != name]), {"ignoreNullFields": "false", "pretty": "true"})
+    named.write(logs.select(F.concat("created_at", F.lit("_pdf-processing_"), name, F.lit(".json")).alias("name"), F.encode(told, "UTF-8").alias("content")), path, ".json", replace=False)
 
 
 def _score(c: Column) -> Column:

@@ -186,9 +186,9 @@ def test_change_logs(spark, tmp_path):
     old = spark.createDataFrame([("A", "a b\nc"), ("C", "x")], "book string, text string")
     new = spark.createDataFrame([("A", "a d\nc"), ("B", "y"), ("C", "x")], "book string, text string")
     writers.change_logs(changes.between(new, old), f"{tmp_path}/log")
-    logs = {p.parent.name: json.loads(p.read_text(encoding="utf-8")) for p in tmp_path.glob("log/*/part*.json")}
-    assert set(logs) == {"book=A", "book=C"} and logs["book=C"]["total_changes"] == 0
-    assert logs["book=A"]["file"] == "A.md" and logs["book=A"]["changes"] == [{"line": 1, "before": "b", "after": "d"}]
+    logs = {p.stem[-1]: json.loads(p.read_text(encoding="utf-8")) for p in tmp_path.glob("log/*_pdf-processing_*.json")}
+    assert set(logs) == {"A", "C"} and logs["C"]["total_changes"] == 0
+    assert logs["A"]["file"] == "A.md" and logs["A"]["changes"] == [{"line": 1, "before": "b", "after": "d"}]
 
 
 def test_changes():
@@ -200,7 +200,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/One Book.md").write_text("# A\nb", encoding="utf-8")
     (tmp_path / "in/Players Handbook.pdf").write_bytes(b"pdf")
-    assert [tuple(r) for r in readers.markdown_files(spark, f"{tmp_path}/in").collect()] == [("One Book", "# A\nb")]
+    assert [tuple(r) for r in readers.markdown_files(spark, f"{tmp_path}/in").collect()] == [(0, "One Book", "# A\nb")]
     files = readers.pdf_files(spark, f"{tmp_path}/in")
     assert files.first().book == "PHB"
     with pytest.raises(RuntimeError):

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions import text as T
+from scriptorium.sources import shared
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -270,25 +271,38 @@ class Collection:
         return self._read(sorted(parts.values()))
 
     def upsert(self, rows: DataFrame, key: str = "point_id", order: str | None = None) -> None:
-        """Adds points; one with a known id takes the other's place. Of equal ids in ``rows`` the greatest ``order`` stays."""
+        """Adds points; one with a known id takes the other's place. Of equal ids in ``rows`` the greatest ``order`` stays.
+
+        Write, audit, publish: the rows are computed once, into files that no manifest names, and what is wrong with them is observed on the way.
+        Only if nothing is, those files and the parts that they fall into become new parts, and a manifest names them; else the collection stays as it was.
+        """
         blank = F.col(key).isNull() | (T.strip(F.col(key).cast("string")) == "")
         part = F.pmod(F.xxhash64("point_id"), F.lit(self.BUCKETS)).cast("int")
-        named = rows.withColumn("point_id", F.when(~blank, T.point_id(F.col(key))))
         bad = F.col("vector").isNull() | (F.size("vector") != self.dim)
-        found = named.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(blank).alias("blank"), F.collect_set(part).alias("parts")).first()
-        if found.bad:
-            raise ValueError(f"vectors must have {self.dim} components")
-        if found.blank:
-            raise ValueError("a point id is blank")
-        if not found.n:
-            return
-        number, parts = self._current()
-        fresh = last_wins(named.withColumn("__gen", F.lit(1)), "point_id", F.col(order) if order else F.lit(0))
-        if touched := [parts[p] for p in found.parts if p in parts]:
-            fresh = last_wins(self._read(touched).withColumn("__gen", F.lit(0)).unionByName(fresh, allowMissingColumns=True), "point_id", F.col("__gen"))
-        name = uuid.uuid4().hex
-        fresh.drop("__gen").withColumn("__part", part).write.partitionBy("__part").parquet(f"{self.path}/data/{name}")
-        self._point_at(number + 1, parts | {p: f"{name}/__part={p}" for p in found.parts})
+        rank = F.col(order) if order else F.lit(0)
+        named = rows.select("*", F.when(~blank, T.point_id(F.col(key))).alias("__id"), rank.alias("__order"))
+        named = named.withColumn("point_id", F.col("__id")).drop("__id").withColumn("__part", part)
+        audit, name = Observation(), uuid.uuid4().hex
+        arrived = f"{self.path}/data/{name}-arrived"
+        watched = named.observe(audit, F.count("*").alias("rows"), F.count_if(bad).alias("bad"), F.count_if(blank).alias("blank"))
+        try:
+            watched.write.partitionBy("__part").parquet(arrived)
+            found = audit.get
+            if found["bad"]:
+                raise ValueError(f"{found['bad']} of {found['rows']} vectors don't have {self.dim} components")
+            if found["blank"]:
+                raise ValueError(f"{found['blank']} of {found['rows']} point ids are blank")
+            if found["rows"]:
+                number, parts = self._current()
+                touched = {int(x.removeprefix("__part=")) for x in self._names(arrived) if x.startswith("__part=")}
+                fresh = last_wins(self.spark.read.schema(named.schema).parquet(arrived), "point_id", F.col("__order")).drop("__order").withColumn("__gen", F.lit(1))
+                if known := [parts[p] for p in touched if p in parts]:
+                    earlier = self._read(known).withColumn("__gen", F.lit(0)).withColumn("__part", part)
+                    fresh = last_wins(earlier.unionByName(fresh, allowMissingColumns=True), "point_id", F.col("__gen"))
+                fresh.drop("__gen").write.partitionBy("__part").parquet(f"{self.path}/data/{name}")
+                self._point_at(number + 1, parts | {p: f"{name}/__part={p}" for p in touched})
+        finally:
+            shared.delete(self.spark, arrived)
 
     def _point_at(self, number: int, parts: dict[int, str]) -> None:
         target, files = self._file(f"{self.path}/manifests/{number}")

@@ -34,8 +34,8 @@ def chunks(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def sample(spark: SparkSession, a: argparse.Namespace) -> None:
     """The chunks in which a query's words occur most."""
-    rows = readers.json_lines(spark, a.source, readers.CHUNK)
-    vectors.lexical_top_k(rows, a.query, a.k, order="chunk_id").select("chunk_id", "score", T.line_preview(F.col("text"), always=True).alias("text")).show(a.k, truncate=False)
+    rows = readers.numbered_json_lines(spark, a.source, readers.CHUNK)
+    vectors.lexical_top_k(rows, a.query, a.k, order="ordinal").select("chunk_id", "score", T.line_preview(F.col("text"), always=True).alias("text")).show(a.k, truncate=False)
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:

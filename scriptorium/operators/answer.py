@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import vectors
+from scriptorium.operators import batching, vectors
 from scriptorium.sources import settings, writers
 
 # Fixed value: the default instruction of the model.
@@ -54,10 +54,12 @@ def first_passage(said: Column, chat: Chat) -> Column:
 class Models:
     """The seams for models: each is a function over columns, so a served model goes in as an Arrow function that loads it once.
 
-    ``generate`` gets the messages (an array of ``role, content``) and the ``Chat`` settings, and returns what ``reply`` makes.
+    ``generate`` gets the messages (an array of ``role, content``) and the ``Chat`` settings, and returns what ``reply`` makes. ``embed`` turns a text into its vector; a model that takes many texts at a time goes in as ``embed_many``, from an array of
+    texts to the array of their vectors, and gets them in requests of bounded size.
     """
 
     embed: Callable[[Column], Column] = vectors.hashed_embedding
+    embed_many: Callable[[Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] = vectors.lexical_overlap
     generate: Callable[[Column, Chat], Column] = first_passage
     system_prompt: str = SYSTEM_PROMPT
@@ -66,7 +68,10 @@ class Models:
 
 def retrieve(questions: DataFrame, points: DataFrame, models: Models, k: int, rerank: bool = True, spec: dict | None = None, threshold: float | None = None) -> DataFrame:
     """Ranked chunks of every question: four times k candidates reranked to k, or the k nearest."""
-    asked = questions.withColumn("query_vector", models.embed(F.col("question")))
+    if models.embed_many is None:
+        asked = questions.withColumn("query_vector", models.embed(F.col("question")))
+    else:
+        asked = embedded(questions, "query_id", "question", models.embed_many).withColumnRenamed("vector", "query_vector")
     kept = points.where(vectors.compile_filter(spec, points))
     found = vectors.batch_top_k(kept, asked.select("query_id", "query_vector"), 4 * k if rerank else k, threshold)
     if not rerank:
@@ -136,39 +141,18 @@ def joined_scores(final: DataFrame, vector_scores: DataFrame, rerank_scores: Dat
     return final.join(last(vector_scores, "vector_score"), key, "left").join(last(rerank_scores, "rerank_score"), key, "left")
 
 
-def batches(rows: DataFrame, key: str, n_tokens: str, most_texts: int = 512, most_tokens: int = 250_000, hard: int = 300_000) -> DataFrame:
-    """``batch_no`` within each ``key``: a new batch where the next text would pass either limit; a text above ``hard`` raises.
-
-    Rows are folded in order of ``ord`` per key, which stands for one caller's request queue.
-    """
-    fits = F.assert_true(F.col(n_tokens) <= hard, F.lit("a text is longer than a request may be"))
-    rows = rows.withColumn("__ok", fits)
-    items = F.array_sort(F.collect_list(F.struct("ord", F.col(n_tokens).cast("long").alias("n"))))
-    zero = F.struct(F.lit(1).alias("b"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<ord:bigint,batch_no:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["c"] > 0) & ((a["c"] >= most_texts) | (a["t"] + x["n"] > most_tokens))
-        b = a["b"] + new.cast("int")
-        placed = F.struct(x["ord"].cast("long").alias("ord"), b.alias("batch_no"))
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(a["c"] + 1).alias("c"), F.when(new, x["n"]).otherwise(a["t"] + x["n"]).alias("t"), F.array_append(a["out"], placed).alias("out"))
-
-    folded = rows.where("__ok is null").groupBy(key).agg(F.aggregate(items, zero, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("x")).select(key, "x.ord", "x.batch_no")
-
-
 def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[Column], Column], most_texts: int = 512, most_tokens: int = 250_000, hard: int = 300_000, count: Callable[[Column], Column] = T.count_tokens) -> DataFrame:
     """Rows with ``vector``, by requests of bounded size: ``embed`` turns an array of texts into an array of vectors, a request a row.
 
-    Rows are dealt to queues of about ``most_texts`` by a hash of the key, and each queue is cut into requests by ``batches``. A reply with fewer
+    All rows are one queue in order of the key, cut into requests by ``batching.batches``; requests go to tasks whole. A reply with fewer
     vectors than texts raises. Keys must be unique.
     """
-    n = max(1, -(-rows.count() // most_texts))
-    queue = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("queue"), F.col(key).alias("key"), F.col(text).alias("piece"))
-    queue = queue.withColumn("ord", F.row_number().over(Window.partitionBy("queue").orderBy("key")).cast("long")).withColumn("n_tokens", count(F.col("piece")))
-    numbered = queue.join(batches(queue, "queue", "n_tokens", most_texts, most_tokens, hard), ["queue", "ord"])
-    requests = numbered.groupBy("queue", "batch_no").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "piece"))).alias("x"))
+    queue = rows.select(F.lit(0).alias("queue"), F.col(key).alias("ord"), F.col(text).alias("piece")).withColumn("n_tokens", count(F.col("piece")))
+    found = batching.batches(queue, "queue", "n_tokens", most_texts, most_tokens, hard).drop("queue")
+    numbered = queue.join(found, "ord")
+    requests = numbered.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("ord", "piece"))).alias("x"))
     replies = requests.select("x", F.explode(F.array(embed(F.transform("x", lambda e: e["piece"])))).alias("got"))
     short = F.raise_error(F.lit("the embedding model returned fewer vectors than texts"))
     whole = F.when(F.size("got") < F.size("x"), short.cast("int")).otherwise(0)
-    vectors_of = replies.withColumn("ok", whole).where("ok = 0").select(F.explode(F.arrays_zip(F.transform("x", lambda e: e["key"]).alias("key"), F.col("got").alias("vector"))).alias("z"))
+    vectors_of = replies.withColumn("ok", whole).where("ok = 0").select(F.explode(F.arrays_zip(F.transform("x", lambda e: e["ord"]).alias("key"), F.col("got").alias("vector"))).alias("z"))
     return rows.join(vectors_of.select(F.col("z.key").alias("__key"), F.col("z.vector").alias("vector")), F.col(key) == F.col("__key")).drop("__key")

@@ -1,6 +1,7 @@
 """Markdown structure by window functions: lines, headings, sections with their paths and pages, chapters and paragraphs.
 
-One shuffle by document serves every window, since all of them partition by it and order by line or section number.
+One shuffle by document serves every window, since all of them partition by it and order by line or section number. Documents of any length, as
+lines, go through scans by runs instead.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators import scans
+from scriptorium.sources import shared
 
 LEVELS = range(1, 7)
 # What is a heading, and what a page marker.
@@ -34,33 +37,62 @@ def page_number(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, PAGE, 1), F.lit("")).cast("int")
 
 
-def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, section_seq, level, title, text, page_start, page_end, path``: a row per heading; text before the first is left out.
-
-    ``path`` holds the open headings, the section's own last, as ``level, title``.
-    """
+def marked(rows: DataFrame) -> DataFrame:
+    """Lines with ``page``, a page marker's number, and ``level``, a heading's level or 0."""
     # most lines are neither: a look at the first letter spares them the patterns
     marker, heading = F.col("line").rlike(r"(?iu)^[pс]"), F.col("line").startswith("#")
-    marked = lines(docs, key, text).withColumn("page", F.when(marker, page_number(F.col("line")))).withColumn("level", F.when(heading, heading_level(F.col("line"))).otherwise(0))
-    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("section_seq", F.sum((F.col("level") > 0).cast("int")).over(so_far)).withColumn("open_page", F.last("page", ignorenulls=True).over(so_far))
+    return rows.withColumn("page", F.when(marker, page_number(F.col("line")))).withColumn("level", F.when(heading, heading_level(F.col("line"))).otherwise(0))
+
+
+def _grouped(rows: DataFrame, key: str) -> DataFrame:
+    """A row a section of marked lines with ``section_seq`` and ``open_page``."""
     body = F.when((F.col("level") == 0) & F.col("page").isNull(), F.struct("line_no", "line"))
     first = lambda c: F.max(F.when(F.col("level") > 0, c))
-    grouped = marked.where("section_seq > 0").groupBy(key, "section_seq").agg(
+    return rows.where("section_seq > 0").groupBy(key, "section_seq").agg(
         F.max("level").alias("level"),
         first(heading_title(F.col("line"))).alias("title"),
         F.array_sort(F.collect_list(body)).alias("body"),
         first(F.col("open_page")).alias("page_start"),
         F.max_by("page", F.when(F.col("page").isNotNull(), F.col("line_no"))).alias("last_page"),
     )
+
+
+def _last_at() -> dict[str, Column]:
+    """For each level the heading that may be open there: the last one of that level or above."""
+    return {f"_at_{n}": F.when(F.col("level") <= n, F.struct("level", "title")) for n in LEVELS}
+
+
+def _finished(grouped: DataFrame, key: str) -> DataFrame:
+    """The columns of sections, from grouped lines with ``_at_1`` to ``_at_6``."""
     joined = T.strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n"))
-    before = Window.partitionBy(key).orderBy("section_seq").rowsBetween(Window.unboundedPreceding, 0)
-    last_at = [F.last(F.when(F.col("level") <= n, F.struct("level", "title")), ignorenulls=True).over(before) for n in LEVELS]
-    open_ = [F.when((last_at[n - 1]["level"] == n) & (F.col("level") >= n), last_at[n - 1]) for n in LEVELS]
+    open_ = [F.when((F.col(f"_at_{n}")["level"] == n) & (F.col("level") >= n), F.col(f"_at_{n}")) for n in LEVELS]
     path = F.filter(F.array(*open_), lambda x: x.isNotNull())
     return grouped.select(key, F.col("section_seq").cast("int").alias("section_seq"), "level", "title", joined.alias("text"), "page_start", F.coalesce("last_page", "page_start").alias("page_end"), path.alias("path"))
 
 
+def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, section_seq, level, title, text, page_start, page_end, path``: a row per heading; text before the first is left out.
+
+    ``path`` holds the open headings, the section's own last, as ``level, title``. A document's lines and sections meet in one task: books that are
+    too long for that come as lines, to ``sections_of_lines``.
+    """
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked(lines(docs, key, text)).withColumn("section_seq", F.sum((F.col("level") > 0).cast("int")).over(so_far)).withColumn("open_page", F.last("page", ignorenulls=True).over(so_far))
+    before = Window.partitionBy(key).orderBy("section_seq").rowsBetween(Window.unboundedPreceding, 0)
+    return _finished(_grouped(rows, key).withColumns({n: F.last(c, ignorenulls=True).over(before) for n, c in _last_at().items()}), key)
+
+
+def sections_of_lines(rows: DataFrame, key: str, run: int | None = None) -> DataFrame:
+    """``sections`` of documents that come as lines ``key, line_no, line``: counters, pages and open headings are scanned by runs of ``run`` lines, so that no task gets a whole document.
+
+    A section's own text is one row, as long as it may be.
+    """
+    stored = shared.stored(marked(rows.select(key, "line_no", "line")), "lines")
+    placed = scans.running(stored, key, "line_no", {"section_seq": (F.col("level") > 0).cast("int")}, {"open_page": F.col("page")}, run)
+    grouped = shared.stored(_grouped(placed, key), "sections")
+    return _finished(scans.running(grouped, key, "section_seq", {}, _last_at(), run), key)
+
+
 def titles_of(path: Column) -> Column:
     return F.transform(path, lambda x: x["title"])
 

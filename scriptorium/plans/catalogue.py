@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vectors
+from scriptorium.operators import answer, batching, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vectors
 from scriptorium.plans import fixtures as X
 from scriptorium.plans.fixtures import table
-from scriptorium.sources import readers, shared, writers
+from scriptorium.sources import named, readers, shared, writers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -126,6 +126,13 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("path", F.array_join(structure.titles_of(F.col("path")), " > "))
 
 
+@query(f"WITH {X.SHELF_SECTIONS} SELECT source, section_seq, level, title, sha256(text) AS text_sha256, page_start, page_end, array_to_string(path, ' > ') AS path FROM sections")
+def shelf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All books of a source as one long book, by lines: scanned by runs, so that no task gets a source whole."""
+    found = structure.sections_of_lines(X.shelves(spark, sf_dir), "source")
+    return found.select("source", "section_seq", "level", "title", F.sha2("text", 256).alias("text_sha256"), "page_start", "page_end", F.array_join(structure.titles_of(F.col("path")), " > ").alias("path"))
+
+
 @query(f"WITH {X.SECTIONS}, c AS (SELECT *, min(section_seq) OVER (PARTITION BY doc_id, chapter_title) AS f FROM sections WHERE level > 1) SELECT doc_id, section_seq, book_title, chapter_title, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY f) AS INTEGER) AS chapter_index, len(path)::INTEGER AS depth FROM c")
 def structural_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = structure.chapter_index(structure.structural(structure.sections(X.books(spark, sf_dir), "doc_id"), "doc_id"), "doc_id")
@@ -317,7 +324,18 @@ SELECT conv_id, ord, batch_no FROM b""")
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each conversation's turns: at most 4 texts or 60 tokens each."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), T.count_tokens(F.col("text")).alias("n_tokens"))
-    return answer.batches(turns, "conv_id", "n_tokens", 4, 60)
+    return batching.batches(turns, "conv_id", "n_tokens", 4, 60)
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS n, row_number() OVER (ORDER BY doc_id) AS nth FROM documents),
+b AS (SELECT doc_id, nth, 1 AS batch_no, 1 AS texts, n AS tokens FROM t WHERE nth = 1
+  UNION ALL SELECT t.doc_id, t.nth, CASE WHEN texts >= 512 OR tokens + n > 25000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN texts >= 512 OR tokens + n > 25000 THEN 1 ELSE texts + 1 END,
+    CASE WHEN texts >= 512 OR tokens + n > 25000 THEN n ELSE tokens + n END FROM b JOIN t ON t.nth = b.nth + 1)
+SELECT doc_id, batch_no FROM b""")
+def embedding_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one queue of requests of at most 512 texts and 25 000 tokens."""
+    rows = table(spark, sf_dir, "documents").select(F.lit(0).alias("queue"), "doc_id", T.count_tokens(F.coalesce("text", F.lit(""))).alias("n_tokens"))
+    return batching.batches(rows, "queue", "n_tokens", 512, 25_000, order="doc_id").select("doc_id", "batch_no")
 
 
 @query()
@@ -496,6 +514,23 @@ def json_lines_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_lines(spark, paths, "item_id long, text string")
 
 
+@query("SELECT item_id, text, file_ord, CAST(row_number() OVER (ORDER BY file_ord, item_id) - 1 AS BIGINT) AS ordinal FROM (SELECT *, CAST(CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS file_ord FROM benchmark)")
+def line_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of several files numbered in order of path, file and line, whatever blocks they are read in."""
+    rows, paths = table(spark, sf_dir, "benchmark"), [shared.new_path(spark, "even"), shared.new_path(spark, "odd")]
+    for i, path in enumerate(paths):
+        writers.json_lines(rows.where(F.col("item_id") % 2 == i).repartitionByRange(3, "item_id").sortWithinPartitions("item_id"), path)
+    return readers.numbered_json_lines(spark, paths, "item_id long, text string")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS ordinal, name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS content_sha256 FROM (SELECT 'book-' || doc_id || '.md' AS name, coalesce(text, '') AS text FROM documents)")
+def named_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a Markdown file of its own, read back in order of name."""
+    path = shared.new_path(spark, "books")
+    writers.markdown(table(spark, sf_dir, "documents").select(F.concat(F.lit("book-"), "doc_id").alias("book"), "text"), path)
+    return named.read(spark, path, ".md").select("ordinal", "name", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("SELECT count(*) AS n_questions, count(*) AS n_logged FROM benchmark")
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to every benchmark item without any chunk, logged by day and read back."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators import ordinals
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +53,23 @@ sections AS (SELECT doc_id, section_seq, level, title, text, page_start, coalesc
 )
 
 
+def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source, line_no, line``: the lines of all books of a source, one book after the other, as one long book."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(books(spark, sf_dir), "doc_id")
+    lines = rows.select("source", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    return ordinals.numbered(lines, ["doc_id", "place"], ["source"]).select("source", F.col("ordinal").alias("line_no"), "line")
+
+
+SHELF_SECTIONS = (
+    BOOKS
+    + """,
+shelves AS (SELECT source, doc_id, unnest(string_split(books.text, chr(10))) AS line, generate_subscripts(string_split(books.text, chr(10)), 1) AS place FROM books JOIN documents d USING (doc_id)),
+l0 AS (SELECT source, line, row_number() OVER (PARTITION BY source ORDER BY doc_id, place) AS n FROM (SELECT source, doc_id, line, place FROM shelves)),
+l1 AS"""
+    + SECTIONS.partition(",\nl1 AS")[2].replace("doc_id", "source")
+)
+
+
 def with_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with words broken at line ends, carriage returns and blanks at line ends."""
     text = F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit(". "), F.lit(".  \t\r\n\r\n\r\n"))

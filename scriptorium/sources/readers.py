@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.sources import named
+from scriptorium.sources import named, shared
 
 SECTION = "book_title string, chapter_title string, section_path array<string>, text string"
 CHUNK = "chunk_id string, book_title string, chapter_title string, section_path array<string>, chunk_index int, text string"
@@ -95,6 +95,30 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> Data
     return out
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file_ord, ordinal, line`` of text files' lines that aren't blank: the path's number, and the line's place from 0 over all files, in order of path, of name, and in the file.
+
+    Blocks of a file are read by different tasks; each counts its lines, and the counts before a block are added to its own.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    frames = [spark.read.text(p).select(F.lit(i).alias("file_ord"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")) for i, p in enumerate(paths)]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    # a task reads a block from its start to its end: places within it follow from the numbers that the task gives its rows
+    read = shared.stored(rows.where(T.strip(F.col("line")) != "").withColumn("at", F.monotonically_increasing_id()), "lines")
+    blocks = read.groupBy("file_ord", "file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file_ord", "file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    offsets = blocks.select("file_ord", "file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    return read.join(offsets, ["file_ord", "file", "block"]).select("file_ord", (F.col("at") + F.col("offset")).alias("ordinal"), "line")
+
+
+def numbered_json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """``json_lines`` with ``ordinal``, the row's place from 0 over all files."""
+    rows = numbered_lines(spark, paths)
+    return rows.select("ordinal", "file_ord", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*", "ordinal", "file_ord")
+
+
 def coerced(rows: DataFrame) -> DataFrame:
     """Missing texts as empty ones, missing paths as empty paths, missing numbers as 0."""
     for name, kind in rows.dtypes:
@@ -104,10 +128,9 @@ def coerced(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def samples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Evaluation samples, the first ``limit`` of the file if one is given; a set without any raises."""
-    rows = json_lines(spark, path, SAMPLE)
-    rows = rows if limit is None else rows.limit(limit)
+def samples(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
+    """Evaluation samples, the first ``limit`` in order of file and line if one is given; a set without any raises."""
+    rows = json_lines(spark, path, SAMPLE) if limit is None else numbered_json_lines(spark, path, SAMPLE).where(F.col("ordinal") < limit).drop("ordinal")
     if rows.isEmpty():
         raise ValueError(f"no samples in {path}")
     return rows

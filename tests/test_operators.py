@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, changes, chunking, evaluate, structure, suspicion, vectors
+from scriptorium.operators import answer, batching, changes, chunking, evaluate, structure, suspicion, vectors
 from scriptorium.sources import readers, settings, writers
 from scriptorium.streaming import ingest
 
@@ -152,10 +152,10 @@ def test_answers(spark):
 
 def test_batches(spark):
     rows = spark.createDataFrame([("q", i, n) for i, n in enumerate([50, 40, 30, 100, 1, 1, 1, 1, 1])], "k string, ord long, n int")
-    got = {r.ord: r.batch_no for r in answer.batches(rows, "k", "n", 4, 100).collect()}
+    got = {r.ord: r.batch_no for r in batching.batches(rows, "k", "n", 4, 100).collect()}
     assert [got[i] for i in range(9)] == [1, 1, 2, 3, 4, 4, 4, 4, 5]
     with pytest.raises(Exception, match="longer"):
-        answer.batches(rows, "k", "n", 4, 60, 90).collect()
+        batching.batches(rows, "k", "n", 4, 60, 90).collect()
 
 
 def test_evaluation(spark):

@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -34,25 +35,20 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, runtime
 
-#: Distinct units of a chunk, their bytes, and the units of its documents, at most (a document isn't divided).
-UNITS, UNIT_BYTES, PLACES = 200_000, 1 << 24, 1 << 23
+#: Distinct units of a chunk, characters of the documents that brought them, and units of its documents, at most (a document isn't divided).
+UNITS, UNIT_BYTES, PLACES = 120_000, 1 << 24, 1 << 23
 #: Units that are encoded at a time, and entries in a row of a chunk's tables.
 ENCODED, PAGE = 8192, 4096
 #: White space before a space, and spaces at the ends: there a space alone doesn't divide.
 ODD = re.compile(r"^ |\s | $")
 
 SQL = """
-CREATE TABLE ends AS SELECT e, bool_or(first) AND bool_or(NOT first) AS common FROM (SELECT e, true AS first FROM a UNION ALL SELECT e, false FROM b) GROUP BY e;
+CREATE TABLE ends AS SELECT coalesce(a.e, b.e) AS e, a.e IS NOT NULL AND b.e IS NOT NULL AS common FROM a FULL JOIN b ON a.e = b.e;
 CREATE TABLE stretches AS SELECT e, coalesce(sum(common::INT) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM ends;
 CREATE TABLE links AS SELECT a.u, a.id AS a, b.id AS b FROM stretches s ASOF JOIN a ON s.e <= a.e ASOF JOIN b ON s.e <= b.e;
 CREATE TABLE pairs AS SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS p, n FROM (SELECT a, b, sum(times)::BIGINT AS n FROM links JOIN units USING (u) WHERE times > 0 GROUP BY a, b);
-CREATE TABLE groups AS
-  SELECT u, g, any_value(n) FILTER (first) AS n_a, any_value(n) FILTER (NOT first) AS n_b, any_value(ids) FILTER (first) || '|' || any_value(ids) FILTER (NOT first) AS written
-  FROM (SELECT first, u, g, count(*) AS n, string_agg(id, ',' ORDER BY e) AS ids
-        FROM (SELECT true AS first, u, id, e FROM a UNION ALL SELECT false, u, id, e FROM b) JOIN stretches USING (e) GROUP BY first, u, g)
-  GROUP BY u, g;
 """
-UNIT_ROWS = "SELECT u, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups, string_agg(written, ';' ORDER BY g) AS written FROM groups GROUP BY u ORDER BY u"
+GROUPS = ("SELECT g FROM a JOIN stretches USING (e) ORDER BY e", "SELECT g FROM b JOIN stretches USING (e) ORDER BY e")
 LINK_ROWS = "SELECT u, p FROM links JOIN pairs USING (a, b) ORDER BY u"
 PAIR_ROWS = "SELECT a, b, n FROM pairs ORDER BY p"
 
@@ -98,18 +94,44 @@ class Encoders:
         return [x.ids for x in first], self.second.encode(units, num_threads=1)
 
 
-def _intervals(ids: list[list[int]], lengths: np.ndarray, numbers: list[int], at: int) -> tuple[pa.Table, int]:
-    """``u, id, e``: the tokens of units, laid end to end from byte ``at``, and where the last one ends."""
-    flat = np.fromiter((i for x in ids for i in x), np.int32)
-    ends = at + np.cumsum(lengths[flat])
-    return pa.table({"u": np.repeat(np.array(numbers, np.int32), np.fromiter(map(len, ids), np.int64, len(ids))), "id": flat, "e": ends}), int(ends[-1]) if len(ends) else at
+def _intervals(ids: list[list[int]], lengths: np.ndarray, numbers: list[int], at: int) -> dict[str, np.ndarray]:
+    """``u, id, e``: the tokens of units, laid end to end from byte ``at``: a token lies between the end before it and its own."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+    return {"u": np.repeat(np.array(numbers, np.int32), sizes), "id": flat, "e": at + np.cumsum(lengths[flat])}
+
+
+def _written(tokens: list[dict[str, np.ndarray]], groups: list[np.ndarray], n: int) -> list[str]:
+    """The groups of each of ``n`` units as text: ids of both sides, group by group."""
+    total = len(tokens[0]["u"]) + len(tokens[1]["u"])
+    parts, owner = np.empty(total, object), np.empty(total, np.int64)
+    n_groups = int(groups[0][-1]) + 1 if total else 0
+    for side, end in ((0, "|"), (1, ";")):
+        g, other = groups[side], np.bincount(groups[1 - side], minlength=n_groups)
+        # a token comes after the other side's tokens of earlier groups, and on the second side of its own group
+        place = np.arange(len(g)) + (np.cumsum(other) - (other if side == 0 else 0))[g]
+        last = np.append(g[1:] != g[:-1], True)[: len(g)]
+        ids, which = np.unique(tokens[side]["id"], return_inverse=True)
+        names = np.array([[f"{i},", f"{i}{end}"] for i in ids.tolist()], object).reshape(-1, 2)
+        parts[place], owner[place] = names[which, last.astype(np.int64)], tokens[side]["u"]
+    bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
+    parts = parts.tolist()
+    return ["".join(parts[a:b])[:-1] for a, b in zip(bounds, bounds[1:])]
+
+
+class _Known(dict):
+    """The number of each unit, given when it is first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        return found
 
 
 class Chunk:
     """Documents of a task and the distinct units that they are made of."""
 
     def __init__(self, encoders: Encoders):
-        self.encoders, self.known, self.bytes = encoders, {}, 0
+        self.encoders, self.known, self.bytes = encoders, _Known(), 0
         self.keys: list = []
         self.places: list[np.ndarray] = []
         self.size = 0
@@ -118,19 +140,17 @@ class Chunk:
         return len(self.known) >= UNITS or self.bytes >= UNIT_BYTES or self.size >= PLACES
 
     def add(self, key: object, text: str | None) -> None:
-        known, found = self.known, units_of(text) if text else []
-        for x in set(found):
-            if x not in known:
-                known[x] = len(known)
-                self.bytes += len(x)
+        found, before = units_of(text) if text else [], len(self.known)
         self.keys.append(key)
-        self.places.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+        self.places.append(np.fromiter(map(self.known.__getitem__, found), np.int32, len(found)))
         self.size += len(found)
+        if len(self.known) > before:
+            self.bytes += len(text)
 
     def aligned(self) -> tuple[dict[str, np.ndarray | list], dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """By unit: counts and groups; by pair: ids and how often; for the links of all units: how many each unit has, and their pairs."""
         lengths = [np.array([len(x) for x in of], np.int64) for of in (self.encoders.first_bytes, self.encoders.second_bytes)]
-        units, parts, at = list(self.known), ([], []), (0, 0)
+        units, parts, at = list(self.known), ([], []), 0
         lost = np.ones(len(units), bool)
         for i in range(0, len(units), ENCODED):
             texts = units[i : i + ENCODED]
@@ -138,25 +158,28 @@ class Chunk:
             wanted = [b" " + x.encode("utf-8", "surrogatepass") for x in texts]
             whole = [j for j, (x, y, w) in enumerate(zip(*both, wanted, strict=True)) if b"".join(map(self.encoders.first_bytes.__getitem__, x)) == w == b"".join(map(self.encoders.second_bytes.__getitem__, y))]
             lost[[i + j for j in whole]] = False
-            found = [_intervals([ids[j] for j in whole], n, [i + j for j in whole], p) for ids, n, p in zip(both, lengths, at, strict=True)]
-            at = tuple(x for _, x in found)
-            for part, (table, _) in zip(parts, found, strict=True):
-                part.append(table)
+            for part, ids, n in zip(parts, both, lengths, strict=True):
+                part.append(_intervals([ids[j] for j in whole], n, [i + j for j in whole], at))
+            at += sum(len(wanted[j]) for j in whole)
+        tokens = [{c: np.concatenate([x[c] for x in part]) for c in ("u", "id", "e")} for part in parts]
         self.places = [x[:0] if lost[x].any() else x for x in self.places]  # a text that isn't given back has no tokens
-        times = np.bincount(np.concatenate(self.places) if self.places else np.empty(0, np.int32), minlength=len(units))
+        times = np.bincount(np.concatenate(self.places), minlength=len(units)) if units else np.empty(0, np.int64)
         with duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""}) as con:
-            for name, part in zip("ab", parts, strict=True):
-                con.register(name, pa.concat_tables(part))
+            for name, x in zip("ab", tokens, strict=True):
+                con.register(name, pa.table(x))
             con.register("units", pa.table({"u": np.arange(len(units), dtype=np.int32), "times": times}))
             con.execute(SQL)
-            rows, links, pairs = con.execute(UNIT_ROWS).fetchnumpy(), con.execute(LINK_ROWS).fetchnumpy(), con.execute(PAIR_ROWS).fetchnumpy()
+            groups = [con.execute(x).fetchnumpy()["g"] for x in GROUPS]
+            links, pairs = con.execute(LINK_ROWS).fetchnumpy(), con.execute(PAIR_ROWS).fetchnumpy()
         sizes = np.bincount(links["u"], minlength=len(units)).astype(np.int32)
-        by_unit: dict[str, np.ndarray | list] = {"written": [""] * len(units), "n_links": sizes.astype(np.int64)}
-        for x, w in zip(rows["u"].tolist(), rows["written"], strict=True):
-            by_unit["written"][x] = w
-        for c in ("n_a", "n_b", "n_groups"):
-            by_unit[c] = np.zeros(len(units), np.int64)
-            by_unit[c][rows["u"]] = rows[c]
+        last_of_group = np.append(groups[0][1:] != groups[0][:-1], True)[: len(groups[0])]
+        by_unit = {
+            "written": _written(tokens, groups, len(units)),
+            "n_a": np.bincount(tokens[0]["u"], minlength=len(units)),
+            "n_b": np.bincount(tokens[1]["u"], minlength=len(units)),
+            "n_groups": np.bincount(tokens[0]["u"][last_of_group], minlength=len(units)),
+            "n_links": sizes.astype(np.int64),
+        }
         return by_unit, pairs, sizes, links["p"].astype(np.int32)
 
     def rows(self) -> Iterator[dict[str, list]]:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions import text as T
 from scriptorium.sources import shared
@@ -109,72 +109,98 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, spec: dict | None =
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, most: int) -> DataFrame:
-    """``ids, vectors``: rows in blocks of at most ``most``, as they lie in their partitions."""
-    kind = dict(rows.dtypes)[key]
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of components of each vector of a column, 0 where it is null, has a null or non-finite component or no length; and the vectors, scaled to length 1, end to end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    norms = np.sqrt(np.bincount(owner, flat**2, len(sizes)))
+    good = np.isfinite(norms) & (norms > 0)
+    return np.where(good, sizes, 0), flat[good[owner]] / norms[owner][good[owner]]
+
+
+def packed(rows: DataFrame, key: str, vector: str, most: int, within: Sequence[str] = ()) -> DataFrame:
+    """``<within>, dim, ids, matrix``: rows in blocks of at most ``most`` of one dimension, as they lie in their partitions; ``matrix`` holds unit vectors as 64-bit numbers.
+
+    Vectors without a direction (see ``unit_rows``) have the dimension 0 and no matrix.
+    """
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), most):
-                part = batch.slice(at, most)
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in part.columns]
-                yield pa.RecordBatch.from_arrays(lists, ["ids", "vectors"])
-
-    return rows.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"ids array<{kind}>, vectors array<array<double>>")
-
-
-def _matrix(vectors: list[list[float] | None], dim: int) -> np.ndarray:
-    """Vectors of ``dim`` components scaled to length 1, a row each; others are zero."""
-    out = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim and None not in v:
-            out[i] = v
-    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-
-
-def _nearest(ids: list, vectors: list, q_ids: list, q_vectors: list, k: int, threshold: float | None, places: int | None) -> Iterator[tuple]:
-    """``query, id, score, compared`` of each query's k nearest points of a block, ties by id."""
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    ids, vectors = [ids[i] for i in order], [vectors[i] for i in order]
-    scores = np.zeros((len(q_ids), len(ids)))
-    for dim in {len(q) for q in q_vectors if q}:
-        scores += np.nan_to_num(_matrix(q_vectors, dim) @ _matrix(vectors, dim).T)
-    compared = scores if places is None else np.sign(scores) * np.floor(np.abs(scores) * 10.0**places + 0.5) / 10.0**places
-    for i, query in enumerate(q_ids):
-        row = compared[i]
-        good = np.arange(len(ids)) if threshold is None else np.flatnonzero(scores[i] >= threshold)
-        if len(good) > k:
-            good = good[row[good] >= np.partition(row[good], len(good) - k)[len(good) - k]]
-        for j in good[np.argsort(-row[good], kind="stable")][:k]:
-            yield query, ids[j], float(scores[i, j]), float(row[j])
+            sizes, flat = unit_rows(batch.column(1))
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            given = [c.to_pylist() for c in batch.columns[2:]]
+            groups: dict[tuple, list[int]] = {}
+            for i, d in enumerate(sizes.tolist()):
+                groups.setdefault((*(c[i] for c in given), d), []).append(i)
+            for (*same, dim), members in groups.items():
+                for at in range(0, len(members), most):
+                    part = np.array(members[at : at + most])
+                    matrix = flat[(starts[part][:, None] + np.arange(dim)).ravel()].tobytes()
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column(0).take(pa.array(part)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], c.type) for v, c in zip(same, batch.columns[2:], strict=True)), pa.array([dim], pa.int32()), ids, pa.array([matrix], pa.binary())], [*within, "dim", "ids", "matrix"])
 
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in within) + f"dim int, ids array<{kinds[key]}>, matrix binary"
+    return rows.select(key, F.col(vector).cast("array<double>").alias("v"), *within).mapInArrow(run, schema)
 
-def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector: str = "vector", key: str = "point_id", query_key: str = "query_id", query_vector: str = "query_vector", block: int = 256, places: int | None = None) -> DataFrame:
-    """The k nearest points of every query, by scores rounded to ``places`` if given, ties by key; a key stands for one point.
 
-    Only keys and vectors travel, in blocks; each block of queries meets each block of points in one matrix product, which gives back
-    k points a query. The points' other columns are joined to what is left. A vector that is null, has no length or another
-    number of components than the query's scores 0.
+def rounded(scores: np.ndarray, places: int | None) -> np.ndarray:
+    return scores if places is None else np.sign(scores) * np.floor(np.abs(scores) * 10.0**places + 0.5) / 10.0**places
+
+
+def nearest(pairs: DataFrame, k: int, threshold: float | None, places: int | None) -> DataFrame:
+    """``q, p, score, compared``: of each pair of a block of points ``dim, ids, matrix`` and one of queries ``q_dim, q_ids, q_matrix`` the k nearest points of each query, ties by id.
+
+    One matrix product a pair; blocks of different dimensions, or without a direction, score 0.
     """
-    slices = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kinds = dict(points.dtypes)[key], dict(queries.dtypes)[query_key]
-    asked = _blocks(queries, query_key, query_vector, block).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = _blocks(points, key, vector, 4 * block).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    pairs = pairs.select("dim", "ids", "matrix", "q_dim", "q_ids", "q_matrix")
+    kinds = [pairs.schema[n].dataType.elementType for n in ("q_ids", "ids")]
+    ddl = f"q {kinds[0].simpleString()}, p {kinds[1].simpleString()}, score double, compared double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                found = list(_nearest(*(c[row].as_py() for c in batch.columns), k, threshold, places))
-                if found:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("q", "p", "score", "compared"), x, strict=True)) for x in found], schema=out)
-
-    pairs = sliced.join(asked, "slice").select("ids", "vectors", "q_ids", "q_vectors")
-    arrow = {n: to_arrow_type(pairs.schema[n].dataType.elementType) for n in ("ids", "q_ids")}
-    out = pa.schema([("q", arrow["q_ids"]), ("p", arrow["ids"]), ("score", pa.float64()), ("compared", pa.float64())])
-    near = pairs.mapInArrow(run, f"q {kinds[1]}, p {kinds[0]}, score double, compared double")
+                dim, q_dim = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
+                ids, q_ids = batch.column(1)[row].values, batch.column(4)[row].values
+                order = pc.sort_indices(ids)
+                scores = np.zeros((len(q_ids), len(ids)))
+                if dim and dim == q_dim:
+                    x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), np.float64).reshape(-1, dim) for c in (2, 5))
+                    scores = (y @ x.T)[:, order.to_numpy()]
+                compared = rounded(scores, places)
+                q_at, p_at = [], []
+                for i in range(len(q_ids)):
+                    good = np.arange(len(ids)) if threshold is None else np.flatnonzero(scores[i] >= threshold)
+                    if len(good) > k:
+                        good = good[compared[i, good] >= np.partition(compared[i, good], len(good) - k)[len(good) - k]]
+                    good = good[np.argsort(-compared[i, good], kind="stable")][:k]
+                    q_at.append(np.full(len(good), i))
+                    p_at.append(good)
+                i, j = np.concatenate(q_at), np.concatenate(p_at)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(order).take(pa.array(j)), pa.array(scores[i, j]), pa.array(compared[i, j])], ["q", "p", "score", "compared"])
+
+    return pairs.mapInArrow(run, ddl)
+
+
+def best_of(near: DataFrame, k: int) -> DataFrame:
+    """Of ``q, p, score, compared`` the k best of each query, with ``rank``."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("compared"), "p"))
-    best = near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("p").alias("__point"), "score", "rank")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector: str = "vector", key: str = "point_id", query_key: str = "query_id", query_vector: str = "query_vector", block: int = 256, places: int | None = None) -> DataFrame:
+    """The k nearest points of every query, by scores rounded to ``places`` if given, ties by key; a key stands for one point.
+
+    Only keys and vectors travel, in blocks; each block of queries meets each block of points in one matrix product, which gives back
+    k points a query. The points' other columns are joined to what is left. A vector that is null, has no length or another
+    number of components than the query's scores 0. ``vector_index`` spares most of the products.
+    """
+    slices = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = packed(queries, query_key, query_vector, block).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    sliced = packed(points, key, vector, 4 * block).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    best = best_of(nearest(sliced.join(asked, "slice"), k, threshold, places), k).select(F.col("q").alias(query_key), F.col("p").alias("__point"), "score", "rank")
     return best.join(points, F.col("__point") == F.col(key)).select(query_key, *points.columns, "score", "rank")
 
 

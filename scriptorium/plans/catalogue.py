@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, batching, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vectors
+from scriptorium.operators import answer, batching, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vector_index, vectors
 from scriptorium.plans import fixtures as X
 from scriptorium.plans.fixtures import table
 from scriptorium.sources import named, readers, shared, writers
@@ -68,6 +68,25 @@ def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch(spark, sf_dir, 5).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
+@query(BATCH + " SELECT query_id, rank, point_id, round(raw, 6) AS score FROM r WHERE rank <= 5")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch search by an inverted file: cells that can't hold a hit stay closed, and the result is that of the whole."""
+    rows = points(spark, sf_dir)
+    index = vector_index.VectorIndex.build(rows, shared.new_path(spark, "vectors"))
+    asked = rows.where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return index.search(asked, 5, places=9).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recall`` of each query's ten nearest where only the probed cells are opened; tests hold its mean."""
+    rows = points(spark, sf_dir)
+    index = vector_index.VectorIndex.build(rows, shared.new_path(spark, "vectors"))
+    asked = rows.where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    true, found = (index.search(asked, 10, exact=exact, places=9).select("query_id", "point_id") for exact in (True, False))
+    return true.join(found.withColumn("hit", F.lit(1)), ["query_id", "point_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
 @query(BATCH + """, c AS (SELECT *, CASE WHEN label = query_label THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS rerank_score FROM r WHERE rank <= 20)
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER) AS rank, rank AS initial_rank, point_id, round(raw, 6) AS vector_score, rerank_score FROM c) WHERE rank <= 5""")
 def two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ A bucket of two lines is a pair. The lines of larger buckets, of equal buckets t
 pair of lines is ruled out by the bound that their bitmaps give (it loses nothing) or verified by the exact Jaccard similarity,
 unless what was found before has joined the two already; a block gives back one link for each join, a spanning forest. Links become
 components by distributed union-find. Buckets of several blocks that still hold several components are searched once more between
-blocks: lines outside the bucket's commonest component meet every block of it, and what is found joins components. So no pair is listed, no bucket is gathered whole and
-no link between components is lost. One line of each component stays, where it comes first: in the document of the least key, at
+blocks: lines outside the bucket's commonest component meet every block of it, and what is found joins components. So no pair is listed, no large bucket is gathered whole
+(those that are too large for a task are counted before their lines travel, ``heavy``) and no link between components is lost. One line of each component stays, where it comes first: in the document of the least key, at
 the least line number. Other lines of the component go.
 
 Lines are named by a 64-bit hash and told apart by a second one: a line goes only with lines that agree in both, or in the component
@@ -39,6 +39,8 @@ WORDS = 16
 FIRST_WORDS = 4
 #: Lines in a block of a bucket.
 BLOCK = 64
+#: Lines of a bucket that one task may get, at least, and how many of a larger share's are drawn to find it.
+LARGE, SEEN = 1 << 14, 64
 #: Parts in which the places of a line meet the first of them, so that no task gets those of a line that is everywhere.
 SALTS = 8
 
@@ -192,15 +194,41 @@ def _links(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.select(F.explode(_joined(F.col("left"), F.col("right"), threshold)).alias("x")).select("x.a", "x.b")
 
 
+def _members(bands: DataFrame) -> DataFrame:
+    return bands.select("id", F.posexplode("bands").alias("place", "band"))
+
+
+def heavy(bands: DataFrame) -> DataFrame:
+    """``band, size, a, b, content`` of the buckets that are too large for one task, in which rows needn't meet.
+
+    They are looked for among the lines of some hashes of the id, so that a bucket of ``share`` lines has ``SEEN`` of them: that finds all that matter, and a few
+    smaller ones do no harm. They are fewer than eight times the shuffle partitions, whatever the data.
+    """
+    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(LARGE, bands.count() * BANDS // (4 * parts))
+    drawn = _members(bands.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(max(1, share // SEEN))) == 0))
+    found = drawn.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN // 2).select("band")
+    return _members(bands).join(F.broadcast(found), "band").groupBy("band").agg(*_summary())
+
+
+def _summary() -> list[Column]:
+    return [F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64(F.lit(3), "id")).alias("content")]
+
+
 def shared(bands: DataFrame) -> DataFrame:
     """``id, band, place, size, a, b, content``: a row for each line of each bucket of several; ``place`` is the band's number, ``a`` and ``b`` are the bucket's least and greatest line.
 
-    One shuffle and one sort: the members are counted where they meet, and a frame that is large goes to disk. Equal ``size, a, b, content`` mean equal members.
+    Equal ``size, a, b, content`` mean equal members. The members of a bucket are counted where they meet, in one shuffle; those of ``heavy`` buckets are counted
+    before they travel, and get the counts without meeting.
     """
-    rows = bands.select("id", F.posexplode("bands").alias("place", "band"))
+    large = runtime.stored(heavy(bands), "heavy")
+    known = F.broadcast(large.select(F.col("band").alias("_band"), *[F.col(c).alias(f"_{c}") for c in ("size", "a", "b", "content")]))  # bounded, see ``heavy``
+    rows = _members(bands)
     whole = Window.partitionBy("band")
-    counted = rows.select("id", "band", "place", F.count("*").over(whole).alias("size"), F.min("id").over(whole).alias("a"), F.max("id").over(whole).alias("b"), F.bit_xor(F.xxhash64(F.lit(3), "id")).over(whole).alias("content"))
-    return counted.where("size > 1")
+    met = rows.join(known.select("_band"), F.col("band") == F.col("_band"), "left_anti")
+    counted = met.select("id", "band", "place", F.count("*").over(whole).alias("size"), F.min("id").over(whole).alias("a"), F.max("id").over(whole).alias("b"), F.bit_xor(F.xxhash64(F.lit(3), "id")).over(whole).alias("content"))
+    told = rows.join(known, F.col("band") == F.col("_band")).select("id", "band", "place", *[F.col(f"_{c}").alias(c) for c in ("size", "a", "b", "content")])
+    return counted.where("size > 1").unionByName(told.where("size > 1"))
 
 
 def _first_of_equals(members: DataFrame) -> DataFrame:

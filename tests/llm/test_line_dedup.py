@@ -170,3 +170,29 @@ def test_buckets_of_equal_lines_are_searched_once(spark, monkeypatch):
         buckets.setdefault(band, set()).add(i)
     found = [frozenset(x) for x in buckets.values()]
     assert len(found) == len(set(found)) and {len(x) for x in found} <= {3, 4} and sum(len(x) == 4 for x in found) == 3
+
+
+def test_large_buckets_are_counted_before_they_travel(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LARGE", 8)
+    monkeypatch.setattr(line_dedup, "SEEN", 8)  # with this every line is drawn, and four of a bucket are many
+    bands = spark.createDataFrame([(i, [1 if i % 2 else 100 + i // 6, 200 + i // 2, 300 + i]) for i in range(60)], "id long, bands array<long>")
+    large = {r.band: r for r in line_dedup.heavy(bands).collect()}
+    assert 1 in large and set(large) <= {1} and large[1].size == 30 and (large[1].a, large[1].b) == (1, 59)
+    found = line_dedup.shared(bands)
+    buckets = {}
+    for i in range(60):
+        for place, band in enumerate([1 if i % 2 else 100 + i // 6, 200 + i // 2, 300 + i]):
+            buckets.setdefault((place, band), []).append(i)
+    want = sorted((i, band, place, len(x), min(x), max(x)) for (place, band), x in buckets.items() if len(x) > 1 for i in x)
+    assert sorted((r.id, r.band, r.place, r.size, r.a, r.b) for r in found.collect()) == want
+    assert all(len({r.content for r in found.collect() if r.band == band}) == 1 for band in (1, 100, 200))
+
+
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "SEEN", 4)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(150))
+    rows = [(i, base[:140] + f"{i:010d}" if i % 3 else "".join(rng.choice("xyz ") for _ in range(90))) for i in range(60)]
+    got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, 0.8) and len(got) > 30

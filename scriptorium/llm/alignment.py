@@ -36,21 +36,21 @@ from pyspark.sql import functions as F
 from scriptorium.llm import bpe, runtime
 
 #: Distinct units of a chunk, characters of the documents that brought them, and units of its documents, at most (a document isn't divided).
-UNITS, UNIT_BYTES, PLACES = 120_000, 1 << 24, 1 << 23
-#: Units that are encoded at a time, and entries in a row of a chunk's tables.
-ENCODED, PAGE = 8192, 4096
+UNITS, UNIT_BYTES, PLACES = 200_000, 1 << 25, 1 << 23
+#: Units that are encoded at a time, units in one text of the first library, and entries in a row of a chunk's tables.
+ENCODED, JOINED, PAGE = 8192, 64, 4096
 #: White space before a space, and spaces at the ends: there a space alone doesn't divide.
 ODD = re.compile(r"^ |\s | $")
 
 SQL = """
-CREATE TABLE ends AS SELECT coalesce(a.e, b.e) AS e, a.e IS NOT NULL AND b.e IS NOT NULL AS common FROM a FULL JOIN b ON a.e = b.e;
-CREATE TABLE stretches AS SELECT e, coalesce(sum(common::INT) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM ends;
-CREATE TABLE links AS SELECT a.u, a.id AS a, b.id AS b FROM stretches s ASOF JOIN a ON s.e <= a.e ASOF JOIN b ON s.e <= b.e;
-CREATE TABLE pairs AS SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS p, n FROM (SELECT a, b, sum(times)::BIGINT AS n FROM links JOIN units USING (u) WHERE times > 0 GROUP BY a, b);
+CREATE TABLE ends AS SELECT coalesce(a.e, b.e) AS e, a.e IS NOT NULL AS first, b.e IS NOT NULL AS second FROM a FULL JOIN b ON a.e = b.e;
+CREATE TABLE stretches AS SELECT *, coalesce(sum((first AND second)::INT) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM ends;
+CREATE TABLE links AS SELECT a.u, a.id * 4294967296 + b.id AS ab FROM stretches s ASOF JOIN (SELECT u, e, id::BIGINT AS id FROM a) a ON s.e <= a.e ASOF JOIN b ON s.e <= b.e;
+CREATE TABLE pairs AS SELECT ab, row_number() OVER () - 1 AS p, n FROM (SELECT ab, sum(times)::BIGINT AS n FROM links JOIN units USING (u) WHERE times > 0 GROUP BY ab);
 """
-GROUPS = ("SELECT g FROM a JOIN stretches USING (e) ORDER BY e", "SELECT g FROM b JOIN stretches USING (e) ORDER BY e")
-LINK_ROWS = "SELECT u, p FROM links JOIN pairs USING (a, b) ORDER BY u"
-PAIR_ROWS = "SELECT a, b, n FROM pairs ORDER BY p"
+STRETCH_ROWS = "SELECT g, first, second FROM stretches ORDER BY e"
+LINK_ROWS = "SELECT u, p FROM links JOIN pairs USING (ab) ORDER BY u"
+PAIR_ROWS = "SELECT ab, n FROM pairs ORDER BY p"
 
 
 def units_of(text: str) -> list[str]:
@@ -86,19 +86,45 @@ class Encoders:
         if any(re.search("[^▁]▁", x) for x in pieces) or b"identity" not in second[-64:]:
             raise ValueError("the second tokenizer must not normalise, nor have a space behind another character in a piece")
         byte_of = {c: i for i, c in enumerate(bpe.byte_chars())}
-        self.first_bytes = [bytes(map(byte_of.__getitem__, self.first.id_to_token(i))) if all(c in byte_of for c in self.first.id_to_token(i)) else self.first.id_to_token(i).encode() for i in range(self.first.get_vocab_size())]
-        self.second_bytes = [bytes([int(x[3:5], 16)]) if self.second.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        first = self.first.encode_batch_fast([" " + x for x in units], add_special_tokens=False)
-        return [x.ids for x in first], self.second.encode(units, num_threads=1)
-
-
-def _intervals(ids: list[list[int]], lengths: np.ndarray, numbers: list[int], at: int) -> dict[str, np.ndarray]:
-    """``u, id, e``: the tokens of units, laid end to end from byte ``at``: a token lies between the end before it and its own."""
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-    return {"u": np.repeat(np.array(numbers, np.int32), sizes), "id": flat, "e": at + np.cumsum(lengths[flat])}
+        first_bytes = [bytes(map(byte_of.__getitem__, self.first.id_to_token(i))) if all(c in byte_of for c in self.first.id_to_token(i)) else self.first.id_to_token(i).encode() for i in range(self.first.get_vocab_size())]
+        second_bytes = [bytes([int(x[3:5], 16)]) if self.second.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.bytes = first_bytes, second_bytes
+        self.lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in self.bytes]
+
+    def encode(self, units: list[str], wanted: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For both tokenizers: how many tokens each unit has, their ids, unit after unit, and which units they give back as ``wanted``."""
+        # the first library is faster with a few long texts than with many short ones: where a unit ends in a letter, the next may follow in the same text
+        texts, own, last = [], [], ""
+        for x in units:
+            if last and (len(own) == JOINED or last[-1].isspace()):
+                texts.append(" " + " ".join(own))
+                own = []
+            own.append(x)
+            last = x
+        texts.append(" " + " ".join(own))
+        flat = _flat([x.ids for x in self.first.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum(self.lengths[0][flat])
+        sizes = np.diff(np.searchsorted(ends, np.cumsum(np.fromiter(map(len, wanted), np.int64, len(wanted))), "right"), prepend=0)
+        found = [self._checked(0, sizes, flat, wanted)]
+        if not found[0][2].all():
+            ids = [x.ids for x in self.first.encode_batch_fast([" " + x for x in units], add_special_tokens=False)]
+            found = [self._checked(0, np.fromiter(map(len, ids), np.int64, len(ids)), _flat(ids), wanted)]
+        ids = self.second.encode(units, num_threads=1)
+        return [*found, self._checked(1, np.fromiter(map(len, ids), np.int64, len(ids)), _flat(ids), wanted)]
+
+    def _checked(self, side: int, sizes: np.ndarray, flat: np.ndarray, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, tokens = flat.tolist(), self.bytes[side]
+        own = np.array(list(map(len, wanted)), np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[side][flat])])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        good = ends[at[1:]] - ends[at[:-1]] == own
+        if not good.all() or b"".join(map(tokens.__getitem__, found)) != b"".join(wanted):
+            good = np.array([b"".join(map(tokens.__getitem__, found[x:y])) == w for x, y, w in zip(at.tolist(), at[1:].tolist(), wanted)], bool)
+        return sizes, flat, good
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
 
 
 def _written(tokens: list[dict[str, np.ndarray]], groups: list[np.ndarray], n: int) -> list[str]:
@@ -149,19 +175,20 @@ class Chunk:
 
     def aligned(self) -> tuple[dict[str, np.ndarray | list], dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """By unit: counts and groups; by pair: ids and how often; for the links of all units: how many each unit has, and their pairs."""
-        lengths = [np.array([len(x) for x in of], np.int64) for of in (self.encoders.first_bytes, self.encoders.second_bytes)]
         units, parts, at = list(self.known), ([], []), 0
         lost = np.ones(len(units), bool)
         for i in range(0, len(units), ENCODED):
             texts = units[i : i + ENCODED]
-            both = self.encoders.encode(texts)
             wanted = [b" " + x.encode("utf-8", "surrogatepass") for x in texts]
-            whole = [j for j, (x, y, w) in enumerate(zip(*both, wanted, strict=True)) if b"".join(map(self.encoders.first_bytes.__getitem__, x)) == w == b"".join(map(self.encoders.second_bytes.__getitem__, y))]
-            lost[[i + j for j in whole]] = False
-            for part, ids, n in zip(parts, both, lengths, strict=True):
-                part.append(_intervals([ids[j] for j in whole], n, [i + j for j in whole], at))
-            at += sum(len(wanted[j]) for j in whole)
-        tokens = [{c: np.concatenate([x[c] for x in part]) for c in ("u", "id", "e")} for part in parts]
+            both = self.encoders.encode(texts, wanted)
+            whole = both[0][2] & both[1][2]
+            lost[i : i + len(texts)] = ~whole
+            for part, (sizes, flat, _), lengths in zip(parts, both, self.encoders.lengths, strict=True):
+                kept = flat[np.repeat(whole, sizes)]
+                # a token lies between the end before it and its own
+                part.append({"u": np.repeat(np.arange(i, i + len(texts), dtype=np.int32)[whole], sizes[whole]), "id": kept, "e": at + np.cumsum(lengths[kept])})
+            at += sum(len(w) for w, good in zip(wanted, whole.tolist(), strict=True) if good)
+        tokens = [{c: np.concatenate([np.empty(0, np.int64 if c == "e" else np.int32), *(x[c] for x in part)]) for c in ("u", "id", "e")} for part in parts]
         self.places = [x[:0] if lost[x].any() else x for x in self.places]  # a text that isn't given back has no tokens
         times = np.bincount(np.concatenate(self.places), minlength=len(units)) if units else np.empty(0, np.int64)
         with duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""}) as con:
@@ -169,8 +196,9 @@ class Chunk:
                 con.register(name, pa.table(x))
             con.register("units", pa.table({"u": np.arange(len(units), dtype=np.int32), "times": times}))
             con.execute(SQL)
-            groups = [con.execute(x).fetchnumpy()["g"] for x in GROUPS]
-            links, pairs = con.execute(LINK_ROWS).fetchnumpy(), con.execute(PAIR_ROWS).fetchnumpy()
+            stretches, links, pairs = (con.execute(x).fetchnumpy() for x in (STRETCH_ROWS, LINK_ROWS, PAIR_ROWS))
+        groups = [stretches["g"][stretches[side]] for side in ("first", "second")]
+        pairs = {"a": pairs["ab"] >> 32, "b": pairs["ab"] & 0xFFFFFFFF, "n": pairs["n"]}
         sizes = np.bincount(links["u"], minlength=len(units)).astype(np.int32)
         last_of_group = np.append(groups[0][1:] != groups[0][:-1], True)[: len(groups[0])]
         by_unit = {

@@ -79,19 +79,20 @@ def decode_uni(c: Column) -> Column:
     return each(c, code, rf".+?(?={code}|\z)", lambda x: F.when(x.rlike(rf"^{code}\z"), named(x)).otherwise(x))
 
 
-def is_noise(line: Column) -> Column:
-    """Whether a line is a conversion artefact: a comment, an open tag, one to three signs or letters, a source mark."""
-    s = strip(line)
+def is_noise(s: Column) -> Column:
+    """Whether a stripped line is a conversion artefact: a comment, an open tag, one to three signs or letters, a source mark. Its first sign and its length settle most."""
     comment = s.rlike(r"(?d)^<!--.*-->\z")
-    tag = s.startswith("<") & ~s.contains(">")
+    tag = ~s.contains(">")
     signs = ~s.rlike(f"[{LETTER}]") & s.rlike(r"^(?:[^\p{L}\p{N}]|\p{Nd}){1,3}\z")
     source = s.rlike(r"(?U)^@[A-Za-z0-9_.-]+\s*\(\d+(?:-\d+)?\)\z")
     letters = s.rlike(rf"(?iu)^(?!(?:да|нет|yes|no)\z)[{LETTER}]{{1,3}}\z")
-    return (s != "") & (comment | tag | signs | source | letters)
+    return (s != "") & ((s.startswith("<") & (comment | tag)) | ((F.length(s) <= 3) & (signs | letters)) | (s.startswith("@") & source))
 
 
 def drop_noise_lines(c: Column) -> Column:
-    return F.array_join(F.filter(split_lines(c), lambda x: ~is_noise(x)), "\n")
+    # the stripped line is bound to a name of its own: a lambda would compute it at every mention
+    bound = F.transform(split_lines(c), lambda x: F.struct(x.alias("line"), strip(x).alias("stripped")))
+    return F.array_join(F.transform(F.filter(bound, lambda z: ~is_noise(z["stripped"])), lambda z: z["line"]), "\n")
 
 
 def join_single_letters(c: Column) -> Column:
@@ -166,6 +167,11 @@ def asked_of_short_latin(c: Column) -> Column:
     return F.transform(tokens, _as_cyrillic)
 
 
+def _where_cyrillic(c: Column, fixed: Column) -> Column:
+    """``fixed`` where a text has a Cyrillic letter at all; others, which are most, only get their lines joined again."""
+    return F.when(c.rlike(f"[{CYR}]"), fixed).otherwise(F.array_join(split_lines(c), "\n"))
+
+
 def fix_short_latin(c: Column, known: Column | None = None) -> Column:
     """Short Latin words of look-alikes in mostly Russian lines, where they are Russian words.
 
@@ -174,7 +180,8 @@ def fix_short_latin(c: Column, known: Column | None = None) -> Column:
     listed = lambda x: F.upper(x).isin(SHORT_LATIN_WORDS)
     word = listed if known is None else lambda x: F.when(F.length(x) > 1, F.array_contains(known, _as_cyrillic(x))).otherwise(listed(x))
     line = lambda s: each(s, f"[{WORD}]+", f"[^{WORD}]+", lambda x: F.when(x.rlike(_LOOKALIKES) & word(x), apply_case(x, _as_cyrillic(x))).otherwise(x))
-    return F.array_join(F.transform(split_lines(c), lambda s: F.when(russian_dominant(s), line(s)).otherwise(s)), "\n")
+    lines = F.array_join(F.transform(split_lines(c), lambda s: F.when(russian_dominant(s), line(s)).otherwise(s)), "\n")
+    return _where_cyrillic(c, lines)
 
 
 def is_dice(token: Column) -> Column:
@@ -212,7 +219,7 @@ def fix_digits(c: Column) -> Column:
     skipped = lambda s: ~s.rlike("[3604]") | (F.regexp_count(s, F.lit(r"\|")) >= 2) | ~russian_dominant(s)
     line = lambda s: F.when(skipped(s), s).otherwise(F.array_join(F.transform(pieces(s, rf".*?{token}", ".+"), _fix_token), ""))
     block = lambda x: F.when(x.startswith("```"), x).otherwise(F.array_join(F.transform(F.split(x, "\n", -1), line), "\n"))
-    return each(F.array_join(split_lines(c), "\n"), fence, rf".+?(?={fence}|\z)", block)
+    return _where_cyrillic(c, each(F.array_join(split_lines(c), "\n"), fence, rf".+?(?={fence}|\z)", block))
 
 
 def drop_f_before_vowel(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, batching, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, vector_index, vectors
+from scriptorium.operators import answer, batching, changes, chunking, cleaning, dictionary, evaluate, structure, suspicion, text_index, vector_index, vectors
 from scriptorium.plans import fixtures as X
 from scriptorium.plans.fixtures import table
 from scriptorium.sources import named, readers, shared, writers
@@ -217,6 +217,17 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.lexical_top_k(table(spark, sf_dir, "documents"), "the tion", 10, order="doc_id").select("doc_id", "score")
 
 
+@query(r"""WITH q AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+u AS (SELECT query_id, unnest(w) AS word FROM q), g AS (SELECT query_id, word, count(*) AS weight FROM u GROUP BY query_id, word), d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+c AS (SELECT word, doc_id, (length(t) - length(replace(t, word, ''))) // length(word) AS n FROM (SELECT DISTINCT word FROM g), d),
+s AS (SELECT query_id, doc_id, CAST(sum(weight * n) AS BIGINT) AS score FROM g JOIN c USING (word) GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 10""")
+def lexical_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts in which each benchmark item's words occur most, by the text index."""
+    index = text_index.TextIndex.build(table(spark, sf_dir, "documents"), shared.new_path(spark, "texts"), "doc_id")
+    return index.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(x), lambda v: least(len(list_filter(x, lambda q: q = v)), len(list_filter(y, lambda q: q = v))))), 0) AS common FROM p)

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import answer, changes, chunking, cleaning, evaluate, structure, vectors
+from scriptorium.operators import answer, changes, chunking, cleaning, evaluate, ledger, structure, vectors
 from scriptorium.sources import named, readers, settings, writers
 
 
@@ -39,18 +39,31 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Chunks into a collection, with the offline embedding; the collection is made if it is missing."""
+    """Chunks into a collection, with the offline embedding or that of ``--embedder``, in requests of bounded size; the collection is made if it is missing."""
     store = vectors.Collection(spark, a.target, a.dim)
     store.ensure()
     if a.source:
         rows = readers.coerced(readers.json_lines(spark, a.source, readers.CHUNK)).drop("file_ord")
-        store.upsert(rows.withColumn("vector", vectors.hashed_embedding(F.col("text"), a.dim)), "chunk_id")
+        many = _named(a.embedder)
+        if a.ledger:
+            known = _ledger(spark, a)
+            ask = (lambda calls: answer.embedded(calls, "call", "request", many).withColumnRenamed("vector", "reply")) if many else None
+            found = known.replies(rows, "embedding", F.col("text"), lambda c: vectors.hashed_embedding(c, a.dim), {"embedder": a.embedder, "dim": a.dim}, ask).withColumnRenamed("reply", "vector")
+        elif many:
+            found = answer.embedded(rows, "chunk_id", "text", many)
+        else:
+            found = rows.withColumn("vector", vectors.hashed_embedding(F.col("text"), a.dim))
+        store.upsert(found, "chunk_id")
 
 
 def _models(a: argparse.Namespace) -> answer.Models:
     return answer.Models(embed=lambda c: vectors.hashed_embedding(c, a.dim))
 
 
+def _ledger(spark: SparkSession, a: argparse.Namespace) -> ledger.Ledger | None:
+    return ledger.Ledger(spark, a.ledger) if a.ledger else None
+
+
 def _named(name: str | None):
     """A function given as ``module:function``."""
     if name is None:
@@ -76,7 +89,7 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> None:
     """One question of a collection."""
     asked = spark.createDataFrame([(1, a.query)], "query_id int, question string")
     points = vectors.Collection(spark, a.source, a.dim).points()
-    found = answer.answer(asked, points, _models(a), a.k, not a.no_rerank, prompts_path=a.prompts, log_path=a.log_dir, chat=answer.Chat(temperature=a.temperature))
+    found = answer.answer(asked, points, _models(a), a.k, not a.no_rerank, prompts_path=a.prompts, log_path=a.log_dir, chat=answer.Chat(temperature=a.temperature), ledger=_ledger(spark, a))
     print("\n\n".join(writers.printed(found, debug=a.debug)))
 
 
@@ -84,7 +97,7 @@ def evaluate_(spark: SparkSession, a: argparse.Namespace) -> None:
     """A collection's answers to a set of samples: records to a report, means to the terminal."""
     rows = readers.samples(spark, a.dataset, a.limit)
     points = vectors.Collection(spark, a.source, a.dim).points()
-    records = evaluate.run(rows, points, _models(a), _named(a.judge), k=a.k, rerank=not a.no_rerank, chat=answer.Chat(temperature=a.temperature))
+    records = evaluate.run(rows, points, _models(a), _named(a.judge), k=a.k, rerank=not a.no_rerank, chat=answer.Chat(temperature=a.temperature), ledger=_ledger(spark, a))
     written = writers.report(records, a.log_dir or "logs/eval")
     means = evaluate.report(spark.read.schema(records.schema).json(written)).first()
     print(f"Samples: {means.n_samples}\nAverage Recall@{a.k}: {means.mean_recall:.3f}\nAverage score: {means.mean_score:.3f}\nLog written to: {written}")
@@ -107,6 +120,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         p.add_argument("--dim", type=int, default=given.dim)
         if name == "index":
             p.add_argument("source", nargs="*")
+            p.add_argument("--embedder", help="module:function from an array of texts to the array of their vectors")
         if name == "clean":
             p.add_argument("--dictionary", help="a text file of words, one a line")
         if name == "parse":
@@ -119,6 +133,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("--no-rerank", action="store_true")
             p.add_argument("--temperature", type=float)
             p.add_argument("--log-dir")
+        if name in ("index", "ask", "eval"):
+            p.add_argument("--ledger", help="a folder that keeps what models have answered; what it holds isn't asked for again")
         if name == "ask":
             p.add_argument("--prompts")
             p.add_argument("--debug", action="store_true", default=given.debug)

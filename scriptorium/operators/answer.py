@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import batching, vectors
+from scriptorium.operators.ledger import Ledger
 from scriptorium.sources import settings, writers
 
 # Fixed value: the default instruction of the model.
@@ -96,13 +97,13 @@ def diagnostics() -> Column:
 
 def answer(
     questions: DataFrame, points: DataFrame, models: Models | None = None, k: int = 5, rerank: bool = True, spec: dict | None = None, threshold: float | None = None,
-    most: int = 1500, chat: Chat | None = None, system_prompt: str | None = None, prompts_path: str | None = None, log_path: str | None = None,
+    most: int = 1500, chat: Chat | None = None, system_prompt: str | None = None, prompts_path: str | None = None, log_path: str | None = None, ledger: Ledger | None = None,
 ) -> DataFrame:
     """Rows ``query_id, question`` with ``answer, answer_found, chunks, requested_k, initial_k, rerank_enabled``, the reply's ``model`` and tokens, and ``extra``.
 
     The instruction is ``system_prompt``, or that of the file ``prompts_path``, or the models' own; an empty one is left out.
     Blank questions raise; a question without chunks gets the fixed answer and no model call. With ``log_path`` the answers are
-    also logged under the day.
+    also logged under the day. With a ``ledger`` replies that it holds aren't asked for again.
     """
     models = models or Models()
     chat = chat or Chat(models.names.get("answer", "unknown"))
@@ -111,10 +112,13 @@ def answer(
     system = settings.system_prompt(prompts_path, models.system_prompt) if system_prompt is None else system_prompt
     blocks = context(retrieve(questions, points, models, k, rerank, spec, threshold), most)
     joined = questions.select("query_id", "question").join(blocks, "query_id", "left")
-    said = models.generate(messages(T.user_prompt(F.col("question"), F.col("context")), system), chat).cast(REPLY)
     some = F.col("context").isNotNull()
-    # behind a generator the reply is a column: the model is asked once, and only where there is a context
-    asked = joined.select("*", F.explode(F.array(F.when(some, said))).alias("reply"))
+    talk = F.when(some, messages(T.user_prompt(F.col("question"), F.col("context")), system))
+    if ledger is None:
+        # behind a generator the reply is a column: the model is asked once, and only where there is a context
+        asked = joined.select("*", F.explode(F.array(F.when(some, models.generate(talk, chat).cast(REPLY)))).alias("reply"))
+    else:
+        asked = ledger.replies(joined, "chat", talk, lambda said: models.generate(said, chat).cast(REPLY), asdict(chat))
     none = F.to_json(F.struct(F.lit("no_chunks").alias("reason")))
     extra = F.to_json(F.struct(F.lit(most).alias("max_chars_per_chunk"), F.lit(chat.temperature).cast("double").alias("temperature")), {"ignoreNullFields": "false"})
     text = F.when(some, F.col("reply.content")).otherwise(F.lit(T.NOTHING_FOUND_ANSWER))

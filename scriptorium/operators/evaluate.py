@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import answer
+from scriptorium.operators.ledger import Ledger
 from scriptorium.sources import settings
 
 
@@ -63,7 +65,7 @@ def judge_prompt(template: str, question: Column, expected: Column, predicted: C
     return F.concat(*filled) if filled else F.lit("")
 
 
-def evaluated(answers: DataFrame, samples: DataFrame, judge: Callable[[Column, answer.Chat], Column] | None = None, key: str = "id", prompts_path: str | None = None) -> DataFrame:
+def evaluated(answers: DataFrame, samples: DataFrame, judge: Callable[[Column, answer.Chat], Column] | None = None, key: str = "id", prompts_path: str | None = None, ledger: Ledger | None = None) -> DataFrame:
     """One record per sample: answers ``<key>, answer, retrieved`` against samples ``<key>, question, answer, references``.
 
     ``judge`` is a chat model (see ``answer.Models.generate``), asked at temperature 0; without one the score is the token F1.
@@ -74,7 +76,12 @@ def evaluated(answers: DataFrame, samples: DataFrame, judge: Callable[[Column, a
         verdict = F.struct(token_f1(F.col("predicted_answer"), F.col("expected_answer")).alias("score"), F.lit("token F1").alias("reasoning"))
     else:
         prompt = judge_prompt(settings.eval_prompt(prompts_path), F.col("question"), F.col("expected_answer"), F.col("predicted_answer"))
-        verdict = T.judge_verdict(judge(answer.messages(prompt), answer.Chat("judge", temperature=0.0))["content"])
+        chat = answer.Chat("judge", temperature=0.0)
+        if ledger is None:
+            verdict = T.judge_verdict(judge(answer.messages(prompt), chat)["content"])
+        else:
+            both = ledger.replies(both, "judge", answer.messages(prompt), lambda said: judge(said, chat).cast(answer.REPLY), asdict(chat))
+            verdict = T.judge_verdict(F.col("reply.content"))
     both = both.select("*", F.explode(F.array(verdict)).alias("verdict"))  # behind a generator: the judge is asked once
     return both.select(
         F.col(key).alias("sample_id"), "question", "expected_answer", "predicted_answer", "expected_chunks", "retrieved_chunks",
@@ -87,4 +94,4 @@ def run(samples: DataFrame, points: DataFrame, models: answer.Models | None = No
     """Every sample's question asked (``options`` as of ``answer.answer``), and the answers evaluated."""
     found = answer.answer(samples.select(F.col(key).alias("query_id"), "question"), points, models, **options)
     retrieved = F.transform(F.coalesce("chunks", F.array().cast(found.schema["chunks"].dataType)), lambda c: c["chunk_id"])
-    return evaluated(found.select(F.col("query_id").alias(key), "answer", retrieved.alias("retrieved")), samples, judge, key)
+    return evaluated(found.select(F.col("query_id").alias(key), "answer", retrieved.alias("retrieved")), samples, judge, key, ledger=options.get("ledger"))

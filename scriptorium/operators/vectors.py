@@ -219,9 +219,11 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 def term_count(text: Column, query: Column) -> Column:
     """How often the words of a query occur in a text as substrings; a word given twice counts twice."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    times = lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("long")
-    return F.aggregate(F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda t: t != ""), F.lit(0).cast("long"), lambda s, t: s + times(t))
+    times = lambda low, t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("long")
+    words = F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda t: t != "")
+    # the text is bound to a name of its own: inside a lambda an outer expression would be computed for every word
+    counted = lambda low: F.aggregate(words, F.lit(0).cast("long"), lambda s, t: s + times(low, t))
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), counted)[0]
 
 
 def lexical_top_k(rows: DataFrame, query: str, k: int, text: str = "text", order: str = "ord") -> DataFrame:

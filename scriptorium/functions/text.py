@@ -7,6 +7,7 @@ text stays null.
 from __future__ import annotations
 
 import html
+import html.entities
 import unicodedata
 from collections.abc import Callable
 
@@ -66,6 +67,13 @@ def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def entities(c: Column, names: Iterable[str]) -> Column:
+    """The named HTML entities, where a semicolon ends them; each once, so ``&amp;copy;`` becomes ``&copy;``."""
+    for name in sorted(names, key=lambda x: x == "amp"):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(html.entities.html5[f"{name};"]))
+    return c
+
+
 @F.pandas_udf(StringType())
 def compose(texts: pd.Series) -> pd.Series:
     """Unicode canonical composition (an Arrow function: there is no built-in)."""

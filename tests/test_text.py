@@ -10,6 +10,7 @@ CASES = [
     (text.light, "пере-\nнос a \t\r\nb\r\r\r\rc - d", "перенос a\nb\n\nc - d"),
     (text.decode_uni, "/uni041Fривет /uniZZ x/uni0041", "Привет /uniZZ xA"),
     (text.html_unescape, "a &amp; b &mdash; &#1046;", "a & b — Ж"),
+    (lambda c: text.entities(c, ["amp", "copy", "quot"]), "&amp;copy; &copy; &quot; &amp</b> &lt; &am", "&copy; © \" &amp</b> &lt; &am"),
     (text.drop_noise_lines, "<!-- x -->\nкеep\n<b\n---\n```\n12\n1234\nabc\nда\n\n@f.md (2-11)\nending", "кеep\n1234\nда\n\nending"),
     (text.join_single_letters, "П оследующие В огромном D UNGEONS О БОГАХ A cat I T", "Последующие В огромном DUNGEONS ОБОГАХ A cat I T"),
     (text.join_lines, "пер-\nенос a\nb\n- item\n| x |\ny\n# h\nz\n\nq", "перенос a b\n- item\n| x |\ny\n# h z\n\nq"),

@@ -25,11 +25,11 @@ def _words(words: Column, in_cyrillic: Column, known: Column | None) -> Column:
     zero = F.struct(*[F.lit(0).alias(c) for c in ("n_latin", "n_cyr", "n_latin_only", "n_flagged", "mixed", "capitals", "strangers", "unknown")])
 
     def looked_at(w: Column) -> Column:
-        """What the fold needs of a word, each found once."""
-        plain = w == F.lower(w)
+        """What the fold needs of a word, each found once. Words hold letters of ``LETTER`` only, so classes tell their case: case folding costs many times more."""
+        large, small = w.rlike("[A-ZА-ЯЁ]"), w.rlike("[a-zа-яё]")
         return F.struct(
-            _cyrillic(w).alias("cyr"), _latin(w).alias("lat"), F.length(w).alias("length"), (~plain & T.has_letter_case(w, "upper")).alias("upper"),
-            (~plain & (F.length(F.regexp_replace(w, r"\P{Lu}", "")) >= 2)).alias("capitals"), F.lower(w).alias("word"),
+            _cyrillic(w).alias("cyr"), _latin(w).alias("lat"), F.length(w).alias("length"), (large & ~small).alias("upper"),
+            w.rlike("[A-ZА-ЯЁ].*[A-ZА-ЯЁ]").alias("capitals"), (F.lit(None) if known is None else F.lower(w)).alias("word"),
         )
 
     def judged(x: Column, n_cyr: Column) -> Column:

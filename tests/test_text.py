@@ -85,3 +85,24 @@ def test_titles(spark):
     assert got == ["B • x • id=i", "fragment", "id=i"]
     langs = spark.createDataFrame([(["ru", " EN", "ru", ""],), ([],), (None,)], "l array<string>").select(text.ocr_languages(F.col("l"))).collect()
     assert [r[0] for r in langs] == [["rus", "eng"], ["eng"], ["rus", "eng"]]
+
+
+def test_letters_are_counted_once_for_a_line(spark):
+    from scriptorium.plans import catalogue
+
+    plan = catalogue.line_kinds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(line") == 2 and "[^" not in plan  # a class a count, runs of letters at once
+
+
+def test_words_are_not_case_folded_without_a_dictionary(spark):
+    from scriptorium.operators import suspicion
+
+    plan = suspicion.suspicious(spark.createDataFrame([(1, "слово")], "k int, text string"), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan and "upper(" not in plan
+
+
+def test_a_long_run_at_the_end_of_a_line_is_looked_through_once(spark):
+    given = "слово 3 é" + "а" * 100_000 + "é"
+    started = time.monotonic()
+    assert spark.createDataFrame([(given,)], "t string").select(text.fix_digits(F.col("t"))).first()[0] == given
+    assert time.monotonic() - started < 20

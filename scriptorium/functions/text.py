@@ -143,7 +143,7 @@ def n_cyrillic(c: Column) -> Column:
 
 
 def n_latin(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, "[A-Za-z]++", ""))
 
 
 def russian_dominant(line: Column) -> Column:

@@ -69,8 +69,8 @@ def scored(paragraphs: DataFrame, known: str | None = None) -> DataFrame:
     counts = F.struct(F.size("found").alias("n_words"), (T.n_cyrillic(F.col("text")) >= T.n_latin(F.col("text"))).alias("in_cyr"))
     df = df.select("*", F.inline(F.array(F.struct(words.alias("words"), counts.alias("c"))))).drop("found")
     df = df.select("*", F.explode(F.array(_words(F.col("words"), F.col("c.in_cyr"), None if known is None else F.col(known)))).alias("w")).drop("words")
-    solid = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
-    weird = F.length(F.regexp_replace("text", rf"(?U)[\s\x1c-\x1f0-9{T.LETTER}{ALLOWED}]", ""))
+    solid = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]++", ""))
+    weird = F.length(F.regexp_replace("text", rf"(?U)[\s\x1c-\x1f0-9{T.LETTER}{ALLOWED}]++", ""))
     df = df.withColumn("weird", F.when(solid > 0, weird / solid).otherwise(0.0)).withColumn("latin_share", F.col("w.n_latin") / F.greatest(F.col("w.n_latin") + F.col("w.n_cyr"), F.lit(1)))
     odd, share = F.col("weird") > 0.05, (F.col("w.n_cyr") >= 4) & (F.col("w.n_latin") > 0) & (F.col("latin_share") > 0.2)
     only = F.col("c.in_cyr") & (F.col("w.n_latin_only") > 0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import html.entities
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -188,8 +188,10 @@ def fix_short_latin(c: Column, known: Column | None = None) -> Column:
     """
     listed = lambda x: F.upper(x).isin(SHORT_LATIN_WORDS)
     word = listed if known is None else lambda x: F.when(F.length(x) > 1, F.array_contains(known, _as_cyrillic(x))).otherwise(listed(x))
-    line = lambda s: each(s, f"[{WORD}]+", f"[^{WORD}]+", lambda x: F.when(x.rlike(_LOOKALIKES) & word(x), apply_case(x, _as_cyrillic(x))).otherwise(x))
-    lines = F.array_join(F.transform(split_lines(c), lambda s: F.when(russian_dominant(s), line(s)).otherwise(s)), "\n")
+    # only what may be such a word is cut out of a line, and most lines hold none
+    token = rf"(?=[{LOOKALIKE_LATIN}])(?<![{WORD}])[{LOOKALIKE_LATIN}]{{1,5}}+(?![{WORD}])"
+    line = lambda s: each(s, token, rf".+?(?={token}|\z)", lambda x: F.when(x.rlike(_LOOKALIKES) & word(x), apply_case(x, _as_cyrillic(x))).otherwise(x))
+    lines = F.array_join(F.transform(split_lines(c), lambda s: F.when(s.rlike(token) & russian_dominant(s), line(s)).otherwise(s)), "\n")
     return _where_cyrillic(c, lines)
 
 
@@ -209,9 +211,15 @@ def _digits_to_letters(token: Column, upper: bool) -> Column:
     return token
 
 
-def _fix_token(x: Column, i: Column) -> Column:
+def _with_token(x: Column) -> Column:
+    """A piece beside the token at its end, which is looked for from there."""
+    token = F.regexp_extract(x, rf"(?s)^(?:.*[^0-9{LETTER}\-])?([0-9{LETTER}\-]*)\z", 1)
+    return F.struct(x.alias("piece"), token.alias("token"))
+
+
+def _fix_token(z: Column, i: Column) -> Column:
     """A token at the end of what stands before it, with the digits in it read as letters."""
-    token = F.regexp_extract(x, rf"[0-9{LETTER}\-]+\z", 0)
+    x, token = z["piece"], z["token"]
     before = F.rtrim(F.substr(x, F.lit(1), F.length(x) - F.length(token)))
     opens = ((before == "") & (i == 0)) | before.rlike(r'[.?!:;—("«]\z')
     large, small = _digits_to_letters(token, True), _digits_to_letters(token, False)
@@ -223,12 +231,15 @@ def _fix_token(x: Column, i: Column) -> Column:
 
 def fix_digits(c: Column) -> Column:
     """Digits read for letters, in mostly Russian lines outside fences and tables."""
-    token = rf"(?<![{WORD}])[0-9{LETTER}](?:[0-9{LETTER}\-]*[0-9{LETTER}])?(?![{WORD}])"
+    # tokens without a digit are as they were, so they are no pieces of their own
+    token = rf"(?=[0-9{LETTER}])(?<![{WORD}])(?=[{LETTER}\-]*[0-9])[0-9{LETTER}](?:[0-9{LETTER}\-]*[0-9{LETTER}])?(?![{WORD}])"
     fence = r"(?m:^)```[^\n]*(?:\n(?!```)[^\n]*)*(?:\n```[^\n]*)?"
     skipped = lambda s: ~s.rlike("[3604]") | (F.regexp_count(s, F.lit(r"\|")) >= 2) | ~russian_dominant(s)
-    line = lambda s: F.when(skipped(s), s).otherwise(F.array_join(F.transform(pieces(s, rf".*?{token}", ".+"), _fix_token), ""))
-    block = lambda x: F.when(x.startswith("```"), x).otherwise(F.array_join(F.transform(F.split(x, "\n", -1), line), "\n"))
-    return _where_cyrillic(c, each(F.array_join(split_lines(c), "\n"), fence, rf".+?(?={fence}|\z)", block))
+    line = lambda s: F.when(skipped(s), s).otherwise(F.array_join(F.transform(F.transform(pieces(s, rf".*?{token}", ".+"), _with_token), _fix_token), ""))
+    lines = lambda x: F.array_join(F.transform(F.split(x, "\n", -1), line), "\n")
+    block = lambda x: F.when(x.startswith("```"), x).otherwise(lines(x))
+    text = F.array_join(split_lines(c), "\n")
+    return _where_cyrillic(c, F.when(c.contains("```"), each(text, fence, rf".+?(?={fence}|\z)", block)).otherwise(lines(text)))
 
 
 def drop_f_before_vowel(c: Column) -> Column:

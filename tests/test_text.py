@@ -1,3 +1,4 @@
+import time
 import uuid
 
 import pytest
@@ -9,8 +10,8 @@ from scriptorium.operators import cleaning, dictionary
 CASES = [
     (text.light, "пере-\nнос a \t\r\nb\r\r\r\rc - d", "перенос a\nb\n\nc - d"),
     (text.decode_uni, "/uni041Fривет /uniZZ x/uni0041", "Привет /uniZZ xA"),
-    (text.html_unescape, "a &amp; b &mdash; &#1046;", "a & b — Ж"),
     (lambda c: text.entities(c, ["amp", "copy", "quot"]), "&amp;copy; &copy; &quot; &amp</b> &lt; &am", "&copy; © \" &amp</b> &lt; &am"),
+    (text.html_unescape, "a &amp; b &mdash; &#1046;", "a & b — Ж"),
     (text.drop_noise_lines, "<!-- x -->\nкеep\n<b\n---\n```\n12\n1234\nabc\nда\n\n@f.md (2-11)\nending", "кеep\n1234\nда\n\nending"),
     (text.join_single_letters, "П оследующие В огромном D UNGEONS О БОГАХ A cat I T", "Последующие В огромном DUNGEONS ОБОГАХ A cat I T"),
     (text.join_lines, "пер-\nенос a\nb\n- item\n| x |\ny\n# h\nz\n\nq", "перенос a b\n- item\n| x |\ny\n# h z\n\nq"),
@@ -20,6 +21,7 @@ CASES = [
     (text.fix_short_latin, "Kak идут сегодня дела NA he TOM\nKak words here", "Как идут сегодня дела NA не ТОМ\nKak words here"),
     (text.fix_digits, "б0льше пре3ид зада4 2к6 20кг", "больше презид задай 2к6 20кг"),
     (text.fix_digits, "3аметка. 6ыло в4 СЛ0ВО\n| б0 | 3а |\n```\nб0льше\n```\nб0льше", "Заметка. Было в4 СЛОВО\n| б0 | 3а |\n```\nб0льше\n```\nбольше"),
+    (text.fix_digits, "аб-вг-д3é слово _а0 аб--б0 éа3б б0_ в3- — к0т. 0рк é-а3 слово и3", "аб-вг-д3é слово _а0 аб--бо éа3б б0_ вз- — кот. Орк é-аз слово из"),
     (text.drop_f_before_vowel, "fа Fизика дfа find", "а изика дfа find"),
     (text.dedupe_words, "персонажи Персонажи персонажи да да", "персонажи да да"),
     (text.final_spacing, "  a\t b \n\n\n\n c  ", "a b\n\n c\n"),

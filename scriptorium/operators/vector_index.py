@@ -30,6 +30,16 @@ APART = -1
 #: Queries on which the probes are measured.
 TRIALS = 200
 MARGIN = 1e-9
+#: Entries of a matrix of rows by cells that a worker holds at once.
+MOST_ENTRIES = 1 << 18
+
+
+def _slices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that a matrix of rows by cells has ``MOST_ENTRIES`` at most."""
+    step = max(1, MOST_ENTRIES // max(1, cells))
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
 
 
 def _angles(sizes: np.ndarray, flat: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ class VectorIndex:
             centroids = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches, len(centroids)):
                 fits, angles = _angles(*vectors.unit_rows(batch.column(1)), centroids)
                 cell, angle = np.full(len(batch), APART, np.int32), np.zeros(len(batch))
                 if len(centroids) and fits.any():
@@ -115,11 +125,11 @@ class VectorIndex:
 
     def _routed(self, asked: DataFrame) -> DataFrame:
         """``q, v, order``: for each query the cells ``cell, nth, bound, before``, most promising first, ``before`` being how many points the cells before hold."""
-        centroids, near, least, most, sizes, cells = self.centroids, self.near, self.least, self.most, self.sizes, np.array(self.cells)
+        centroids, near, least, most, sizes, cells = self.centroids, self.near, self.least, self.most, self.sizes, np.array(self.cells, int)
         kind = pa.struct([("cell", pa.int32()), ("nth", pa.int32()), ("bound", pa.float64()), ("before", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches, len(cells)):
                 bound = np.zeros((len(batch), len(cells)))
                 sort = np.zeros((len(batch), len(cells)))
                 fits, angles = _angles(*vectors.unit_rows(batch.column(1)), centroids) if len(near) else (np.zeros(len(batch), bool), np.empty((0, 0)))
@@ -128,12 +138,11 @@ class VectorIndex:
                     bound[np.ix_(fits, near)] = np.cos(gap)
                     sort[np.ix_(fits, near)] = np.cos(angles)
                 order = np.lexsort((-sort, -bound), axis=1) if len(cells) else np.empty((len(batch), 0), int)
-                lists = []
-                for i in range(len(batch)):
-                    own = order[i]
-                    before = np.concatenate([[0], np.cumsum(sizes[own])[:-1]]) if len(own) else own
-                    lists.append([{"cell": int(cells[c]), "nth": j, "bound": float(bound[i, c]), "before": int(before[j])} for j, c in enumerate(own)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(kind))], ["q", "v", "order"])
+                flat = order.ravel()
+                before = np.cumsum(sizes[order], axis=1) - sizes[order] if len(cells) else order
+                fields = [pa.array(cells[flat], pa.int32()), pa.array(np.tile(np.arange(len(cells)), len(batch)), pa.int32()), pa.array(np.take_along_axis(bound, order, axis=1).ravel(), pa.float64()), pa.array(before.ravel(), pa.int64())]
+                starts = pa.array(np.arange(len(batch) + 1) * len(cells), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays(fields, fields=list(kind)))], ["q", "v", "order"])
 
         q = dict(asked.dtypes)["query_id"]
         rows = asked.select(F.col("query_id").alias("q"), F.col("query_vector").cast("array<double>").alias("v"))

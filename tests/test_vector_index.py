@@ -74,3 +74,14 @@ def test_opened_again_and_empty(spark, clustered, tmp_path):
 def test_recall_of_the_query(spark):
     found = catalogue.vector_index_recall(spark, "/root/testdata/sf0.01").agg(F.avg("recall").alias("r")).first()
     assert found.r >= 0.9
+
+
+def test_workers_hold_few_rows_by_cells(monkeypatch):
+    import pyarrow as pa
+
+    from scriptorium.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "MOST_ENTRIES", 1000)
+    got = list(vector_index._slices(iter([pa.RecordBatch.from_arrays([pa.array(range(25))], ["x"])]), 100))
+    assert [len(b) for b in got] == [10, 10, 5] and [x for b in got for x in b.column(0).to_pylist()] == list(range(25))
+    assert [len(b) for b in vector_index._slices(iter(got[:1]), 5000)] == [1] * 10

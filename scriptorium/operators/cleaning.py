@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import dictionary
+from scriptorium.sources import shared
 
 
 def deep(docs: DataFrame, key: str, text: str = "text", words: DataFrame | None = None) -> DataFrame:
     """``docs`` with cleaned texts. With a dictionary ``words(word)`` lost first letters are restored and short Latin words are
     turned Cyrillic where it knows them; without one, no first letter is, and a short list of words stands in."""
+    shared.small_batches(docs.sparkSession)
     for name, step in T.deep_steps():
         if words is not None and name in T.ASKING:
             asked, fix = T.ASKING[name]

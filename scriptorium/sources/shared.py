@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in one Arrow batch of whole texts.
+BATCH_ROWS = 300
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local session (tests) gets a temporary one; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Few rows in an Arrow batch from now on: a worker of Python holds a batch of whole texts several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a stored stage that no later result reads."""
     delete(df.sparkSession, df._stored_at)

@@ -27,3 +27,14 @@ def test_many_blank_lines_take_no_square_of_time():
     started = time.monotonic()
     assert len(changes.differences(before, after)) == 12_000
     assert time.monotonic() - started < 30
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    from scriptorium.plans import catalogue
+    from scriptorium.sources import shared
+
+    for name in ("deep_normalize", "recursive_chunks", "change_log", "nfc_normalize"):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(shared.BATCH_ROWS), name
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

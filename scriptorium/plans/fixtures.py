@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text``: each document as a Markdown book: its source as the title, parts of four lines, page marks."""
+def books(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """``doc_id, text``, and the documents' columns ``kept``: each document as a Markdown book: its source as the title, parts of four lines, page marks."""
     docs = table(spark, sf_dir, "documents")
 
     def line(x, i):
@@ -22,7 +22,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(i % 4 == 0, head).when(i % 6 == 3, page).otherwise(x)
 
     body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), "\n\n")
-    return docs.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"), body).alias("text"))
+    return docs.select("doc_id", *kept, F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"), body).alias("text"))
 
 
 BOOKS = """books AS (
@@ -55,7 +55,7 @@ sections AS (SELECT doc_id, section_seq, level, title, text, page_start, coalesc
 
 def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source, line_no, line``: the lines of all books of a source, one book after the other, as one long book."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(books(spark, sf_dir), "doc_id")
+    rows = books(spark, sf_dir, "source").where("doc_id is not null")  # as the SQL's join on the key, without moving the texts
     lines = rows.select("source", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     return ordinals.numbered(lines, ["doc_id", "place"], ["source"]).select("source", F.col("ordinal").alias("line_no"), "line")
 

@@ -126,3 +126,15 @@ def test_lines_keep_their_place_whatever_the_blocks(spark, tmp_path):
         assert sorted(r.id for r in first) == sorted([f"b{i}" for i in range(3000)] + ["a0", "a1"])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_shelves_move_texts_once(spark, monkeypatch):
+    """Before the lines are numbered, nothing is joined: a book has its source."""
+    from scriptorium.operators import ordinals
+    from scriptorium.plans import fixtures
+
+    seen = []
+    numbered = ordinals.numbered
+    monkeypatch.setattr(ordinals, "numbered", lambda rows, *a: seen.append(rows) or numbered(rows, *a))
+    fixtures.shelves(spark, "/root/testdata/sf0.001")
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()

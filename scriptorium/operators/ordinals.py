@@ -33,4 +33,6 @@ def numbered(rows: DataFrame, order: Sequence[str], within: Sequence[str] = ())
     same = placed["_run"] == offsets["_r"]
     for c in within:
         same &= placed[c].eqNullSafe(offsets[f"_{c}"])
-    return placed.join(offsets, same).select(*[placed[c] for c in rows.columns], (F.col("_at") + F.col("_offset")).alias("ordinal"), "total")
+    out = placed.join(offsets, same).select(*[placed[c] for c in rows.columns], (F.col("_at") + F.col("_offset")).alias("ordinal"), "total")
+    out._stored_at = placed._stored_at  # for who has read the rows and wants them gone
+    return out

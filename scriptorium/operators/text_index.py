@@ -36,10 +36,12 @@ class TextIndex:
         """Indexes every text; ``order`` (the key, unless it is given) must tell the texts apart, and decides between equal scores."""
         spark, path = rows.sparkSession, path.rstrip("/")
         given = rows.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(order or key).alias("o"))
-        placed = ordinals.numbered(given, ["o"]).select("ordinal", "k", "t")
+        numbered = ordinals.numbered(given, ["o"])
+        placed = numbered.select("ordinal", "k", "t")
         n = rows.count()
         shelf = max(BLOCK, -(-n // SHELVES))
-        placed.withColumn("shelf", F.expr(f"cast(ordinal div {shelf}L as int)")).repartitionByRange("shelf", "ordinal").write.partitionBy("shelf").parquet(f"{path}/texts")
+        placed.withColumn("shelf", F.expr(f"cast(ordinal div {shelf}L as int)")).repartitionByRange("shelf", "ordinal").write.option("compression", "zstd").partitionBy("shelf").parquet(f"{path}/texts")
+        shared.forget(numbered)
         kind = dict(rows.dtypes)[key]
         spark.createDataFrame([(key, kind, n, shelf)], "key string, kind string, n long, shelf long").coalesce(1).write.json(f"{path}/settings")
         index = cls(spark, path)
@@ -50,8 +52,8 @@ class TextIndex:
             def out() -> pa.RecordBatch:
                 grams = sorted(held)
                 docs, counts = [[x for x, _ in held[g]] for g in grams], [[n for _, n in held[g]] for g in grams]
-                ints = pa.list_(pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([of] * len(grams), pa.int64()), pa.array([max(x) for x in counts], pa.int32()), pa.array(docs, ints), pa.array(counts, ints)], ["gram", "block", "most", "texts", "times"])
+                places, ints = pa.list_(pa.int16()), pa.list_(pa.int32())
+                return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([of] * len(grams), pa.int64()), pa.array([max(x) for x in counts], pa.int32()), pa.array(docs, places), pa.array(counts, ints)], ["gram", "block", "most", "texts", "times"])
 
             for batch in batches:
                 for block, ordinal, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -66,8 +68,10 @@ class TextIndex:
                 yield out()
 
         texts = index.texts().select(F.expr(f"ordinal div {BLOCK}L").alias("block"), "ordinal", F.lower("t").alias("low"))
-        found = texts.repartition("block").sortWithinPartitions("block", "ordinal").mapInArrow(postings, "gram string, block long, most int, texts array<int>, times array<int>")
-        shared.stored(found, "postings").repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/postings")
+        found = texts.repartition("block").sortWithinPartitions("block", "ordinal").mapInArrow(postings, "gram string, block long, most int, texts array<smallint>, times array<int>")
+        dealt = shared.stored(found, "postings")
+        dealt.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.option("compression", "zstd").parquet(f"{path}/postings")
+        shared.forget(dealt)
         return index
 
     def texts(self, shelves: list[int] | None = None) -> DataFrame:

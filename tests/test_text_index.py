@@ -62,3 +62,12 @@ def test_order_of_input_decides(spark, tmp_path):
     got = index.search(spark.createDataFrame([(1, "text")], "query_id int, query string"), 3).orderBy("rank").collect()
     assert [(r.id, r.score) for r in got] == [(19, 1), (18, 1), (17, 1)]
     assert rows.select(vectors.term_count(F.col("text"), F.lit("T"))).first()[0] == 2
+
+
+def test_what_the_index_was_made_from_is_deleted(spark, tmp_path, monkeypatch):
+    from scriptorium.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id int, text string")
+    TextIndex.build(rows, f"file://{tmp_path}/i", "id")
+    assert [p.name for p in (tmp_path / "shared").iterdir()] == []

@@ -77,7 +77,8 @@ class VectorIndex:
         fit = drawn.where((F.size("vector") == dim) & good)
         centroids = np.empty((0, max(dim, 1)))
         if dim and not fit.isEmpty():
-            model = KMeans(k=cells, maxIter=ROUNDS, seed=seed, distanceMeasure="cosine").fit(fit.select(array_to_vector("vector").alias("features")))
+            # by rows, the distances of all pairs of centroids would come to the driver in every round
+            model = KMeans(k=cells, maxIter=ROUNDS, seed=seed, distanceMeasure="cosine", solver="block").fit(fit.select(array_to_vector("vector").alias("features")))
             found = np.array(model.clusterCenters())
             centroids = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
@@ -153,7 +154,8 @@ class VectorIndex:
         opened = [r.cell for r in routes.select("cell").distinct().collect()]  # cells, not queries
         asked = vectors.packed(routes, "q", "v", block, ["cell"]).select("cell", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
         held = vectors.packed(self.points(opened), self.key, "vector", 4 * block, ["cell"])
-        return vectors.nearest(held.join(asked, "cell"), k, threshold, places)
+        # routes are small as stored and large as blocks, a query's vector for each cell: they don't travel through the driver
+        return vectors.nearest(held.join(asked.hint("merge"), "cell"), k, threshold, places)
 
     def search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, exact: bool = True, probes: int | None = None, places: int | None = None) -> DataFrame:
         """``query_id, <key>, score, rank``: the k nearest points of each of ``query_id, query_vector``, ties by key.

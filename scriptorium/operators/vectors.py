@@ -200,7 +200,8 @@ def batch_top_k(points: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
     slices = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = packed(queries, query_key, query_vector, block).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     sliced = packed(points, key, vector, 4 * block).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
-    best = best_of(nearest(sliced.join(asked, "slice"), k, threshold, places), k).select(F.col("q").alias(query_key), F.col("p").alias("__point"), "score", "rank")
+    # queries are repeated for each slice, which estimates of their size don't know: they don't travel through the driver
+    best = best_of(nearest(sliced.join(asked.hint("merge"), "slice"), k, threshold, places), k).select(F.col("q").alias(query_key), F.col("p").alias("__point"), "score", "rank")
     return best.join(points, F.col("__point") == F.col(key)).select(query_key, *points.columns, "score", "rank")
 
 

@@ -85,3 +85,20 @@ def test_workers_hold_few_rows_by_cells(monkeypatch):
     got = list(vector_index._slices(iter([pa.RecordBatch.from_arrays([pa.array(range(25))], ["x"])]), 100))
     assert [len(b) for b in got] == [10, 10, 5] and [x for b in got for x in b.column(0).to_pylist()] == list(range(25))
     assert [len(b) for b in vector_index._slices(iter(got[:1]), 5000)] == [1] * 10
+
+
+def test_blocks_and_distances_of_centroids_stay_off_the_driver(spark, tmp_path):
+    draw = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, draw.normal(size=64).tolist()) for i in range(600)], "point_id long, vector array<double>")
+    spark.sparkContext.setJobGroup("build", "")
+    index = VectorIndex.build(points, f"file://{tmp_path}/v", cells=130)
+    spark.sparkContext.setJobGroup("other", "")
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("build") for s in told.getJobInfo(j).stageIds]
+    names = [s.name for s in stages if s]
+    assert any("KMeans" in n for n in names) and not any("DistanceMeasure" in n for n in names)
+    routes = index._routed(asked(points)).select("q", "v", F.explode("order.cell").alias("cell"))
+    for joined in (index._scored(routes, 3, None, None), vectors.batch_top_k(points, asked(points), 3)):
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        blocks = next(x for x in plan.splitlines() if "Join" in x and "matrix" not in x and ("[cell" in x or "[slice" in x))
+        assert "SortMergeJoin" in blocks

@@ -196,3 +196,21 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     rows = [(i, base[:140] + f"{i:010d}" if i % 3 else "".join(rng.choice("xyz ") for _ in range(90))) for i in range(60)]
     got = {r.k: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain(rows, 0.8) and len(got) > 30
+
+
+def test_components_lead_by_different_bits():
+    """The leading 21 bits of the components that take the least are different bits of a run's hashes, and so are those of the others; each end has half of the bands."""
+    told = [line_dedup.places(i) for i in range(line_dedup.BANDS * line_dedup.ROWS)]
+    assert [g for g, _, _ in told] == [False] * 12 + [True] * 12 and 12 % line_dedup.ROWS == 0
+    for end in (False, True):
+        assert len({(w, (t + n) % 64) for g, w, t in told if g is end for n in range(21)}) == 12 * 21
+
+
+def test_longer_lines_meet_as_often_as_stated(spark):
+    rng = random.Random(8)
+    lines = ["".join(chr(rng.randrange(97, 123)) for _ in range(47)) for _ in range(2000)]  # forty runs; the two lines of a pair share 32
+    pairs = spark.createDataFrame([(2 * i + j, s[4 * j : 4 * j + 43]) for i, s in enumerate(lines) for j in (0, 1)], "id long, line string")
+    bands = {r.id: r.bands for r in line_dedup.banded(pairs).collect()}
+    missed = sum(not set(bands[2 * i]) & set(bands[2 * i + 1]) for i in range(len(lines)))
+    met = [sum(bands[2 * i][b] == bands[2 * i + 1][b] for i in range(len(lines))) for b in range(line_dedup.BANDS)]
+    assert missed <= 18 and all(900 <= m <= 1150 for m in met)  # 6.4 and 1024 expected

@@ -166,7 +166,8 @@ def _joined(left: Column, right: Column, threshold: float) -> Column:
             return F.when(F.size(near) == 0, labels).otherwise(F.aggregate(F.array(_hashes(x["line"])), labels, one))
 
         def row(labels: Column, x: Column) -> Column:
-            near = F.filter(z["right"], lambda y: (y["common"] | (x["root"] < y["root"])) & _possible(x, y, threshold))
+            # what is joined already is left out here, so that a line of which nothing else is near isn't hashed again
+            near = F.filter(z["right"], lambda y: (y["common"] | (x["root"] < y["root"])) & (label(labels, x) != label(labels, y)) & _possible(x, y, threshold))
             return F.aggregate(F.array(near), labels, lambda now, ys: against(now, x, ys))
 
         labels = F.aggregate(z["left"], z["names"], row)

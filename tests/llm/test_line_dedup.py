@@ -214,3 +214,21 @@ def test_longer_lines_meet_as_often_as_stated(spark):
     missed = sum(not set(bands[2 * i]) & set(bands[2 * i + 1]) for i in range(len(lines)))
     met = [sum(bands[2 * i][b] == bands[2 * i + 1][b] for i in range(len(lines))) for b in range(line_dedup.BANDS)]
     assert missed <= 18 and all(900 <= m <= 1150 for m in met)  # 6.4 and 1024 expected
+
+
+def test_lines_of_one_component_are_hashed_once_more_by_its_first_only(spark, monkeypatch):
+    """A block's first line joins all that are like it; after that none of them is hashed as the left line of a pair."""
+    base, whole, calls = "".join(chr(97 + 7 * i * i % 26) for i in range(90)), line_dedup._hashes, []
+    texts = spark.createDataFrame([(i, f"{base}{i}") for i in range(6)], "id long, line string")
+    drawn = runtime.stored(line_dedup.drawn(texts), "drawn")
+
+    def once(line):
+        calls.append(line)  # the left line of a pair is hashed before the right one is named
+        told = F.when(line != f"{base}0", F.raise_error(F.lit("hashed again"))) if len(calls) % 2 else F.lit(None)
+        return F.when(told.isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(whole(line))
+
+    monkeypatch.setattr(line_dedup, "_hashes", once)
+    rows = drawn.withColumn("root", F.col("id")).withColumn("common", F.lit(False)).withColumn("earlier", F.array().cast("array<long>"))
+    blocks = rows.agg(F.sort_array(F.collect_list(line_dedup._item())).alias("left")).select("left", F.col("left").alias("right"))
+    found = line_dedup._links(blocks, 0.8)
+    assert len(calls) == 2 and sorted((r.a, r.b) for r in found.collect()) == [(i, 0) for i in range(1, 6)]

@@ -71,3 +71,17 @@ def test_what_the_index_was_made_from_is_deleted(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id int, text string")
     TextIndex.build(rows, f"file://{tmp_path}/i", "id")
     assert [p.name for p in (tmp_path / "shared").iterdir()] == []
+
+
+def test_scores_come_from_the_index_alone(spark, tmp_path):
+    """No text is read again, whatever the queries ask; words are told apart as queries tell them, however long they are."""
+    data = [(i, "a e " * (i % 7) + "tea\x1cpot x") for i in range(60)] + [(100, "ab" * 60), (101, "é\x85b ab")]
+    rows = spark.createDataFrame(data, "id int, text string")
+    index = TextIndex.build(rows, f"file://{tmp_path}/s", "id")
+    asked = ["a e", "tea\x1cpot", "ab", "ab" * 50, "t\x1cp", "é b", "pot x"]
+    found = index.search(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), 3)
+    assert "t:string" not in found._jdf.queryExecution().toString() and "t" not in index.texts().columns
+    assert index.verified.count() == 3 * len(asked)
+    got = {i: [(r.id, r.score) for r in sorted(found.where(f"query_id = {i}").collect(), key=lambda r: r["rank"])] for i in range(len(asked))}
+    for i, q in enumerate(asked):
+        assert got[i] == [(r.id, r.score) for r in vectors.lexical_top_k(rows, q, 3, order="id").collect()], q

@@ -233,7 +233,8 @@ def fix_digits(c: Column) -> Column:
     """Digits read for letters, in mostly Russian lines outside fences and tables."""
     # tokens without a digit are as they were, so they are no pieces of their own
     token = rf"(?=[0-9{LETTER}])(?<![{WORD}])(?=[{LETTER}\-]*[0-9])[0-9{LETTER}](?:[0-9{LETTER}\-]*[0-9{LETTER}])?(?![{WORD}])"
-    fence = r"(?m:^)```[^\n]*(?:\n(?!```)[^\n]*)*(?:\n```[^\n]*)?"
+    # a group that is repeated without going back (*+, ++) needs no stack; otherwise a long fence ends the executor
+    fence = r"(?m:^)```[^\n]*+(?:\n(?!```)[^\n]*+)*+(?:\n```[^\n]*)?"
     skipped = lambda s: ~s.rlike("[3604]") | (F.regexp_count(s, F.lit(r"\|")) >= 2) | ~russian_dominant(s)
     line = lambda s: F.when(skipped(s), s).otherwise(F.array_join(F.transform(F.transform(pieces(s, rf".*?{token}", ".+"), _with_token), _fix_token), ""))
     lines = lambda x: F.array_join(F.transform(F.split(x, "\n", -1), line), "\n")
@@ -248,7 +249,7 @@ def drop_f_before_vowel(c: Column) -> Column:
 
 def dedupe_words(c: Column) -> Column:
     """A word of four letters or more that is repeated at once stays once."""
-    return F.regexp_replace(c, r"(?iuU)\b(\w{4,})\b(?:[ \t]+\1\b)+", "$1")
+    return F.regexp_replace(c, r"(?iuU)\b(\w{4,})\b(?:[ \t]+\1\b)++", "$1")
 
 
 #: What may stand before a line's first word, and the word.

@@ -117,3 +117,9 @@ def test_a_long_run_at_the_end_of_a_line_is_looked_through_once(spark):
     started = time.monotonic()
     assert spark.createDataFrame([(given,)], "t string").select(text.fix_digits(F.col("t"))).first()[0] == given
     assert time.monotonic() - started < 20
+
+
+def test_long_fences_and_repeats_need_no_stack(spark):
+    long = {text.fix_digits: ("слово б0льше\n```\n" + "б0 a\n" * 20_000 + "```\nб0льше", "слово больше\n```\n" + "б0 a\n" * 20_000 + "```\nбольше"), text.dedupe_words: ("слово Слово " * 20_000, "слово ")}
+    for step, (given, want) in long.items():
+        assert spark.createDataFrame([(given,)], "t string").select(step(F.col("t"))).first()[0] == want

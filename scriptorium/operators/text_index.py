@@ -169,6 +169,7 @@ class TextIndex:
         held = self._hits(each.select("word").distinct())
         hits = held.join(each.select(F.col("word").alias("held"), "qb", "w").distinct(), "held")
         hits = shared.stored(hits.groupBy("word", "qb").agg(F.collect_list(F.struct("w", "per")).alias("x")).select("word", "qb", F.col("x.w").alias("hits"), F.col("x.per").alias("per")), "hits")
+        shared.forget(held)
         found = self.words().join(hits, "word").select("qb", "block", "texts", "times", "hits", "per")
         blocks = self.spark.range(-(-self.n // self.block)).withColumnRenamed("id", "block")
         weights = each.groupBy("qb").agg(F.collect_list(F.struct("w", (F.col("q") - F.col("qb") * QUERIES).alias("at"), "weight")).alias("x")).select("qb", F.col("x.w").alias("w"), F.col("x.at").alias("at"), F.col("x.weight").alias("weight"))
@@ -180,7 +181,7 @@ class TextIndex:
         order = Window.partitionBy("q").orderBy(F.desc("score"), "ordinal")
         ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         self.verified = shared.stored(ranked.join(asked.select("q", "query_id"), "q").select("query_id", "ordinal", "score", "rank"), "ranked")
-        for stage in (numbered, each, held, hits):
+        for stage in (numbered, each, hits):
             shared.forget(stage)
         shelves = [r.shelf for r in self.verified.select(F.expr(f"cast(ordinal div {self.shelf}L as int)").alias("shelf")).distinct().collect()]  # directories, not texts
         keys = self.texts(shelves).select("ordinal", "k")
